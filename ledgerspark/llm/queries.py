@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import quality_compression, substring_dedup
+from ledgerspark.llm import ngram_jaccard, quality_compression, substring_dedup
 from ledgerspark.llm._tables import table
 
 
@@ -15,6 +15,11 @@ def _crc(column: str) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id for every document: three-word shingles, similarity 0.9."""
+    return ngram_jaccard.near_copies(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     docs = table(spark, sf_dir, "documents")
@@ -33,6 +38,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_compression_quality": op6_compression_quality,
     "op10_substring_dedup": op10_substring_dedup,
 }
