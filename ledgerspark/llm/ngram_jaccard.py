@@ -281,10 +281,10 @@ def link_classes(docs: DataFrame, classes: DataFrame, shingle: int, percent: int
 
     if buckets.limit(1).count():
         # all pairs between components that sizes and the distances to the common hub (a metric) do not rule out
-        other = buckets.select("key", F.col("class").alias("b"), F.col("component").alias("to"), F.col("n").alias("m"), F.col("far").alias("out"))
+        other = buckets.select(F.col("key").alias("same"), F.col("class").alias("b"), F.col("component").alias("to"), F.col("n").alias("m"), F.col("far").alias("out"))
         chance = (F.col("class") < F.col("b")) & (F.col("component") != F.col("to")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
         chance &= F.abs(F.col("far") - F.col("out")) <= 1 - percent / 100 + 1e-9
-        met = buckets.join(other, (buckets["key"] == other["key"]) & chance).groupBy(F.col("class").alias("a"), "b", "n", "m", buckets["key"].bitwiseAND((1 << _BAND_BITS) - 1).alias("band"))
+        met = buckets.join(other, (F.col("key") == F.col("same")) & chance).groupBy(F.col("class").alias("a"), "b", "n", "m", F.col("key").bitwiseAND((1 << _BAND_BITS) - 1).alias("band"))
         # two sets that may differ less than the band's worst pair have more keys in common
         granted = F.array(*(F.lit(differences(_edges(percent)[i + 1] - 1, percent)) for i in range(len(_edges(percent)) - 1)))
         differ = F.floor((F.col("n") + F.col("m")) * (100 - percent) / (100 + percent) + 1e-9)
