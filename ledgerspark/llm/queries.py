@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import ngram_jaccard, quality_compression, substring_dedup
-from ledgerspark.llm._tables import table
+from ledgerspark.llm import document_fingerprints, ngram_jaccard, quality_compression, substring_dedup, warc_writer
+from ledgerspark.llm._tables import shared_folder, table
 
 
 def _crc(column: str) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def op2_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, as read back from the archives."""
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    manifest = warc_writer.write_warc(table(spark, sf_dir, "pages"), folder)
+    return warc_writer.read_warc(manifest, folder)
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id for every document: three-word shingles, similarity 0.9."""
     return ngram_jaccard.near_copies(table(spark, sf_dir, "documents"), shingle=3, percent=90)
@@ -32,14 +40,21 @@ def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return document_fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every document."""
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_writer": op2_warc_writer,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_compression_quality": op6_compression_quality,
+    "op7_document_fingerprints": op7_document_fingerprints,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
