@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import document_fingerprints, ngram_jaccard, quality_compression, substring_dedup, warc_writer
+from ledgerspark.llm import document_fingerprints, ngram_jaccard, quality_compression, substring_dedup, template_decontamination, warc_writer
 from ledgerspark.llm._tables import shared_folder, table
 
 
@@ -45,6 +45,12 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id and the evidence, for every document that holds a benchmark item."""
+    found = template_decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every document."""
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
@@ -55,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_compression_quality": op6_compression_quality,
     "op7_document_fingerprints": op7_document_fingerprints,
+    "op8_template_decontamination": op8_template_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
