@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import document_fingerprints, ngram_jaccard, quality_compression, substring_dedup, template_decontamination, warc_writer
+from ledgerspark.llm import document_fingerprints, maxent_lm, ngram_jaccard, quality_compression, substring_dedup, template_decontamination, warc_writer
 from ledgerspark.llm._tables import shared_folder, table
 
 
@@ -51,6 +51,11 @@ def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_hash")
 
 
+def op9_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every document."""
+    return maxent_lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every document."""
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_compression_quality": op6_compression_quality,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_template_decontamination": op8_template_decontamination,
+    "op9_maxent_lm": op9_maxent_lm,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
