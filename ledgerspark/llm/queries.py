@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import document_fingerprints, maxent_lm, ngram_jaccard, quality_compression, substring_dedup, template_decontamination, warc_writer
+from ledgerspark.llm import document_fingerprints, maxent_lm, ngram_jaccard, quality_compression, secret_crf, substring_dedup, template_decontamination, warc_writer
 from ledgerspark.llm._tables import shared_folder, table
 
 
@@ -28,6 +28,12 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.near_copies(table(spark, sf_dir, "documents"), shingle=3, percent=90)
 
 
+def op5_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and digest of the fixed patterns' spans, and all spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_crf.scan(docs, secret_crf.fit(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf")
+
+
 def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     docs = table(spark, sf_dir, "documents")
@@ -64,6 +70,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_writer": op2_warc_writer,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_secret_crf": op5_secret_crf,
     "op6_compression_quality": op6_compression_quality,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_template_decontamination": op8_template_decontamination,
