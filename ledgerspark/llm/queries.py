@@ -8,10 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import document_fingerprints, maxent_lm, ngram_jaccard, quality_compression, secret_crf, substring_dedup, template_decontamination, warc_writer
+from ledgerspark.llm import document_fingerprints, lexical_packing, maxent_lm, ngram_jaccard, quality_compression, secret_crf, substring_dedup, template_decontamination, warc_writer
 from ledgerspark.llm._tables import shared_folder, table
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary file, installed with Python on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _crc(column: str) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
@@ -23,6 +30,11 @@ def op2_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_writer.read_warc(manifest, folder)
 
 
+def op3_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 ids."""
+    return lexical_packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id for every document: three-word shingles, similarity 0.9."""
     return ngram_jaccard.near_copies(table(spark, sf_dir, "documents"), shingle=3, percent=90)
@@ -69,6 +81,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_writer": op2_warc_writer,
+    "op3_lexical_packing": op3_lexical_packing,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_secret_crf": op5_secret_crf,
     "op6_compression_quality": op6_compression_quality,
