@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import document_fingerprints, lexical_packing, maxent_lm, ngram_jaccard, quality_compression, secret_crf, substring_dedup, template_decontamination, warc_writer
+from ledgerspark.llm import chat_tools, document_fingerprints, lexical_packing, maxent_lm, ngram_jaccard, quality_compression, secret_crf, substring_dedup, template_decontamination, warc_writer
 from ledgerspark.llm._tables import shared_folder, table
 
 
@@ -23,6 +23,84 @@ def _crc(column: str) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+#: name, field, type, required of the tools in ``conversation_calls``.
+SCHEMAS = [
+    ("search", "query", "string", True),
+    ("search", "limit", "integer", True),
+    ("lookup", "query", "string", True),
+    ("lookup", "strict", "boolean", False),
+    ("compute", "limit", "number", True),
+]
+
+
+def conversation_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Calls and results read out of the conversations: an assistant's turn calls a tool with its first words, the user's next turn answers it.
+
+    The tool and the arguments follow the turn's length, so some arguments miss their schema;
+    some calls need the assistant's turn before, some that and the one before it.
+    """
+    turns = table(spark, sf_dir, "conversations")
+    n = F.char_length("text")
+    name = lambda turn: F.format_string("call_%d_%d", F.col("conv_id"), turn)
+    words = F.substring(F.trim(F.regexp_replace("text", "[^A-Za-z ]", "")), 1, 40)
+    calls = turns.where("role = 'assistant'").select(
+        name(F.col("turn")).alias("call_id"),
+        F.col("conv_id").alias("conversation"),
+        F.col("turn").alias("seq"),
+        F.when(n % 4 == 0, "search").when(n % 4 == 1, "lookup").when(n % 4 == 2, "compute").otherwise("translate").alias("name"),
+        F.concat(F.lit('{ "query": "'), words, F.lit('", "limit": '), (n % 17).cast("string"), F.when(n % 5 == 0, ', "strict": true').otherwise(""), F.lit("}")).alias("arguments"),
+        F.filter(F.array(F.when((n % 2 == 0) & (F.col("turn") >= 3), name(F.col("turn") - 2)), F.when((n % 6 == 0) & (F.col("turn") >= 5), name(F.col("turn") - 4))), lambda x: x.isNotNull()).alias("needs"),
+    )
+    results = turns.where("role = 'user' AND turn > 0").select(name(F.col("turn") - 1).alias("call_id"), F.substring(F.trim(F.regexp_replace("text", "[^A-Za-z ]", "")), 1, 60).alias("content"))
+    return calls, results
+
+
+def op1_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tool call of the conversations, linked, levelled, checked and serialised, and every orphan result."""
+    calls, results = conversation_calls(spark, sf_dir)
+    schemas = spark.createDataFrame(SCHEMAS, "name string, field string, type string, required boolean")
+    return chat_tools.link_tool_calls(calls, results, schemas)
+
+
+OP1_SQL = """
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, role, length(text) AS n, trim(regexp_replace(text, '[^A-Za-z ]', '', 'g')) AS words FROM conversations
+), calls AS (
+  SELECT 'call_' || conv_id || '_' || turn AS call_id, conv_id, turn, n, substr(words, 1, 40) AS q,
+    CASE n % 4 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' WHEN 2 THEN 'compute' ELSE 'translate' END AS name
+  FROM t WHERE role = 'assistant'
+), results AS (
+  SELECT 'call_' || conv_id || '_' || (turn - 1) AS call_id, min(substr(words, 1, 60)) AS content, count(*) AS k
+  FROM t WHERE role = 'user' AND turn > 0 GROUP BY 1
+), needs AS (
+  SELECT call_id, 'call_' || conv_id || '_' || (turn - 2) AS need FROM calls WHERE n % 2 = 0 AND turn >= 3
+  UNION SELECT call_id, 'call_' || conv_id || '_' || (turn - 4) FROM calls WHERE n % 6 = 0 AND turn >= 5
+), bad(call_id) AS (
+  SELECT call_id FROM needs WHERE need NOT IN (SELECT call_id FROM calls)
+  UNION SELECT needs.call_id FROM needs JOIN bad ON needs.need = bad.call_id
+), walk(call_id, depth) AS (
+  SELECT call_id, 0 FROM calls
+  UNION SELECT needs.call_id, depth + 1 FROM needs JOIN walk ON needs.need = walk.call_id
+), level AS (
+  SELECT call_id, max(depth) AS level FROM walk WHERE call_id NOT IN (SELECT call_id FROM bad) GROUP BY 1
+), checked AS (
+  SELECT *, CASE name
+      WHEN 'search' THEN CASE WHEN n % 5 = 0 THEN 'extra:strict' ELSE '' END
+      WHEN 'lookup' THEN 'extra:limit'
+      WHEN 'compute' THEN CASE WHEN n % 5 = 0 THEN 'extra:query,extra:strict' ELSE 'extra:query' END
+      ELSE 'unknown_tool' END AS problems FROM calls
+)
+SELECT c.conv_id AS conversation, c.call_id, c.turn AS seq, CAST(l.level AS INTEGER) AS level,
+  CASE WHEN l.level IS NULL THEN 'circular' WHEN problems <> '' THEN 'invalid' WHEN r.k IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
+  problems, coalesce(r.k, 0) AS n_results,
+  '{"arguments":{"limit":' || (n % 17) || ',"query":"' || q || '"' || CASE WHEN n % 5 = 0 THEN ',"strict":true' ELSE '' END || '},"id":"' || c.call_id
+    || '","name":"' || name || '","result":' || CASE WHEN r.content IS NULL THEN 'null' ELSE '"' || r.content || '"' END || '}' AS json
+FROM checked c LEFT JOIN level l USING (call_id) LEFT JOIN results r USING (call_id)
+UNION ALL
+SELECT NULL, call_id, NULL, NULL, 'orphan', NULL, k, NULL FROM results WHERE call_id NOT IN (SELECT call_id FROM calls)
+"""
+
+
 def op2_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, as read back from the archives."""
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
@@ -80,6 +158,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_tools": op1_chat_tools,
     "op2_warc_writer": op2_warc_writer,
     "op3_lexical_packing": op3_lexical_packing,
     "op4_ngram_jaccard": op4_ngram_jaccard,
@@ -91,4 +170,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_chat_tools": OP1_SQL}
