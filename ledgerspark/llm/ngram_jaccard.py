@@ -12,10 +12,11 @@ first few, and one at least stays. Sets that share a key are compared exactly.
 
 A bucket of one key is never expanded into all its pairs at first: its members are compared
 with one hub, the member that shares most with others, and linked members form components.
-The sets of buckets that still hold several components are dealt anew into more and smaller
-segments, of which each set leaves out most: what is common to many unlike sets drops out. There
-another hub is tried and then, for what is left, all pairs between different components, but
-for those that sizes or too few common keys rule out. So no link between components is lost.
+Of buckets that still hold several components, all pairs between different components are
+taken, but for those that cannot reach the threshold: by their sizes, by too few common keys, or
+because one set has too many n-grams that no other set of such buckets has (they count against
+any partner, which ends the matter for most variants of one much-copied text). So no link
+between components is lost.
 
 Sets are compared by 64-bit hashes of their n-grams.
 """
@@ -36,8 +37,8 @@ from ledgerspark.llm._components import components
 from ledgerspark.llm._tables import by_ids, kept
 from ledgerspark.llm._words import Block, blocks, gram_hashes, i64, mix
 
-#: Keys that a set may leave out, as a share of the differences a pair may have; when dealt anew, grants as a share of the least set.
-LEFT_OUT, FINE = 0.25, 0.45
+#: Keys that a set may leave out, as a share of the differences a pair may have.
+LEFT_OUT = 0.25
 _BAND_BITS = 7
 _SEGMENT, _BAND = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -73,20 +74,11 @@ def differences(r: int, percent: int) -> int:
     return (r + r * 100 // percent) * (100 - percent) // (100 + percent)
 
 
-def plan_band(number: int, low: int, high: int, percent: int, fine: bool = False) -> Band:
+def plan_band(number: int, low: int, high: int, percent: int) -> Band:
     """Grants for a band at the least cost: keys to shuffle, and chance matches of thin segments."""
     most = differences(high - 1, percent)
     left_out = math.ceil(LEFT_OUT * (most + 1))
-    if fine:
-        left_out = max(left_out, math.floor(FINE * low) - most - 1)
     need = most + 1 + left_out
-    if fine:
-        for m in range(need, 3 * high, 1 + need // 100):
-            empty = m * (1 - 1 / m) ** low if m > 1 else 0.0
-            spare = math.ceil(empty + 2 * math.sqrt(empty))
-            if m >= need + spare:
-                return Band(number, low, high, m, 0, spare, left_out)
-        return plan_band(number, low, high, percent)
     best: tuple[float, Band] | None = None
     for m in range((need + 1) // 2, need + 12 + need // 2, 1 + need // 400):
         empty = m * (1 - 1 / m) ** low if m > 1 else 0.0
@@ -115,9 +107,9 @@ def _edges(percent: int) -> tuple[int, ...]:
 
 
 @lru_cache(4096)
-def band(number: int, percent: int, fine: bool = False) -> Band:
+def band(number: int, percent: int) -> Band:
     edges = _edges(percent)
-    return plan_band(number, edges[number], edges[number + 1], percent, fine)
+    return plan_band(number, edges[number], edges[number + 1], percent)
 
 
 def gram_sets(b: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +143,7 @@ def _classes(grams: np.ndarray, bound: np.ndarray) -> np.ndarray:
     return mix(_sums(owner, mix(grams), len(size)) + size.astype(np.uint64) * _BAND)
 
 
-def _keys(grams: np.ndarray, bound: np.ndarray, which: np.ndarray, percent: int, fine: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def _keys(grams: np.ndarray, bound: np.ndarray, which: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(key, document) for the documents ``which``."""
     edges = np.array(_edges(percent))
     docs, bands = [], []
@@ -161,7 +153,7 @@ def _keys(grams: np.ndarray, bound: np.ndarray, which: np.ndarray, percent: int,
         first = int(np.searchsorted(edges, -(-n * percent // 100), "right")) - 1
         for x in range(first, last + 1):
             docs.append(k)
-            bands.append(band(x, percent, fine))
+            bands.append(band(x, percent))
     if not docs:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     doc = np.array(docs)
@@ -218,21 +210,6 @@ def _signatures(n: int, percent: int):
     return run
 
 
-def _signatures_of_sets(percent: int):
-    """The finer keys of sets that are given as arrays."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for i in range(0, len(part), 256):
-                rows = part.slice(i, 256)
-                bound = np.concatenate([[0], np.cumsum(rows["grams"].value_lengths().to_numpy())]).astype(np.int64)
-                grams = rows["grams"].flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                key, row = _keys(grams, bound, np.flatnonzero(np.diff(bound)), percent, True)
-                yield pa.RecordBatch.from_arrays([pa.array(i64(key)), rows["class"].take(pa.array(row))], ["key", "class"])
-
-    return run
-
-
 def _sets(n: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -271,12 +248,12 @@ def _to_hub(buckets: DataFrame, hubs: DataFrame) -> DataFrame:
     return met.select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).distinct()
 
 
-def _bucketed(keys: DataFrame, classes: DataFrame, percent: int, fine: bool) -> DataFrame:
+def _bucketed(keys: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """key, band, class, n, weight, component for the keys that several of the classes (class, n, component) share, less those left out."""
     shared = keys.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("key", "size")
     held = keys.join(shared, "key").distinct().withColumn("band", F.col("key").bitwiseAND((1 << _BAND_BITS) - 1).cast("int"))
     rank = F.row_number().over(Window.partitionBy("class", "band").orderBy(F.desc("size"), "key"))
-    held = kept(held.withColumn("rank", rank).where(F.col("rank") > _of_band(percent, lambda i: band(i, percent, fine).left_out)).select("key", "band", "class", "size"), "keys")
+    held = kept(held.withColumn("rank", rank).where(F.col("rank") > _of_band(percent, lambda i: band(i, percent).left_out)).select("key", "band", "class", "size"), "keys")
     weight = held.groupBy("class").agg(F.sum("size").alias("weight")).join(classes, "class")
     return kept(held.drop("size").join(weight, "class"), "buckets")
 
@@ -286,10 +263,19 @@ def _of_band(percent: int, value) -> F.Column:
     return F.array(*(F.lit(value(i)) for i in range(len(_edges(percent)) - 1)))[F.col("band")]
 
 
+def _shared_grams(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """class, common: how many of a class's n-grams some other of these classes has."""
+    grams = sets.join(classes.select("class").distinct(), "class", "left_semi").select("class", F.explode("grams").alias("gram"))
+    alone = grams.groupBy("gram").agg(F.max("class").alias("class"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    own = alone.groupBy("class").agg(F.count(F.lit(1)).alias("alone"))
+    return classes.select("class", "n").distinct().join(own, "class", "left").select("class", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+
+
 def _pairs_left(buckets: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of classes of different components that share keys enough."""
-    other = buckets.select(F.col("key").alias("same"), F.col("class").alias("b"), F.col("component").alias("to"), F.col("n").alias("m"))
+    """All pairs (a, b) of classes of different components that may reach the threshold."""
+    other = buckets.select(F.col("key").alias("same"), F.col("class").alias("b"), F.col("component").alias("to"), F.col("n").alias("m"), F.col("common").alias("out"))
     chance = (F.col("class") < F.col("b")) & (F.col("component") != F.col("to")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+    chance &= F.least("common", "out") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
     met = buckets.join(other, (F.col("key") == F.col("same")) & chance).groupBy(F.col("class").alias("a"), "b", "n", "m", "band").count()
     # two sets that may differ less than the band's worst pair have more keys in common
     differ = F.floor((F.col("n") + F.col("m")) * (100 - percent) / (100 + percent) + 1e-9)
@@ -300,24 +286,19 @@ def _pairs_left(buckets: DataFrame, percent: int) -> DataFrame:
 def link_classes(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links (a, b) between classes of equal sets that give the same components as all links."""
     sized = classes.select("class", F.col("n_shingles").alias("n"), F.col("class").alias("component"))
-    buckets = _bucketed(docs.mapInArrow(_signatures(shingle, percent), "key bigint, class bigint"), sized, percent, False)
+    buckets = _bucketed(docs.mapInArrow(_signatures(shingle, percent), "key bigint, class bigint"), sized, percent)
     rep = kept(buckets.select("class").distinct().join(classes, "class").select("text_hash").distinct(), "rep")
     some = by_ids(docs, rep, ["text_hash"], "left_semi").dropDuplicates(["text_hash"])
     sets = kept(some.mapInArrow(_sets(shingle), "class bigint, grams array<bigint>").dropDuplicates(["class"]), "sets")
     tried = kept(_compared(_to_hub(buckets, _hubs(buckets)), sets), "compared")
     links = _linked(tried, percent)
 
-    left = kept(_unsettled(buckets, links).select("class", "n", "component").distinct(), "left")
-    if not left.limit(1).count():
-        return links
-    keys = sets.join(left, "class", "left_semi").mapInArrow(_signatures_of_sets(percent), "key bigint, class bigint")
-    buckets = _bucketed(keys, left, percent, True)
-    more = kept(_compared(_to_hub(buckets, _hubs(buckets)).join(tried.select("a", "b"), ["a", "b"], "left_anti"), sets), "compared")
-    tried, links = tried.unionByName(more), links.unionByName(_linked(more, percent))
     buckets = _unsettled(buckets, links)
-    if not buckets.limit(1).count():
-        return links
-    rest = _pairs_left(buckets, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    left = buckets
+    for _ in range(2):  # without the sets ruled out first, more n-grams are some set's own
+        common = kept(_shared_grams(left, sets), "common")
+        left = left.drop("common").join(common, "class").where(F.col("common") * 100 >= F.col("n") * percent)
+    rest = kept(_pairs_left(left, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     return links.unionByName(_linked(kept(_compared(rest, sets), "compared"), percent))
 
 
