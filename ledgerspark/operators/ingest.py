@@ -163,16 +163,17 @@ def route_messages(messages: DataFrame, rules: DataFrame, templates: list[Templa
     """
     templates = templates or TEMPLATES
     rows = classify_senders(messages, rules).withColumn("auth", assess_authenticity(F.col("headers"), F.col("address")))
-    rows = rows.withColumn("body", message_text(F.col("subject"), F.col("text"), F.col("html")))
+    # exploding an array of one keeps the optimizer from writing the text's expression into each of its many uses
+    rows = rows.withColumn("body", F.explode(F.array(message_text(F.col("subject"), F.col("text"), F.col("html")))))
     hits = [(F.col("domain") == t.domain) & F.lit(True) for t in templates]
     for i, t in enumerate(templates):
         for pattern in t.match:
             hits[i] = hits[i] & F.col("body").rlike(pattern)
-    rows = rows.withColumn("hits", F.array_compact(F.array(*(F.when(F.coalesce(h, F.lit(False)), t.id) for h, t in zip(hits, templates, strict=True)))))
+    rows = rows.withColumn("hits", F.explode(F.array(F.array_compact(F.array(*(F.when(F.coalesce(h, F.lit(False)), t.id) for h, t in zip(hits, templates, strict=True)))))))
     fact = F.lit(None)
     for t in templates:
         fact = F.when(F.get("hits", 0) == t.id, _fact(t)).otherwise(fact)
-    rows = rows.withColumn("fact", F.when((F.size("hits") == 1), fact)).withColumn("broken", invalid(F.col("fact")))
+    rows = rows.withColumn("fact", F.explode(F.array(F.when(F.size("hits") == 1, fact)))).withColumn("broken", invalid(F.col("fact")))
     reason = (
         F.when(F.col("sender_reason") == "localpart_not_allowlisted", "ignored")
         .when(F.col("sender_reason").isNotNull(), "sender_not_allowed")

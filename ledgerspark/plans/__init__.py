@@ -1,4 +1,5 @@
-"""Registered queries and the SQL that checks them."""
+"""Registered queries over the driver's tables, and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from ledgerspark.plans.queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
