@@ -38,7 +38,6 @@ _ENTITY = re.compile(r"&(#\d+|#[xX][0-9a-fA-F]+|[A-Za-z]+);")
 ENTITIES = {"amp", "lt", "gt", "quot", "apos", "nbsp", "rupee", "pound", "euro", "yen", "cent", "dollar"}
 
 
-@F.pandas_udf("string")
 def _decoded(texts: pd.Series) -> pd.Series:
     def one(m: re.Match) -> str:
         if m[1].startswith("#"):
@@ -50,7 +49,8 @@ def _decoded(texts: pd.Series) -> pd.Series:
 
 def decode_entities(text: Column) -> Column:
     """One pass over named and numeric entities; texts without an ampersand stay in the JVM's hands."""
-    return F.when(text.contains("&"), _decoded(F.when(text.contains("&"), text))).otherwise(text)
+    decoded = F.pandas_udf(_decoded, "string")
+    return F.when(text.contains("&"), decoded(F.when(text.contains("&"), text))).otherwise(text)
 
 
 def message_text(subject: Column, text: Column, html_: Column) -> Column:
