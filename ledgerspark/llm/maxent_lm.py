@@ -171,8 +171,14 @@ def _rare(held):
                 token, _, bound = _tokens(b)
                 doc = np.repeat(np.arange(len(b)), np.diff(bound))
                 rare = _looked_up(common, token) < 0
-                if rare.any():
-                    yield pa.RecordBatch.from_arrays([part["row_key"].take(pa.array(doc[rare] + b.first)), pa.array(i64(token[rare]))], ["row_key", "word"])
+                doc, token = doc[rare], token[rare]
+                order = np.lexsort((token, doc))
+                doc, token = doc[order], token[order]
+                new = np.append(True, (doc[1:] != doc[:-1]) | (token[1:] != token[:-1]))
+                first = np.flatnonzero(new[: len(doc)])
+                if len(first):
+                    m = np.diff(np.append(first, len(doc)))
+                    yield pa.RecordBatch.from_arrays([part["row_key"].take(pa.array(doc[first] + b.first)), pa.array(i64(token[first])), pa.array(m.astype(np.int32))], ["row_key", "word", "m"])
 
     return run
 
@@ -222,7 +228,7 @@ def scores(docs: DataFrame) -> DataFrame:
     model = spark.sparkContext.broadcast((weights, inside))
 
     rows = docs.mapInArrow(_scorer(held, model), "doc_id bigint, row_key bigint, n_tokens bigint, common_log double, common_n bigint, class_log double")
-    rare = docs.mapInArrow(_rare(held), "row_key bigint, word bigint").groupBy("row_key", "word").agg(F.count(F.lit(1)).alias("m"))
+    rare = docs.mapInArrow(_rare(held), "row_key bigint, word bigint, m int")
     rare = rare.join(counts.select("word", "n"), "word").groupBy("row_key").agg(F.sum(F.col("m") * F.log10(F.col("n") + 1)).alias("rare_log"), F.sum("m").alias("rare_n"))
     rows = kept(rows, "scored")
     copies = rows.groupBy("row_key").agg(F.count(F.lit(1)).alias("copies"))
