@@ -272,15 +272,18 @@ def _shared_grams(classes: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _pairs_left(buckets: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of classes of different components that may reach the threshold."""
-    other = buckets.select(F.col("key").alias("same"), F.col("class").alias("b"), F.col("component").alias("to"), F.col("n").alias("m"), F.col("common").alias("out"))
-    chance = (F.col("class") < F.col("b")) & (F.col("component") != F.col("to")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-    chance &= F.least("common", "out") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
-    met = buckets.join(other, (F.col("key") == F.col("same")) & chance).groupBy(F.col("class").alias("a"), "b", "n", "m", "band").count()
+    """All pairs (a, b) of classes of different components that may reach the threshold, each from the least key that both have."""
+    lists = buckets.groupBy("class", "band").agg(F.collect_set("key").alias("keys"))  # no more than a set has segments
+    rows = buckets.join(lists, ["class", "band"])
+    other = rows.select(F.col("key").alias("same"), F.col("class").alias("b"), F.col("component").alias("to"), F.col("n").alias("m"), F.col("common").alias("out"), F.col("keys").alias("others"))
+    met = F.array_intersect("keys", "others")
     # two sets that may differ less than the band's worst pair have more keys in common
     differ = F.floor((F.col("n") + F.col("m")) * (100 - percent) / (100 + percent) + 1e-9)
     granted = _of_band(percent, lambda i: differences(_edges(percent)[i + 1] - 1, percent))
-    return met.where(F.col("count") >= 1 + granted - differ).select("a", "b").distinct()
+    chance = (F.col("class") < F.col("b")) & (F.col("component") != F.col("to")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+    chance &= F.least("common", "out") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+    chance &= (F.size(met) >= 1 + granted - differ) & (F.col("key") == F.array_min(met))
+    return rows.join(other, (F.col("key") == F.col("same")) & chance).select(F.col("class").alias("a"), "b").distinct()
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
