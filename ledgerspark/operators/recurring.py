@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions.calendar import date_tolerance, describe_cadence, expand_occurrences
 from ledgerspark.functions.money import FLOORS, amount_tolerance, as_map, lower_median
-from ledgerspark.functions.text import merchant_key, normalize_descriptor
+from ledgerspark.functions.text import normalize_descriptor
 from ledgerspark.operators import _fit
 
 # Phrases of transfers, in the order in which the first one found is reported.
@@ -83,7 +83,9 @@ def detect_recurring(ledger: DataFrame, today, account_floors: DataFrame | None
     their first row by date; groups of several currencies, and currencies without a floor, are rejected.
     """
     region = F.coalesce("region", F.lit(default_region))
-    named = ledger.withColumns({"normalized": normalize_descriptor(F.col("descriptor_raw"), region), "merchant_key": merchant_key(F.col("descriptor_raw"), region)})
+    # exploding an array of one keeps the optimizer from writing the long expression into each of its uses
+    named = ledger.withColumn("normalized", F.explode(F.array(normalize_descriptor(F.col("descriptor_raw"), region))))
+    named = named.withColumn("merchant_key", F.when(F.col("normalized") == "", F.concat(F.lit("~raw:"), F.lower(F.trim("descriptor_raw")))).otherwise(F.col("normalized")))
     reason, detail = exclusion(F.col("amount_minor"), F.col("kind"), F.col("normalized"), use_descriptor_heuristic)
     named = named.withColumns({"reason": reason, "detail": detail})
     excluded = named.where("reason IS NOT NULL").select("txn_id", "reason", "detail")
