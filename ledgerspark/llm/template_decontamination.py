@@ -4,13 +4,14 @@ Words become a template: numbers, names (capitalised words inside a sentence) an
 numbers turn into typed placeholders, everything else is lower-cased and bared of punctuation.
 Windows of consecutive template words are hashed and joined with the benchmark's. A document
 holds an item when enough of the item's windows are met; the words that stand in the item's
-slots are then compared: unchanged values make an exact copy, values that are renamed alike
-throughout a re-parameterised one, and values that contradict each other are no copy.
+slots are then compared, occurrence by occurrence: unchanged values make an exact copy, values
+that are renamed alike throughout a re-parameterised one, and values that contradict each other
+are no copy.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.llm._tables import by_ids, kept
@@ -58,13 +59,38 @@ def _windows(rows: DataFrame, length: int, keep: list[str]) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame, length: int) -> DataFrame:
-    """item_id, item_at, window, n_windows, item_words, item_template (of the window) of the items with at least one word; a short item is one window of its own length."""
-    rows = benchmark.select("item_id", words(F.col("text")).alias("words")).withColumn("template", template(F.col("words"))).where(F.size("words") > 0)
+    """item_id, item_hash (of the text), item_at, window, n_windows, item_words, item_template (of the window) of the items with at least one word; a short item is one window of its own length."""
+    rows = benchmark.select("item_id", F.xxhash64("text").alias("item_hash"), words(F.col("text")).alias("words")).withColumn("template", template(F.col("words"))).where(F.size("words") > 0)
     size = F.least(F.lit(length), F.size("template"))
     at = F.sequence(F.lit(0), F.size("template") - size)
     rows = rows.withColumn("length", size).withColumn("n_windows", F.size(at)).withColumn("item_at", F.explode(at))
     part = lambda c: F.slice(c, F.col("item_at") + 1, F.col("length"))
-    return rows.select("item_id", "item_at", F.xxhash64(part("template")).alias("window"), "n_windows", "length", part("words").alias("item_words"), part("template").alias("item_template"))
+    return rows.select("item_id", "item_hash", "item_at", F.xxhash64(part("template")).alias("window"), "n_windows", "length", part("words").alias("item_words"), part("template").alias("item_template"))
+
+
+PAIR = ["doc_id", "text_hash", "item_id", "item_hash", "n_windows"]
+
+
+def _occurrences(met: DataFrame) -> DataFrame:
+    """``ways``: the occurrences of the item that a met window may belong to.
+
+    A document may hold an item several times, with other values each time. Its met windows are
+    taken together by equal shift against the item, by shifts at most half the item apart (words
+    put in or left out), by runs that go forward in the item (however much stands between), and
+    all at once. A pair with one shift has one occurrence.
+    """
+    rows = met.withColumn("shift", F.col("at") - F.col("item_at"))
+    pair, step = Window.partitionBy(*PAIR), F.lit(1)
+    by_shift, by_place = pair.orderBy("shift"), pair.orderBy("at", "item_at")
+    far = F.when((F.col("shift") - F.lag("shift").over(by_shift)) * 2 > F.col("n_windows") + F.col("length") - 1, step).otherwise(0)
+    at, item_at = F.lag("at").over(by_place), F.lag("item_at").over(by_place)
+    back = F.when((F.col("item_at") < item_at) | ((F.col("item_at") == item_at) & (F.col("at") > at)), step).otherwise(0)
+    rows = rows.withColumns({"far": far, "back": back, "one": F.min("shift").over(pair) == F.max("shift").over(pair)})
+    rows = rows.withColumns({"near": F.sum("far").over(by_shift.rowsBetween(Window.unboundedPreceding, 0)), "run": F.sum("back").over(by_place.rowsBetween(Window.unboundedPreceding, 0))})
+    way = lambda k, of: F.struct(F.lit(k).alias("by"), of.cast("bigint").alias("number"))
+    whole = way(0, F.lit(0))
+    ways = F.when(F.col("one"), F.array(whole)).otherwise(F.array(whole, way(1, F.col("shift")), way(2, F.col("near")), way(3, F.col("run"))))
+    return rows.withColumn("ways", ways).select(*met.columns, "ways")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
@@ -91,8 +117,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     met = kept(met, "met")
     ids = kept(met.select("text_hash").distinct(), "ids")
     texts = by_ids(docs, ids, ["text_hash"], "left_semi").dropDuplicates(["text_hash"]).select("text_hash", words(F.col("text")).alias("all"))
-    found = met.join(texts, "text_hash").withColumn("words", F.slice("all", F.col("at") + 1, F.col("length"))).drop("all")
-    pair = ["doc_id", "text_hash", "item_id", "n_windows"]
+    found = _occurrences(met).join(texts, "text_hash").withColumn("words", F.slice("all", F.col("at") + 1, F.col("length"))).drop("all").withColumn("way", F.explode("ways"))
+    pair = [*PAIR, "way"]
     slots = F.filter(F.arrays_zip(F.col("item_template").alias("kind"), F.col("item_words").alias("was"), F.col("words").alias("is")), lambda s: s["kind"].isin(NAME, NUMBER, UNIT))
     each = found.select(*pair, "item_at", F.explode_outer(F.array_distinct(slots)).alias("slot"))
     values = each.groupBy(*pair, "slot.kind", "slot.was").agg(F.min("slot.is").alias("x"), F.max("slot.is").alias("y"))
@@ -102,5 +128,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     both = matched.join(values, same).select(*(matched[c] for c in pair), "n_matched", "n_slots", "n_torn", "n_changed")
     # a few repeated values inside one item may be torn by chance; half of all slots is a contradiction
     held = both.where((F.col("n_torn") * 2 <= F.col("n_slots")) | (F.col("n_changed") == 0))
-    best = held.groupBy("doc_id", "text_hash", "item_id").agg(F.max_by(F.struct("n_windows", "n_matched", "n_slots", "n_changed"), F.struct(F.col("n_matched") / F.col("n_windows"), "n_windows")).alias("b"))
+    # the fullest occurrence counts, of these the least changed
+    order = F.struct(F.col("n_matched") / F.col("n_windows"), "n_windows", -F.col("n_changed"), "n_slots")
+    best = held.groupBy("doc_id", "text_hash", "item_id").agg(F.max_by(F.struct("n_windows", "n_matched", "n_slots", "n_changed"), order).alias("b"))
     return best.select("doc_id", "text_hash", "item_id", "b.*", F.when(F.col("b.n_changed") == 0, "exact").otherwise("renamed").alias("kind"))

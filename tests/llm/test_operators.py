@@ -169,6 +169,21 @@ def test_decontamination_finds_copies_and_renamed_questions(spark):
     assert got == {(1, 7, "exact"), (2, 7, "renamed")}
 
 
+def test_decontamination_judges_each_occurrence(spark):
+    item = "if the man named Anna buys 12 apples and gives 5 kg of them to her friend Bob how many are left for the cake"
+    other = item.replace("Anna", "Carla").replace("Bob", "Dirk").replace("12", "31").replace("5 kg", "7 lb")
+    third = item.replace("Anna", "Emil").replace("Bob", "Frida").replace("12", "44").replace("5 kg", "9 g")
+    padded = other.replace("of them", "of them " + "and so on " * 12)
+    torn = item.replace("Anna", "Carla") + " " + "filler " * 3 + item[:40]
+    texts = [item + " " + other, other + " and then " + third, item + " " + padded, padded + " " + third.replace("friend", "old friend"), " ".join([other, third, item]), torn, item.replace("12", "13")]
+    docs = table(spark, list(enumerate(texts)))
+    bench = spark.createDataFrame([(7, item), (8, third)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in template_decontamination.contaminated(docs, bench).collect()}
+    want = {(0, 7): "exact", (1, 7): "renamed", (2, 7): "exact", (3, 7): "renamed", (4, 7): "exact", (1, 8): "exact", (4, 8): "exact", (5, 7): "renamed", (6, 7): "renamed"}
+    assert {k: got.get(k) for k in want} == want
+    assert {d for d, _ in got} == set(range(len(texts)))
+
+
 def test_secret_scan(spark, rows):
     secrets = [(7000 + k, f"some words before password = {hashlib.sha1(str(k).encode()).hexdigest()} and after it more words of the text " * 2) for k in range(40)]
     docs = table(spark, rows + secrets + [(7100, 'TOKEN: "abc" api-key=abcdef AKIA' + "Q" * 16)])
