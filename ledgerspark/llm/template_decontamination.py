@@ -2,6 +2,8 @@
 
 Words become a template: numbers, names (capitalised words inside a sentence) and units after
 numbers turn into typed placeholders, everything else is lower-cased and bared of punctuation.
+Where any word would be capitalised (the start of a sentence, a line, a quotation, the text) a
+capitalised word may be a name or not, so its windows are hashed by both readings.
 Windows of consecutive template words are hashed and joined with the benchmark's. A document
 holds an item when enough of the item's windows are met; the words that stand in the item's
 slots are then compared, occurrence by occurrence: unchanged values make an exact copy, values
@@ -20,7 +22,7 @@ from ledgerspark.llm._tables import by_ids, kept
 WINDOW, SHARE = 8, 0.5
 #: Benchmark windows broadcast at most; beyond, both sides are shuffled.
 BROADCAST_WINDOWS = 1_000_000
-NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
+NAME, NUMBER, UNIT, MAYBE = "\u0001", "\u0002", "\u0003", "\u0004"
 # Words that count as units after a number.
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres "
@@ -32,40 +34,60 @@ UNITS = (
 
 
 def words(text: Column) -> Column:
-    """The text's words in order; names and numbers carry a mark in front."""
-    x = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT, "   ")
+    """The text's words in order; names, words that may be names, and numbers carry a mark in front."""
+    x = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT + MAYBE, "    ")
     x = F.regexp_replace(x, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)", NAME + "$1")
+    x = F.regexp_replace(x, rf"(?<![\p{{L}}\p{{N}}{NAME}])(\p{{Lu}}\p{{Ll}}+)", MAYBE + "$1")
     x = F.regexp_replace(x, r"\p{N}[\p{N}.,:/]*", NUMBER + "$0")
-    return F.filter(F.split(F.lower(x), rf"[^\p{{L}}\p{{N}}{NAME}{NUMBER}.,:/]+|[.,:/]+(?!\p{{N}})|(?<![\p{{N}}])[.,:/]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(x), rf"[^\p{{L}}\p{{N}}{NAME}{NUMBER}{MAYBE}.,:/]+|[.,:/]+(?!\p{{N}})|(?<![\p{{N}}])[.,:/]+"), lambda w: w != "")
+
+
+def _bare(word: Column) -> Column:
+    return F.translate(word, NAME + MAYBE, "")
 
 
 def template(of: Column) -> Column:
-    """The placeholders and plain words for ``words``."""
+    """The placeholders and plain words for ``words``; a word that may be a name keeps its mark."""
 
     def one(w: Column, i: Column) -> Column:
         mark = F.substring(w, 1, 1)
         after = F.when(i > 0, F.substring(F.get(of, i - 1), 1, 1)) == NUMBER
-        return F.when(mark.isin(NAME, NUMBER), mark).when(after & w.isin(UNITS), UNIT).otherwise(w)
+        return F.when(mark.isin(NAME, NUMBER), mark).when(after & F.ltrim(w, F.lit(MAYBE)).isin(UNITS), UNIT).otherwise(w)
 
     return F.transform(of, one)
 
 
+def _readings(part: Column) -> Column:
+    """All templates that a part of a template can be read as: a word that may be a name as a name and as a plain word."""
+    one = lambda w: F.when(F.substring(w, 1, 1) == MAYBE, F.array(F.lit(NAME), F.substring(w, 2, 1 << 30))).otherwise(F.array(w))
+    start = F.array(F.array().cast("array<string>"))
+    return F.aggregate(part, start, lambda found, w: F.flatten(F.transform(found, lambda x: F.transform(one(w), lambda y: F.concat(x, F.array(y))))))
+
+
 def _windows(rows: DataFrame, length: int, keep: list[str]) -> DataFrame:
-    """at, window (hash), one row for each window of ``length`` template words of each row."""
+    """at, window (hash), one row for each reading of each window of ``length`` template words of each row."""
     n = F.size("template") - length
-    hashes = F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.slice("template", i + 1, length)))
+
+    def hashes(i: Column) -> Column:
+        part = F.slice("template", i + 1, length)
+        maybe = F.array_contains(F.slice("marks", i + 1, length), MAYBE)
+        return F.when(maybe, F.transform(_readings(part), lambda x: F.xxhash64(x))).otherwise(F.array(F.xxhash64(part)))
+
     # outer, and no filter on the template: a filter would be pushed below and compute the words again for every word
-    return rows.select(*keep, F.posexplode_outer(F.when(n >= 0, hashes)).alias("at", "window"))
+    rows = rows.withColumn("marks", F.transform("template", lambda w: F.substring(w, 1, 1)))
+    found = rows.select(*keep, F.posexplode_outer(F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), hashes))).alias("at", "windows"))
+    return found.select(*keep, "at", F.explode_outer("windows").alias("window"))
 
 
 def benchmark_windows(benchmark: DataFrame, length: int) -> DataFrame:
-    """item_id, item_hash (of the text), item_at, window, n_windows, item_words, item_template (of the window) of the items with at least one word; a short item is one window of its own length."""
+    """item_id, item_hash (of the text), item_at, window, n_windows, item_words, item_template (of the window) of the items with at least one word, one row for each reading of a window; a short item is one window of its own length."""
     rows = benchmark.select("item_id", F.xxhash64("text").alias("item_hash"), words(F.col("text")).alias("words")).withColumn("template", template(F.col("words"))).where(F.size("words") > 0)
     size = F.least(F.lit(length), F.size("template"))
     at = F.sequence(F.lit(0), F.size("template") - size)
     rows = rows.withColumn("length", size).withColumn("n_windows", F.size(at)).withColumn("item_at", F.explode(at))
     part = lambda c: F.slice(c, F.col("item_at") + 1, F.col("length"))
-    return rows.select("item_id", "item_hash", "item_at", F.xxhash64(part("template")).alias("window"), "n_windows", "length", part("words").alias("item_words"), part("template").alias("item_template"))
+    rows = rows.withColumn("reading", F.explode(_readings(part("template"))))
+    return rows.select("item_id", "item_hash", "item_at", F.xxhash64("reading").alias("window"), "n_windows", "length", part("words").alias("item_words"), part("template").alias("item_template"))
 
 
 PAIR = ["doc_id", "text_hash", "item_id", "item_hash", "n_windows"]
@@ -114,14 +136,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
         met = own if met is None else met.unionByName(own)
     if met is None:
         return spark.createDataFrame([], "doc_id bigint, text_hash bigint, item_id bigint, n_windows int, n_matched bigint, n_slots bigint, n_changed bigint, kind string")
-    met = kept(met, "met")
+    met = kept(met.drop("window").distinct(), "met")  # a window may be met by several readings
     ids = kept(met.select("text_hash").distinct(), "ids")
     texts = by_ids(docs, ids, ["text_hash"], "left_semi").dropDuplicates(["text_hash"]).select("text_hash", words(F.col("text")).alias("all"))
-    found = _occurrences(met).join(texts, "text_hash").withColumn("words", F.slice("all", F.col("at") + 1, F.col("length"))).drop("all").withColumn("way", F.explode("ways"))
-    pair = [*PAIR, "way"]
-    slots = F.filter(F.arrays_zip(F.col("item_template").alias("kind"), F.col("item_words").alias("was"), F.col("words").alias("is")), lambda s: s["kind"].isin(NAME, NUMBER, UNIT))
-    each = found.select(*pair, "item_at", F.explode_outer(F.array_distinct(slots)).alias("slot"))
-    values = each.groupBy(*pair, "slot.kind", "slot.was").agg(F.min("slot.is").alias("x"), F.max("slot.is").alias("y"))
+    found = _occurrences(met).join(texts, "text_hash").withColumn("words", F.slice("all", F.col("at") + 1, F.col("length"))).drop("all")
+    maybe = lambda w: F.substring(w, 1, 1) == MAYBE
+    slots = F.filter(F.arrays_zip(F.col("item_template").alias("kind"), F.col("item_words").alias("was"), F.col("words").alias("is")), lambda s: s["kind"].isin(NAME, NUMBER, UNIT) | maybe(s["kind"]))
+    # sure: a slot whatever its value; open: a slot only by the reading as a name
+    slots = F.transform(slots, lambda s: F.struct(F.when(maybe(s["kind"]), NAME).otherwise(s["kind"]).alias("kind"), _bare(s["was"]).alias("was"), _bare(s["is"]).alias("is"), (~maybe(s["kind"])).alias("sure"), (maybe(s["kind"]) | maybe(s["is"])).alias("open")))
+    found = found.withColumn("slots", F.array_distinct(slots))
+    # each occurrence is judged with all windows, and with those alone in which no open slot is changed
+    plain = ~F.exists("slots", lambda s: s["open"] & (s["was"] != s["is"]))
+    pair = [*PAIR, "way", "plain"]
+    found = found.withColumn("plain", F.explode(F.when(plain, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))).withColumn("way", F.explode("ways"))
+    each = found.select(*pair, "item_at", F.explode_outer("slots").alias("slot"))
+    values = each.groupBy(*pair, "slot.kind", "slot.was").agg(F.min("slot.is").alias("x"), F.max("slot.is").alias("y"), F.max("slot.sure").alias("sure"))
+    # a word that may be a name and stands unchanged is no slot
+    values = values.withColumn("was", F.when(F.expr("sure OR was <> x OR was <> y"), F.col("was")))
     values = values.groupBy(*pair).agg(F.count("was").alias("n_slots"), F.count_if(F.expr("x <> y")).alias("n_torn"), F.count_if(F.expr("was <> x OR was <> y")).alias("n_changed"))
     matched = found.groupBy(*pair).agg(F.countDistinct("item_at").alias("n_matched")).where(F.col("n_matched") >= F.col("n_windows") * share)
     same = [matched[c].eqNullSafe(values[c]) for c in pair]

@@ -184,6 +184,23 @@ def test_decontamination_judges_each_occurrence(spark):
     assert {d for d, _ in got} == set(range(len(texts)))
 
 
+def test_decontamination_reads_names_at_the_start_of_sentences(spark):
+    item = "Anna buys twelve apples and gives her brother 5 kg. Bob then counts what is left for the 3 cakes."
+    short = "Anna walks 5 km every single day."
+    named = lambda x, a, b: x.replace("Anna", a).replace("Bob", b)
+    plain = "The river rises in the north and runs past two old mills. Nobody has ever drawn a map of it for the town."
+    texts = [
+        named(item, "Carla", "Dirk"), "Question:\n" + named(item, "Carla", "Dirk").replace("5 kg", "7 lb"), 'he asked "' + named(item, "Will", "Mark") + '"', named(item, "Carla", "Carla"), item, item.lower(),
+        "It was said that " + named(item, "Carla", "Dirk"), "intro. " + named(short, "Carla", ""), "Well, " + short.lower(), plain, plain.lower(), "THE river" + plain[9:], "And then the river" + plain[9:], plain.replace("Nobody", "Somebody"),
+        "- " + named(item, "Carla", "Dirk").replace("twelve apples", "old pears").replace("counts what", "eats all that"),
+    ]
+    bench = spark.createDataFrame([(1, item), (2, short), (3, plain)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in template_decontamination.contaminated(table(spark, list(enumerate(texts))), bench).collect()}
+    want = {(k, 1): "exact" if k in (4, 5) else "renamed" for k in range(7)} | {(7, 2): "renamed", (8, 2): "exact", (9, 3): "exact", (10, 3): "exact", (11, 3): "exact", (12, 3): "exact"}
+    assert got.pop((13, 3)) in ("exact", "renamed")
+    assert {k: v for k, v in got.items() if k[0] != 3} == {k: v for k, v in want.items() if k[0] != 3}
+
+
 def test_secret_scan(spark, rows):
     secrets = [(7000 + k, f"some words before password = {hashlib.sha1(str(k).encode()).hexdigest()} and after it more words of the text " * 2) for k in range(40)]
     docs = table(spark, rows + secrets + [(7100, 'TOKEN: "abc" api-key=abcdef AKIA' + "Q" * 16)])
