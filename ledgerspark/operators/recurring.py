@@ -14,6 +14,7 @@ from ledgerspark.functions.calendar import date_tolerance, describe_cadence, exp
 from ledgerspark.functions.money import FLOORS, amount_tolerance, as_map, lower_median
 from ledgerspark.functions.text import normalize_descriptor
 from ledgerspark.operators import _fit
+from ledgerspark.operators.ledger import first_of
 
 # Phrases of transfers, in the order in which the first one found is reported.
 TRANSFERS = ("autopay", "payment thank you", "online payment", "card payment", "credit card payment", "internal transfer", "funds transfer", "transfer to", "transfer from", "ach transfer", "zelle", "neft", "rtgs", "imps")
@@ -93,7 +94,8 @@ def detect_recurring(ledger: DataFrame, today, account_floors: DataFrame | None
     rows = named.where("reason IS NULL").select("account_id", "merchant_key", F.when(F.col("amount_minor") < 0, "outflow").otherwise("inflow").alias("direction"), "txn_id", "posted_at", F.abs("amount_minor").alias("magnitude"), "currency")
     again = rows.groupBy("txn_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("txn_id")
     repeated = rows.join(again, "txn_id", "left_semi")
-    rows = rows.join(again, "txn_id", "left_anti")
+    first, repeated = first_of(repeated, ["txn_id"], ["posted_at", *key, "magnitude", "currency"])
+    rows = rows.join(again, "txn_id", "left_anti").unionByName(first)
     groups = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("currency").alias("x"), F.max("currency").alias("y"))
     rows = rows.join(groups, key)
     mixed = rows.where("x <> y")

@@ -124,6 +124,19 @@ def test_recurring_golden_cases(spark):
     assert [(s.effective_from, s.previous_minor, s.new_minor, s.annualised_minor, s.confidence) for s in steps] == [(D(2026, 4, 5), 1549, 1799, 3000, "high")]
 
 
+def test_recurring_keeps_the_first_row_of_a_repeated_id(spark):
+    days = [D(2026, m, 5) for m in range(1, 7)]
+    rows = _series("a", days, [1549] * 3 + [1799] * 3)
+    late = [(r[0], r[1], r[2] + dt.timedelta(days=9), r[3] - 1, *r[4:]) for r in rows[:2]]
+    want = recurring.detect_recurring(spark.createDataFrame(rows, TXN), D(2026, 6, 30))
+    found = recurring.detect_recurring(spark.createDataFrame(late + rows + rows[1:4], TXN), D(2026, 6, 30))
+    assert found.streams.collect() == want.streams.collect() and want.streams.first().n == 6
+    assert sorted(r.txn_id for r in found.occurrences.collect()) == [r[0] for r in rows]
+    assert sorted((r.txn_id, r.reason) for r in found.rejects.collect()) == sorted((r[0], "duplicate_id") for r in late + rows[1:4])
+    steps = price_steps.detect_price_steps(found.occurrences, found.streams).steps.collect()
+    assert [(s.effective_from, s.previous_minor, s.new_minor) for s in steps] == [(D(2026, 4, 5), 1549, 1799)]
+
+
 def test_price_levels():
     roles = lambda a: [r for r, _, _ in price_steps.split_levels(a, 100, 0.02, 2)]
     assert roles([1549, 1549, 2600, 1549]) == ["level", "level", "outlier", "level"]
