@@ -3,7 +3,8 @@
 Words become a template: numbers, names (capitalised words inside a sentence) and units after
 numbers turn into typed placeholders, everything else is lower-cased and bared of punctuation.
 Where any word would be capitalised (the start of a sentence, a line, a quotation, the text) a
-capitalised word may be a name or not, so its windows are hashed by both readings.
+capitalised word may be a name or not, so a window with such words is hashed twice: with all of
+them as names, and with all of them as plain words.
 Windows of consecutive template words are hashed and joined with the benchmark's. A document
 holds an item when enough of the item's windows are met; the words that stand in the item's
 slots are then compared, occurrence by occurrence: unchanged values make an exact copy, values
@@ -22,7 +23,8 @@ from ledgerspark.llm._tables import by_ids, kept
 WINDOW, SHARE = 8, 0.5
 #: Benchmark windows broadcast at most; beyond, both sides are shuffled.
 BROADCAST_WINDOWS = 1_000_000
-NAME, NUMBER, UNIT, MAYBE = "\u0001", "\u0002", "\u0003", "\u0004"
+NAME, NUMBER, UNIT, MAYBE, POINT = "\u0001", "\u0002", "\u0003", "\u0004", "\u0005"
+MARKS = NAME + NUMBER + UNIT + MAYBE + POINT
 # Words that count as units after a number.
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres "
@@ -35,11 +37,16 @@ UNITS = (
 
 def words(text: Column) -> Column:
     """The text's words in order; names, words that may be names, and numbers carry a mark in front."""
-    x = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT + MAYBE, "    ")
-    x = F.regexp_replace(x, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)", NAME + "$1")
-    x = F.regexp_replace(x, rf"(?<![\p{{L}}\p{{N}}{NAME}])(\p{{Lu}}\p{{Ll}}+)", MAYBE + "$1")
-    x = F.regexp_replace(x, r"\p{N}[\p{N}.,:/]*", NUMBER + "$0")
-    return F.filter(F.split(F.lower(x), rf"[^\p{{L}}\p{{N}}{NAME}{NUMBER}{MAYBE}.,:/]+|[.,:/]+(?!\p{{N}})|(?<![\p{{N}}])[.,:/]+"), lambda w: w != "")
+    x = F.translate(F.coalesce(text, F.lit("")), MARKS, " " * len(MARKS))
+    # the patterns begin with what is rare, so that most places fail at once
+    x = F.regexp_replace(x, r"\p{Lu}(?<=[\p{Ll},;] \p{Lu})\p{Ll}+", NAME + "$0")
+    x = F.regexp_replace(x, rf"\p{{Lu}}(?<![\p{{L}}\p{{N}}{NAME}]\p{{Lu}})\p{{Ll}}+", MAYBE + "$0")
+    x = F.regexp_replace(x, r"[.,:/](?<=\p{N}[.,:/])(?=\p{N})", POINT)
+    x = F.regexp_replace(x, rf"\p{{N}}[\p{{N}}{POINT}]*", NUMBER + "$0")
+    found = F.split(F.lower(x), rf"[^\p{{L}}\p{{N}}{MARKS}]+")
+    # only the first and the last can be empty
+    first, last = F.element_at(found, 1) == "", (F.size(found) > 1) & (F.element_at(found, -1) == "")
+    return F.slice(found, F.when(first, 2).otherwise(1), F.size(found) - first.cast("int") - last.cast("int"))
 
 
 def _bare(word: Column) -> Column:
@@ -50,44 +57,39 @@ def template(of: Column) -> Column:
     """The placeholders and plain words for ``words``; a word that may be a name keeps its mark."""
 
     def one(w: Column, i: Column) -> Column:
-        mark = F.substring(w, 1, 1)
-        after = F.when(i > 0, F.substring(F.get(of, i - 1), 1, 1)) == NUMBER
-        return F.when(mark.isin(NAME, NUMBER), mark).when(after & F.ltrim(w, F.lit(MAYBE)).isin(UNITS), UNIT).otherwise(w)
+        mark = F.ascii(w)
+        after = F.when(i > 0, F.ascii(F.get(of, i - 1))) == ord(NUMBER)
+        return F.when(mark == ord(NAME), NAME).when(mark == ord(NUMBER), NUMBER).when(after & F.ltrim(w, F.lit(MAYBE)).isin(UNITS), UNIT).otherwise(w)
 
     return F.transform(of, one)
 
 
-def _readings(part: Column) -> Column:
-    """All templates that a part of a template can be read as: a word that may be a name as a name and as a plain word."""
-    one = lambda w: F.when(F.substring(w, 1, 1) == MAYBE, F.array(F.lit(NAME), F.substring(w, 2, 1 << 30))).otherwise(F.array(w))
-    start = F.array(F.array().cast("array<string>"))
-    return F.aggregate(part, start, lambda found, w: F.flatten(F.transform(found, lambda x: F.transform(one(w), lambda y: F.concat(x, F.array(y))))))
+def _windows(rows: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
+    """length, at, window (hash): one row for each window of each row's template, and one more where a word may be a name or not."""
+    names = F.transform("template", lambda w: F.xxhash64(F.when(F.ascii(w) == ord(MAYBE), NAME).otherwise(w)))
+    plain = F.transform("template", lambda w: F.xxhash64(F.ltrim(w, F.lit(MAYBE))))
+    rows = rows.select(*keep, names.alias("names"), plain.alias("plain"))
+    # outer, and no filter: a filter would be pushed below and compute the words again for every word
+    rows = rows.select("*", F.explode_outer(F.array(*map(F.lit, lengths))).alias("length"))
+    n = F.size("names") - F.col("length")
+    rows = rows.select("*", F.explode_outer(F.when(n >= 0, F.sequence(F.lit(0), n))).alias("at"))
 
+    def hashed(of: str) -> Column:
+        one = {n: F.xxhash64(F.lit(n), *(F.get(of, F.col("at") + k) for k in range(n))) for n in lengths}
+        return F.coalesce(*(F.when(F.col("length") == n, x) for n, x in one.items()))
 
-def _windows(rows: DataFrame, length: int, keep: list[str]) -> DataFrame:
-    """at, window (hash), one row for each reading of each window of ``length`` template words of each row."""
-    n = F.size("template") - length
-
-    def hashes(i: Column) -> Column:
-        part = F.slice("template", i + 1, length)
-        maybe = F.array_contains(F.slice("marks", i + 1, length), MAYBE)
-        return F.when(maybe, F.transform(_readings(part), lambda x: F.xxhash64(x))).otherwise(F.array(F.xxhash64(part)))
-
-    # outer, and no filter on the template: a filter would be pushed below and compute the words again for every word
-    rows = rows.withColumn("marks", F.transform("template", lambda w: F.substring(w, 1, 1)))
-    found = rows.select(*keep, F.posexplode_outer(F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), hashes))).alias("at", "windows"))
-    return found.select(*keep, "at", F.explode_outer("windows").alias("window"))
+    rows = rows.select(*keep, "length", "at", hashed("names").alias("by_names"), hashed("plain").alias("by_words"))
+    both = F.array("by_names", F.when(F.col("by_names") != F.col("by_words"), F.col("by_words")))
+    return rows.select(*keep, "length", "at", F.explode_outer(both).alias("window"))
 
 
 def benchmark_windows(benchmark: DataFrame, length: int) -> DataFrame:
-    """item_id, item_hash (of the text), item_at, window, n_windows, item_words, item_template (of the window) of the items with at least one word, one row for each reading of a window; a short item is one window of its own length."""
+    """item_id, item_hash (of the text), item_at, window, n_windows, length, item_words, item_template (of the window) of the items with at least one word, one row for each reading of a window; a short item is one window of its own length."""
     rows = benchmark.select("item_id", F.xxhash64("text").alias("item_hash"), words(F.col("text")).alias("words")).withColumn("template", template(F.col("words"))).where(F.size("words") > 0)
-    size = F.least(F.lit(length), F.size("template"))
-    at = F.sequence(F.lit(0), F.size("template") - size)
-    rows = rows.withColumn("length", size).withColumn("n_windows", F.size(at)).withColumn("item_at", F.explode(at))
-    part = lambda c: F.slice(c, F.col("item_at") + 1, F.col("length"))
-    rows = rows.withColumn("reading", F.explode(_readings(part("template"))))
-    return rows.select("item_id", "item_hash", "item_at", F.xxhash64("reading").alias("window"), "n_windows", "length", part("words").alias("item_words"), part("template").alias("item_template"))
+    rows = rows.withColumn("own", F.least(F.lit(length), F.size("template")))
+    found = _windows(rows, list(range(1, length + 1)), ["item_id", "item_hash", "words", "template", "own"]).where("length = own AND window IS NOT NULL")
+    part = lambda c: F.slice(c, F.col("at") + 1, F.col("length"))
+    return found.select("item_id", "item_hash", F.col("at").alias("item_at"), "window", (F.size("template") - F.col("length") + 1).alias("n_windows"), "length", part("words").alias("item_words"), part("template").alias("item_template"))
 
 
 PAIR = ["doc_id", "text_hash", "item_id", "item_hash", "n_windows"]
@@ -129,14 +131,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     lengths = [r[0] for r in items.select("length").distinct().collect()]  # 1..window at most
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     rows = docs.select("doc_id", "text_hash", words(F.col("text")).alias("words")).select("doc_id", "text_hash", template(F.col("words")).alias("template"))
-    met = None
-    for length in sorted(lengths):
-        some = items.where(F.col("length") == length).drop("length")
-        own = _windows(rows, length, ["doc_id", "text_hash"]).join(F.broadcast(some) if few else some, "window").withColumn("length", F.lit(length))
-        met = own if met is None else met.unionByName(own)
-    if met is None:
+    if not lengths:
         return spark.createDataFrame([], "doc_id bigint, text_hash bigint, item_id bigint, n_windows int, n_matched bigint, n_slots bigint, n_changed bigint, kind string")
-    met = kept(met.drop("window").distinct(), "met")  # a window may be met by several readings
+    met = _windows(rows, sorted(lengths), ["doc_id", "text_hash"]).drop("length").join(F.broadcast(items) if few else items, "window")
+    met = kept(met.drop("window").distinct(), "met")  # a window may be met by both readings
     ids = kept(met.select("text_hash").distinct(), "ids")
     texts = by_ids(docs, ids, ["text_hash"], "left_semi").dropDuplicates(["text_hash"]).select("text_hash", words(F.col("text")).alias("all"))
     found = _occurrences(met).join(texts, "text_hash").withColumn("words", F.slice("all", F.col("at") + 1, F.col("length"))).drop("all")
