@@ -18,9 +18,8 @@ with one hub, the member that shares most with others, and linked members form c
 In buckets that still hold several components, sets are ruled out that have too many n-grams
 that no other set of such buckets has (they count against any partner, which ends the matter for
 most variants of one much-copied text). Of the others, all pairs between different components are
-taken, each once, but for those whose sizes or own n-grams forbid it. So no link between
-components is lost. (Further hubs were tried: on many variants of one text two more turns left
-222,454 of 231,468 pairs.)
+taken, each once, but for those whose sizes, own n-grams or sketches forbid it. So no link
+between components is lost.
 
 Sets are compared by 64-bit hashes of their n-grams.
 """
@@ -46,6 +45,7 @@ LEFT_OUT = 0.1
 #: Cost of a segment of one element at most, in keys: its key meets others by chance.
 THIN = 0.5
 _BAND_BITS = 10
+SKETCH = [f"sketch{i}" for i in range(8)]
 _SEGMENT, _BAND = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -177,6 +177,24 @@ def _keys(grams: np.ndarray, bound: np.ndarray, which: np.ndarray, percent: int)
     return (key & ~bits) | (number[of].astype(np.uint64) & bits), doc[of]
 
 
+def _sketches(grams: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Eight words of bits of each document: a bit tells whether an odd number of its grams fall on it.
+
+    Every element that only one of two sets has turns one bit, so as many bits as their sketches
+    differ in, at least as many elements do the sets.
+    """
+    size, spread = np.diff(bound), mix(grams ^ _BAND)
+    cell = np.repeat(np.arange(len(size)), size) * 512 + (spread % np.uint64(512)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=512 * len(size)) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(-1, 512), axis=1).view(np.uint64)
+
+
+def _may_reach(n: F.Column, m: F.Column, other: str, percent: int) -> F.Column:
+    """Whether two sets of n and m elements may reach the threshold, by their sketches (the second one's with ``other`` behind the names)."""
+    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(x + other))) for x in SKETCH), F.lit(0))
+    return differ * (100 + percent) <= (n + m) * (100 - percent)
+
+
 def _rows(n: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -208,14 +226,18 @@ def _sets(n: int):
         for part in parts:
             for b in blocks(part["text"]):
                 grams, bound = gram_sets(b, n)
-                yield pa.RecordBatch.from_arrays([pa.array(i64(_classes(grams, bound))), pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(i64(grams)))], ["class", "grams"])
+                sketch = [pa.array(x) for x in i64(_sketches(grams, bound)).T]
+                yield pa.RecordBatch.from_arrays([pa.array(i64(_classes(grams, bound))), pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(i64(grams))), *sketch], ["class", "grams", *SKETCH])
 
     return run
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes with the sizes of intersection and union."""
-    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("class").alias("b"), F.col("grams").alias("gb")), "b")
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that may reach the threshold, with the sizes of intersection and union."""
+    sketch = sets.select("class", F.size("grams").alias("size"), *SKETCH)
+    second = sketch.select(F.col("class").alias("b"), F.col("size").alias("size_b"), *(F.col(x).alias(x + "_b") for x in SKETCH))
+    some = pairs.join(sketch.withColumnRenamed("class", "a"), "a").join(second, "b").where(_may_reach(F.col("size"), F.col("size_b"), "_b", percent)).select("a", "b")
+    both = some.join(sets.select(F.col("class").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("class").alias("b"), F.col("grams").alias("gb")), "b")
     met = F.size(F.array_intersect("ga", "gb"))
     return both.select("a", "b", met.alias("met"), (F.size("ga") + F.size("gb") - met).alias("whole"))
 
@@ -273,10 +295,11 @@ def _pairs_left(buckets: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) of classes of different components that may reach the threshold, each from the least key that both have."""
     lists = buckets.groupBy("class", "band").agg(F.collect_set("key").alias("keys"))  # no more than a set has in all
     rows = buckets.join(lists, ["class", "band"])
-    other = rows.select(F.col("key").alias("same"), F.col("class").alias("b"), F.col("component").alias("to"), F.col("n").alias("m"), F.col("common").alias("out"), F.col("keys").alias("others"))
+    other = rows.select(F.col("key").alias("same"), F.col("class").alias("b"), F.col("component").alias("to"), F.col("n").alias("m"), F.col("common").alias("out"), F.col("keys").alias("others"), *(F.col(x).alias(x + "_b") for x in SKETCH))
     met = F.array_intersect("keys", "others")
     chance = (F.col("class") < F.col("b")) & (F.col("component") != F.col("to")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
     chance &= F.least("common", "out") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+    chance &= _may_reach(F.col("n"), F.col("m"), "_b", percent)
     chance &= F.col("key") == F.array_min(met)
     return rows.join(other, (F.col("key") == F.col("same")) & chance).select(F.col("class").alias("a"), "b").distinct()
 
@@ -287,15 +310,16 @@ def link_classes(docs: DataFrame, classes: DataFrame, shingle: int, percent: int
     buckets = _bucketed(docs.mapInArrow(_signatures(shingle, percent), "key bigint, class bigint"), sized, percent)
     rep = kept(buckets.select("class").distinct().join(classes, "class").select("text_hash").distinct(), "rep")
     some = by_ids(docs, rep, ["text_hash"], "left_semi").dropDuplicates(["text_hash"])
-    sets = kept(some.mapInArrow(_sets(shingle), "class bigint, grams array<bigint>").dropDuplicates(["class"]), "sets")
-    tried = kept(_compared(_to_hub(buckets, _hubs(buckets)), sets), "compared")
+    sets = kept(some.mapInArrow(_sets(shingle), "class bigint, grams array<bigint>, " + ", ".join(f"{x} bigint" for x in SKETCH)).dropDuplicates(["class"]), "sets")
+    tried = kept(_compared(_to_hub(buckets, _hubs(buckets)), sets, percent), "compared")
     links = _linked(tried, percent)
     left = _unsettled(buckets, links)
     for _ in range(2):  # without the sets ruled out first, more n-grams are some set's own
         common = kept(_shared_grams(left, sets), "common")
         left = left.drop("common").join(common, "class").where(F.col("common") * 100 >= F.col("n") * percent)
+    left = left.join(sets.select("class", *SKETCH), "class")
     rest = kept(_pairs_left(left, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    return links.unionByName(_linked(kept(_compared(rest, sets), "compared"), percent))
+    return links.unionByName(_linked(kept(_compared(rest, sets, percent), "compared"), percent))
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
