@@ -1,9 +1,11 @@
 """Packing: documents are cut and laid out in sequences of fixed length beside lexically near ones.
 
-Every document becomes token ids and one end id. Documents are dealt into shards of bounded
-size; document frequencies are counted over the whole corpus and, as terms are vocabulary
-ids, are a table of fixed size. Inside a shard an inverted index over each document's most
-telling terms ranks, by BM25, the unused neighbours of a seed. They fill its sequence greedily;
+Every document becomes token ids and one end id. Document frequencies are counted over the
+whole corpus and, as terms are vocabulary ids, are a table of fixed size. Documents are dealt to
+shards by content: each goes to the nearest of as many centres as there are shards (fitted on a
+bounded sample of documents, by BM25 weights projected to a few dimensions), and a crowded centre
+has several shards. Inside a shard an inverted index over all terms of all its documents ranks, by
+BM25, the unused neighbours of a seed. They fill its sequence greedily;
 the last one is cut to fit and what is left of it seeds the next sequence. The rest of a shard
 falls into sequences whose lengths are powers of two, so nothing is padded.
 """
@@ -11,41 +13,70 @@ falls into sequences whose lengths are powers of two, so nothing is padded.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.llm._tables import kept
+from ledgerspark.llm._words import _BASE_BYTE, _BYTE_VALUE, Block, blocks, span_hashes
 
-#: Ids of a sequence; ids of a shard, about; terms of a document in the index; pieces known to a task's cache.
-LENGTH, SHARD_IDS, TERMS, CACHE = 2048, 1_500_000, 12, 400_000
+#: Ids of a sequence; ids of a shard, about; places of a task's cache of units; see ``_Index``.
+LENGTH, SHARD_IDS, CACHE, DENSE = 2048, 1_500_000, 1 << 18, 16
+#: Documents that centres are fitted on, about; centres at most; dimensions.
+SAMPLE, CENTRES, DIMENSIONS = 20_000, 4096, 64
 END = 1
-_LETTERS = re.compile("[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
-_ODD = re.compile("['ªµº]|<\\|")
+_LETTER, _DIGIT, _OTHER = 1, 2, 3
+_KIND = np.full(128, _OTHER, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[48:58] = _DIGIT
 
 
-def _parts(word: bytes) -> list[str]:
-    """A word's runs of Latin-1 letters, lower-cased, and what stands between them.
+def _units(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the units of a block's words, the lower-cased bytes, whether a unit is a plain run of letters, and the number of units before each document.
 
-    The tokenizer splits between letters and anything else and lower-cases each letter by itself.
-    Words with other alphabets, contractions or special tokens are left whole.
+    The tokenizer splits words into runs of letters, single digits and runs of anything else, and
+    lower-cases each letter by itself. Words in ASCII and Latin-1 letters are split so; words with
+    other characters, contractions or the marks of special tokens stay whole.
     """
-    text = word.decode()
-    if _ODD.search(text) or not (text.isascii() or max(text) <= "ÿ"):
-        return [text]
-    return _LETTERS.findall(text.lower())
+    n = len(b.data)
+    data = np.append(b.data, np.uint8(0))
+    kind = np.where(data < 128, _KIND[data & 127], 0).astype(np.uint8)
+    lower = data.copy()
+    lower[(data >= 65) & (data <= 90)] += 32
+    # two-byte letters of Latin-1: C3 80..BF but the signs 97 and B7; 80..9E are upper case
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    follow = data[lead + 1]
+    latin = (follow >= 0x80) & (follow <= 0xBF) & (follow != 0x97) & (follow != 0xB7)
+    lead, follow = lead[latin], follow[latin]
+    kind[lead] = kind[lead + 1] = _LETTER
+    lower[lead[follow <= 0x9E] + 1] += 32
+    # whole words: other alphabets, contractions, special tokens
+    odd = np.zeros(n + 1, np.int64)
+    odd[1:] = np.cumsum((kind[:-1] == 0) | (data[:-1] == 39) | ((data[:-1] == 60) & (data[1:] == 124)))
+    whole = odd[b.end] > odd[b.start]
+    begins = np.zeros(n + 1, bool)
+    inside = np.zeros(n + 1, np.int8)
+    inside[b.start[~whole]] += 1
+    inside[b.end[~whole]] -= 1
+    inside = np.cumsum(inside[:-1]) > 0
+    begins[1:-1] = inside[1:] & inside[:-1] & ((kind[1:-1] != kind[:-2]) | (kind[1:-1] == _DIGIT))
+    begins[b.start] = True
+    start = np.flatnonzero(begins[:-1])
+    of = np.searchsorted(b.start, start, "right") - 1
+    end = np.minimum(np.append(start[1:], n), b.end[of])
+    return start, end, lower[:-1], (kind[start] == _LETTER) & ~whole[of], np.searchsorted(start, np.append(b.start, n)[b.bound])
 
 
 class _Encoder:
-    """Ids of whole texts from ids of the parts of their words, each encoded once while the cache holds it.
+    """Ids of whole texts from ids of the units of their words, each encoded once while the cache holds it.
 
     Words are split at ASCII white space, which the tokenizer drops and nothing of which takes
-    part in any token, so the ids of a text are those of its words in order.
+    part in any token, so the ids of a text are those of its units in order.
     """
 
     def __init__(self, path: str):
@@ -55,38 +86,64 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.last = np.zeros(1 << 16, bool)  # tokens that end a run of letters
         self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _encode(self, parts: set[str]) -> None:
-        plain = [p for p in parts if p[0].isalpha() and _LETTERS.fullmatch(p) and not _ODD.search(p)]
-        for i in range(0, len(plain), 512):
-            some = plain[i : i + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u2")
-            ends = np.flatnonzero(self.last[ids]) + 1
+        self._reset()
+
+    def _reset(self) -> None:
+        """The cache: a unit's hash, and where its ids are, stand in the place that the hash's last bits name; a later unit takes an earlier one's place."""
+        self.hash = np.arange(1, CACHE + 1).astype(np.uint64)  # of no unit of that place
+        self.at, self.size, self.ids, self.used = np.zeros(CACHE, np.int64), np.zeros(CACHE, np.int64), np.zeros(1 << 16, np.uint16), 0
+
+    def _encoded(self, units: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of the units, their ids in it, and how many each has; plain runs of letters go through the tokenizer many at once, told apart by their last tokens."""
+        order, ids, size = [], [], []
+        letters, rest = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
+        for i in range(0, len(letters), 512):
+            some = letters[i : i + 512]
+            own = np.array(self.tokenizer.encode_batch_fast([" ".join([units[k] for k in some])], add_special_tokens=False)[0].ids, np.uint16)
+            ends = np.flatnonzero(self.last[own]) + 1
             if len(ends) == len(some):
-                data = ids.tobytes()
-                at = [0, *(2 * ends).tolist()]
-                for k, part in enumerate(some):
-                    self.parts[part] = data[at[k] : at[k + 1]]
-        rest = [p for p in parts if p not in self.parts]
+                order += some
+                ids.append(own)
+                size.append(np.diff(ends, prepend=0))
+            else:
+                rest += some
         for i in range(0, len(rest), 512):
-            for part, found in zip(rest[i : i + 512], self.tokenizer.encode_batch_fast(rest[i : i + 512], add_special_tokens=False), strict=True):
-                self.parts[part] = np.array(found.ids, "<u2").tobytes()
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 16-bit ids of each text, the end id last."""
-        if len(self.known) > CACHE // 4:
-            self.known = {}
-        if len(self.parts) > CACHE:
-            self.parts = {}
-        split = [(t or "").encode().split() for t in texts]
-        fresh = {w: _parts(w) for w in {w for words in split for w in words} - self.known.keys()}
-        self._encode({p for own in fresh.values() for p in own} - self.parts.keys())
-        for word, own in fresh.items():
-            self.known[word] = b"".join(map(self.parts.__getitem__, own))
-        end = np.array([END], "<u2").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) + end for words in split]
+            some = rest[i : i + 512]
+            own = [x.ids for x in self.tokenizer.encode_batch_fast([units[k] for k in some], add_special_tokens=False)]
+            order += some
+            ids.append(np.array([t for x in own for t in x], np.uint16))
+            size.append(np.array([len(x) for x in own], np.int64))
+        return np.array(order), np.concatenate(ids), np.concatenate(size)
+
+    def __call__(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a block's documents, one after another and each with the end id, and where they begin."""
+        start, end, lower, plain, before = _units(b)
+        key = span_hashes(_BYTE_VALUE[lower], _BASE_BYTE, start, end)
+        if self.used > 16 * CACHE:
+            self._reset()
+        place = key & np.uint64(CACHE - 1)
+        at, size, new = self.at[place], self.size[place], np.flatnonzero(self.hash[place] != key)
+        if len(new):
+            distinct, first, which = np.unique(key[new], return_index=True, return_inverse=True)
+            first = new[first]
+            # a whole word goes as it stands, as its letters may need the tokenizer's own lower-casing
+            raw = [(lower if p else b.data)[s:e].tobytes().decode() for p, s, e in zip(plain[first].tolist(), start[first].tolist(), end[first].tolist(), strict=True)]
+            order, ids, n = self._encoded(raw, plain[first])
+            if self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(ids), np.uint16)])
+            self.ids[self.used : self.used + len(ids)] = ids
+            own_at, own_size = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+            own_at[order], own_size[order] = self.used + np.cumsum(n) - n, n
+            self.used += len(ids)
+            at[new], size[new] = own_at[which], own_size[which]
+            self.hash[place[first]], self.at[place[first]], self.size[place[first]] = distinct, own_at, own_size
+        done = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=done[1:])
+        bound = done[before] + np.arange(len(before))  # an end id after each document
+        made = np.full(bound[-1], END, np.uint16)
+        target = np.arange(done[-1]) + np.repeat(np.repeat(np.arange(len(b)), np.diff(before)), size)
+        made[target] = self.ids[np.repeat(at - done[:-1], size) + np.arange(done[-1])]
+        return made, bound
 
 
 _encoders: dict[str, _Encoder] = {}
@@ -94,59 +151,137 @@ _encoders: dict[str, _Encoder] = {}
 
 def _tokenised(path: str):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(path, _Encoder(path)) if path not in _encoders else _encoders[path]
+        if path not in _encoders:
+            _encoders[path] = _Encoder(path)
         for part in parts:
-            for i in range(0, len(part), 256):
-                rows = part.slice(i, 256)
-                ids = encoder(rows["text"].to_pylist())
-                yield pa.RecordBatch.from_arrays([rows["doc_id"], pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "doc_tokens", "ids"])
+            for b in blocks(part["text"]):
+                ids, bound = _encoders[path](b)
+                column = pa.Array.from_buffers(pa.large_binary(), len(b), [None, pa.py_buffer(2 * bound), pa.py_buffer(ids.astype("<u2"))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part["doc_id"].slice(b.first, len(b)), pa.array(np.diff(bound)), column], ["doc_id", "doc_tokens", "ids"])
 
     return run
 
 
+def _ids(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u2") for x in column]
+
+
 def _frequencies(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count = np.zeros(1 << 16, np.int64)
     for part in parts:
-        for ids in part["ids"]:
-            count[np.unique(np.frombuffer(ids.as_buffer(), "<u2"))] += 1
+        for ids in _ids(part["ids"]):
+            seen = np.zeros(1 << 16, bool)
+            seen[ids] = True
+            count += seen
     terms = np.flatnonzero(count)
     yield pa.RecordBatch.from_arrays([pa.array(terms.astype(np.int32)), pa.array(count[terms])], ["term", "n"])
 
 
+def _weights(ids: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
+    """A document's terms and their BM25 weights."""
+    own, n = np.unique(ids, return_counts=True)
+    return own, idf[own] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(ids) / mean))
+
+
+_projections: dict[int, np.ndarray] = {}
+
+
+def _vectors(column: pa.Array, idf: np.ndarray, mean: float) -> np.ndarray:
+    """The documents' BM25 weights, projected by fixed random signs and of length 1."""
+    if DIMENSIONS not in _projections:
+        _projections[DIMENSIONS] = np.random.default_rng(7).choice(np.array([-1, 1], np.float32), (1 << 16, DIMENSIONS))
+    made = np.zeros((len(column), DIMENSIONS), np.float32)
+    for k, ids in enumerate(_ids(column)):
+        own, weight = _weights(ids, idf, mean)
+        made[k] = weight.astype(np.float32) @ _projections[DIMENSIONS][own]
+    return made / (np.linalg.norm(made, axis=1, keepdims=True) + 1e-9)
+
+
+def _centres(x: np.ndarray, n: int) -> np.ndarray:
+    """``n`` centres of unit vectors by spherical k-means."""
+    if not len(x):
+        return np.zeros((1, DIMENSIONS), np.float32)
+    rng = np.random.default_rng(7)
+    centre = x[rng.choice(len(x), min(n, len(x)), replace=False)]
+    for _ in range(10):
+        near = (x @ centre.T).argmax(1)
+        total = np.zeros_like(centre)
+        np.add.at(total, near, x)
+        centre = np.where(total.any(1, keepdims=True), total, centre)
+        centre /= np.linalg.norm(centre, axis=1, keepdims=True) + 1e-9
+    return centre
+
+
+def _projected(idf: np.ndarray, mean: float):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([part["doc_tokens"], pa.array([x.tobytes() for x in _vectors(part["ids"], idf, mean)], pa.binary())], ["n", "vector"])
+
+    return run
+
+
+def _dealt(idf: np.ndarray, mean: float, centres: np.ndarray):
+    """The documents with the nearest centre."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            near = np.zeros(0, np.int64)
+            for i in range(0, len(part), 1024):
+                near = np.append(near, (_vectors(part["ids"].slice(i, 1024), idf, mean) @ centres.T).argmax(1))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["ids"], pa.array(near.astype(np.int32))], ["doc_id", "ids", "near"])
+
+    return run
+
+
 class _Index:
-    """BM25 over the leading terms of a shard's documents; used documents drop out."""
-
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray):
-        self.idf, self.unused = idf, np.ones(len(docs), bool)
-        mean = max(1.0, sum(map(len, docs)) / max(1, len(docs)))
-        terms, owners, weights = [], [], []
-        self.queries = []
-        for k, ids in enumerate(docs):
-            own, n = np.unique(ids, return_counts=True)
-            weight = idf[own] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(ids) / mean))
-            top = np.lexsort((own, -weight))[:TERMS]
-            terms.append(own[top])
-            owners.append(np.full(len(top), k))
-            weights.append(weight[top])
-            self.queries.append(own[top])
-        term = np.concatenate(terms)
+    """BM25 over all terms of a shard's documents; used documents drop out, and leave the postings when half of them are used.
+
+    Terms that at least every DENSE-th document holds have a row of all documents' weights, other
+    terms have a list: so rows take no more than DENSE places for each posting.
+    """
+
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
+        self.unused, self.alive = np.ones(len(docs), bool), np.arange(len(docs))
+        found = [_weights(ids, idf, mean) for ids in docs]
+        self.terms = [own for own, _ in found]
+        term, weight = np.concatenate(self.terms), np.concatenate([w for _, w in found]).astype(np.float32)
         order = np.argsort(term, kind="stable")
-        self.owner, self.weight = np.concatenate(owners)[order], np.concatenate(weights)[order]
-        self.at = np.searchsorted(term[order], np.arange((1 << 16) + 1))
+        self._set(term[order], np.repeat(np.arange(len(docs)), [len(own) for own in self.terms])[order], weight[order])
+
+    def _set(self, term: np.ndarray, owner: np.ndarray, weight: np.ndarray) -> None:
+        self.posting = term, owner, weight
+        count = np.bincount(term, minlength=1 << 16)
+        often = count * DENSE >= max(len(self.alive), 1)
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.rows = np.zeros((int(often.sum()), len(self.alive)), np.float32)
+        dense = often[term]
+        self.rows[self.row[term[dense]], owner[dense]] = weight[dense]
+        self.owner, self.weight = owner[~dense], weight[~dense]
+        self.at = np.searchsorted(term[~dense], np.arange((1 << 16) + 1))
 
     def ranked(self, seed: int) -> np.ndarray:
         """Unused documents that share a term with the seed, best first."""
-        score = np.zeros(len(self.unused))
-        for term in self.queries[seed]:
-            part = slice(self.at[term], self.at[term + 1])
-            score[self.owner[part]] += self.weight[part]
-        found = np.flatnonzero((score > 0) & self.unused)
-        return found[np.argsort(-score[found], kind="stable")]
-
-
-def pack_shard(docs: list[np.ndarray], idf: np.ndarray, length: int) -> list[tuple[int, int, int, int, int]]:
+        held = self.unused[self.alive]
+        if 2 * np.count_nonzero(held) < len(held):
+            term, owner, weight = self.posting
+            keep, place = held[owner], np.cumsum(held) - 1
+            self.alive = self.alive[held]
+            self._set(term[keep], place[owner[keep]], weight[keep])
+            held = np.ones(len(self.alive), bool)
+        own = self.terms[seed]
+        row = self.row[own]
+        score = self.rows[row[row >= 0]].sum(0)
+        own = own[row < 0]
+        first, size = self.at[own], self.at[own + 1] - self.at[own]
+        part = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        score += np.bincount(self.owner[part], self.weight[part], len(score)).astype(np.float32)
+        found = np.flatnonzero((score > 0) & held)
+        return self.alive[found[np.argsort(-score[found], kind="stable")]]
+
+
+def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, length: int) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of pieces that fill sequences of ``length``, but for the last few, whose lengths are powers of two."""
-    index, pieces = _Index(docs, idf), []
+    index, pieces = _Index(docs, idf, mean), []
     sequence = used = 0
     queue = np.argsort([-len(d) for d in docs], kind="stable").tolist()[::-1]
     current: list[tuple[int, int]] = []  # documents and how far they are laid out, the seed first
@@ -200,32 +335,47 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, length: int) -> list[tup
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-def _packer(idf: np.ndarray, length: int):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids, docs = None, [], []
+def _packer(idf: np.ndarray, mean: float, length: int):
+    """A task's rows are one shard."""
 
-        def packed() -> pa.RecordBatch:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, keys, docs = TaskContext.get().partitionId(), [], []
+        for part in parts:
+            keys += part["doc_id"].to_pylist()
+            docs += _ids(part["ids"])
+        if docs:
             rows = []
-            for doc, start, n, sequence, offset in pack_shard(docs, idf, length):
+            for doc, start, n, sequence, offset in pack_shard(docs, idf, mean, length):
                 data = docs[doc][start : start + n].astype("<u4").tobytes()
-                rows.append((ids[doc], start, n, zlib.crc32(data), len(docs[doc]), (shard << 32) + sequence, offset))
+                rows.append((keys[doc], start, n, zlib.crc32(data), len(docs[doc]), (shard << 32) + sequence, offset))
             names = [c.split()[0] for c in PIECE.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
-
-        for part in parts:
-            for key, doc_id, data in zip(*(part[c].to_pylist() for c in ("shard", "doc_id", "ids")), strict=True):
-                if key != shard:
-                    if docs:
-                        yield packed()
-                    shard, ids, docs = key, [], []
-                ids.append(doc_id)
-                docs.append(np.frombuffer(data, "<u2"))
-        if docs:
-            yield packed()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
     return run
 
 
+def sharded(made: DataFrame, shard_ids: int) -> tuple[DataFrame, np.ndarray, float]:
+    """The documents (doc_id, ids) of tokenised ``made``, a partition for each shard; the idf of all terms; the mean length."""
+    total = made.agg(F.coalesce(F.sum("doc_tokens"), F.lit(0)).alias("ids"), F.count(F.lit(1)).alias("docs")).first()
+    frequency = made.select("ids").mapInArrow(_frequencies, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each vocabulary id at most
+    n = np.zeros(1 << 16)
+    for r in frequency:
+        n[r.term] = r.n
+    idf, mean = np.log1p((total.docs - n + 0.5) / (n + 0.5)), max(1.0, total.ids / max(1, total.docs))
+    shards = max(1, -(-int(total.ids) // shard_ids))
+    some = made.where(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(max(1, total.docs // SAMPLE))) == 0).limit(2 * SAMPLE)
+    rows = sorted(some.mapInArrow(_projected(idf, mean), "n bigint, vector binary").collect())
+    vectors = np.frombuffer(b"".join(r.vector for r in rows), np.float32).reshape(-1, DIMENSIONS)
+    centres = _centres(vectors, min(shards, CENTRES))
+    share = np.bincount((vectors @ centres.T).argmax(1), [r.n for r in rows], len(centres)) / max(1, sum(r.n for r in rows))
+    parts = np.maximum(1, np.ceil(share * total.ids / shard_ids)).astype(int)
+    near = made.select("doc_id", "ids").mapInArrow(_dealt(idf, mean, centres), "doc_id bigint, ids binary, near int")
+    place = lambda x: F.array(*map(F.lit, x.tolist()))[F.col("near")]
+    shard = place(np.cumsum(parts) - parts) + F.pmod(F.xxhash64("ids", "doc_id"), place(parts))
+    near = near.repartitionById(int(parts.sum()), shard.cast("int"))
+    return near.sortWithinPartitions(F.xxhash64("ids"), "doc_id").select("doc_id", "ids"), idf, mean
+
+
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, shard_ids: int = SHARD_IDS) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece.
 
@@ -235,13 +385,5 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, shard_ids:
     An empty table gives no rows.
     """
     made = kept(docs.select("doc_id", "text").mapInArrow(_tokenised(tokenizer_path), "doc_id bigint, doc_tokens bigint, ids binary"), "ids")
-    total = made.agg(F.coalesce(F.sum("doc_tokens"), F.lit(0)).alias("ids"), F.count(F.lit(1)).alias("docs")).first()
-    frequency = made.select("ids").mapInArrow(_frequencies, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each vocabulary id at most
-    n = np.zeros(1 << 16)
-    for r in frequency:
-        n[r.term] = r.n
-    idf = np.log1p((total.docs - n + 0.5) / (n + 0.5))
-    shards = max(1, -(-int(total.ids) // shard_ids))
-    dealt = made.withColumn("shard", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)).cast("int"))
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids")
-    return dealt.select("shard", "doc_id", "ids").mapInArrow(_packer(idf, length), PIECE)
+    dealt, idf, mean = sharded(made, shard_ids)
+    return dealt.mapInArrow(_packer(idf, mean, length), PIECE)
