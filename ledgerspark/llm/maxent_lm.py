@@ -31,7 +31,7 @@ COMMON = 1 << 16
 SINGLE, SUFFIX, ROWS = 23, 40, 1 << 12
 CLASSES = SINGLE + SUFFIX + 1
 END = np.uint64(0x5851F42D4C957F2D)
-BATCH, RATE = 8192, 0.25
+BATCH, RATE = 2048, 0.25  # a batch's rows of all classes fit in a core's cache
 _FEATURES = CLASSES + 1 + (CLASSES + 1) ** 2 + 2 * ROWS
 
 
@@ -84,26 +84,36 @@ def _features(token: np.ndarray, kind: np.ndarray, bound: np.ndarray) -> np.ndar
     return np.stack([one, k + one * k + two, k + k * k + (mix(w1) % rows).astype(np.int64), k + k * k + ROWS + (mix(w2 ^ END) % rows).astype(np.int64)])
 
 
-def _log_softmax(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _exponents(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Exponents of the classes, the largest of each token 0."""
     z = weights[at[0]]
     for row in at[1:]:
         z += weights[row]
     z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
+def _picked(weights: np.ndarray, at: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Log probability of each token's class."""
+    z = _exponents(weights, at)
+    own = z[np.arange(len(kind)), kind]
+    return own - np.log(np.exp(z, out=z).sum(1))
+
+
 def _step(weights: np.ndarray, square: np.ndarray, at: np.ndarray, kind: np.ndarray) -> None:
     """One AdaGrad step on a batch of tokens."""
-    slope = np.exp(_log_softmax(weights, at))
+    slope = _exponents(weights, at)
+    np.exp(slope, out=slope)
+    slope /= slope.sum(1, keepdims=True)
     slope[np.arange(len(kind)), kind] -= 1
     for row in at:
         order = np.argsort(row, kind="stable")
         own = row[order]
         first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        total = np.add.reduceat(slope[order], first)
-        square[own[first]] += total * total
-        weights[own[first]] -= RATE * total / np.sqrt(square[own[first]] + 1e-6)
+        total, own = np.add.reduceat(slope[order], first), own[first]
+        so_far = square[own] + total * total
+        square[own] = so_far
+        weights[own] -= RATE * total / np.sqrt(so_far + 1e-6)
 
 
 def _classes(common: Common, token: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +162,7 @@ def _scorer(held, model):
                 token, kind, bound = _tokens(b)
                 kind, known = _classes(common, token, kind)
                 at = _features(token, kind, bound)
-                picked = np.concatenate([_log_softmax(weights, at[:, i : i + BATCH])[np.arange(min(BATCH, len(token) - i)), kind[i : i + BATCH]] for i in range(0, len(token), BATCH)]).astype(float)
+                picked = np.concatenate([_picked(weights, at[:, i : i + BATCH], kind[i : i + BATCH]) for i in range(0, len(token), BATCH)]).astype(float)
                 count = np.where(known >= 0, common.count[known], 0) if len(common.word) else np.zeros(len(token))
                 sums = [np.add.reduceat(x, bound[:-1]) for x in (np.log10(count + 1.0), (known >= 0).astype(np.int64), picked / np.log(10) - inside[kind])]
                 own = part.slice(b.first, len(b))
