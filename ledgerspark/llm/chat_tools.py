@@ -72,7 +72,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     answers = results.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min("content").alias("content"), F.count(F.lit(1)).alias("n_results"))
     joined = first.join(level, "call_id", "left").join(answers, "call_id", "left").join(_problems(first, schemas), "call_id", "left").withColumn("n_results", F.coalesce("n_results", F.lit(0)))
     status = F.when(F.col("level").isNull(), "circular").when(F.col("problems") != "", "invalid").when(F.col("n_results") == 0, "unanswered").otherwise("ok")
-    text = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("x"))), r'^\{"x":(.*)\}$', 1)  # noqa: E731  a JSON string
+    text = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)  # noqa: E731  a JSON string
     parts = [F.lit('{"arguments":'), F.coalesce("canonical", F.lit("null")), F.lit(',"id":'), text("call_id"), F.lit(',"name":'), F.when(F.col("name").isNull(), "null").otherwise(text("name"))]
     parts += [F.lit(',"result":'), F.when(F.col("content").isNull(), "null").otherwise(text("content")), F.lit("}")]
     columns = ["conversation", "call_id", "seq", "level", "status", "problems", "n_results", "json"]

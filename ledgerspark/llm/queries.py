@@ -34,7 +34,7 @@ SCHEMAS = [
 
 
 def conversation_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Calls and results read out of the conversations: an assistant's turn calls a tool with its first words, the user's next turn answers it.
+    """Calls and results read out of the conversations: an assistant's turn calls a tool with its whole text, the user's next turn answers it with its own.
 
     The tool and the arguments follow the turn's length, so some arguments miss their schema;
     some calls need the assistant's turn before, some that and the one before it.
@@ -42,16 +42,16 @@ def conversation_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
     turns = table(spark, sf_dir, "conversations")
     n = F.char_length("text")
     name = lambda turn: F.format_string("call_%d_%d", F.col("conv_id"), turn)
-    words = F.substring(F.trim(F.regexp_replace("text", "[^A-Za-z ]", "")), 1, 40)
+    quoted = F.regexp_extract(F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("q"))), r'(?s)^\{"q":(.*)\}$', 1)
     calls = turns.where("role = 'assistant'").select(
         name(F.col("turn")).alias("call_id"),
         F.col("conv_id").alias("conversation"),
         F.col("turn").alias("seq"),
         F.when(n % 4 == 0, "search").when(n % 4 == 1, "lookup").when(n % 4 == 2, "compute").otherwise("translate").alias("name"),
-        F.concat(F.lit('{ "query": "'), words, F.lit('", "limit": '), (n % 17).cast("string"), F.when(n % 5 == 0, ', "strict": true').otherwise(""), F.lit("}")).alias("arguments"),
+        F.concat(F.lit('{ "query": '), quoted, F.lit(', "limit": '), (n % 17).cast("string"), F.when(n % 5 == 0, ', "strict": true').otherwise(""), F.lit("}")).alias("arguments"),
         F.filter(F.array(F.when((n % 2 == 0) & (F.col("turn") >= 3), name(F.col("turn") - 2)), F.when((n % 6 == 0) & (F.col("turn") >= 5), name(F.col("turn") - 4))), lambda x: x.isNotNull()).alias("needs"),
     )
-    results = turns.where("role = 'user' AND turn > 0").select(name(F.col("turn") - 1).alias("call_id"), F.substring(F.trim(F.regexp_replace("text", "[^A-Za-z ]", "")), 1, 60).alias("content"))
+    results = turns.where("role = 'user' AND turn > 0").select(name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 
@@ -64,13 +64,13 @@ def op1_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 WITH RECURSIVE t AS (
-  SELECT conv_id, turn, role, length(text) AS n, trim(regexp_replace(text, '[^A-Za-z ]', '', 'g')) AS words FROM conversations
+  SELECT conv_id, turn, role, length(text) AS n, text FROM conversations
 ), calls AS (
-  SELECT 'call_' || conv_id || '_' || turn AS call_id, conv_id, turn, n, substr(words, 1, 40) AS q,
+  SELECT 'call_' || conv_id || '_' || turn AS call_id, conv_id, turn, n, CAST(to_json(coalesce(text, '')) AS VARCHAR) AS q,
     CASE n % 4 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' WHEN 2 THEN 'compute' ELSE 'translate' END AS name
   FROM t WHERE role = 'assistant'
 ), results AS (
-  SELECT 'call_' || conv_id || '_' || (turn - 1) AS call_id, min(substr(words, 1, 60)) AS content, count(*) AS k
+  SELECT 'call_' || conv_id || '_' || (turn - 1) AS call_id, min(text) AS content, count(*) AS k
   FROM t WHERE role = 'user' AND turn > 0 GROUP BY 1
 ), needs AS (
   SELECT call_id, 'call_' || conv_id || '_' || (turn - 2) AS need FROM calls WHERE n % 2 = 0 AND turn >= 3
@@ -93,8 +93,8 @@ WITH RECURSIVE t AS (
 SELECT c.conv_id AS conversation, c.call_id, c.turn AS seq, CAST(l.level AS INTEGER) AS level,
   CASE WHEN l.level IS NULL THEN 'circular' WHEN problems <> '' THEN 'invalid' WHEN r.k IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
   problems, coalesce(r.k, 0) AS n_results,
-  '{"arguments":{"limit":' || (n % 17) || ',"query":"' || q || '"' || CASE WHEN n % 5 = 0 THEN ',"strict":true' ELSE '' END || '},"id":"' || c.call_id
-    || '","name":"' || name || '","result":' || CASE WHEN r.content IS NULL THEN 'null' ELSE '"' || r.content || '"' END || '}' AS json
+  '{"arguments":{"limit":' || (n % 17) || ',"query":' || q || CASE WHEN n % 5 = 0 THEN ',"strict":true' ELSE '' END || '},"id":"' || c.call_id
+    || '","name":"' || name || '","result":' || CASE WHEN r.content IS NULL THEN 'null' ELSE CAST(to_json(r.content) AS VARCHAR) END || '}' AS json
 FROM checked c LEFT JOIN level l USING (call_id) LEFT JOIN results r USING (call_id)
 UNION ALL
 SELECT NULL, call_id, NULL, NULL, 'orphan', NULL, k, NULL FROM results WHERE call_id NOT IN (SELECT call_id FROM calls)
