@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Payload bytes of a shard, compressed bytes of a file, bars of the histogram of page_id.
@@ -31,7 +31,7 @@ BROADCAST_GROUPS = 500_000
 DATE, LEVEL = "2024-01-01T00:00:00Z", 5
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, shard int, number int, records bigint, bytes bigint, sha256 string"
-RECORD = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, whole boolean"
+RECORD = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, whole boolean"
 
 
 def _base32(data: bytes) -> str:
@@ -179,13 +179,13 @@ def _parsed(record: bytes) -> tuple | None:
     digest, n = fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"])
     whole = fields["WARC-Block-Digest"] == f"sha1:{_base32(block)}" and (fields["WARC-Type"] == "revisit" or (_base32(payload) == digest and len(payload) == n))
     number = lambda k: int(fields[k]) if k in fields else None
-    return number("X-Page-Id"), fields.get("WARC-Target-URI"), n, digest, fields["WARC-Type"], number("X-Refers-To-Page-Id"), whole
+    return number("X-Page-Id"), n, digest, fields["WARC-Type"], number("X-Refers-To-Page-Id"), fields.get("WARC-Target-URI"), whole
 
 
 def _reader(folder: str):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
-        types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())
+        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_())
         names = [c.split()[0] for c in RECORD.split(", ")]
         batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
         for part in parts:
@@ -205,5 +205,7 @@ def _reader(folder: str):
 
 
 def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
-    """The records of the manifest's files: page_id, url, payload_bytes, payload_digest, record_type, refers_to, whole (digests and lengths hold)."""
-    return manifest.select("file").repartition("file").mapInArrow(_reader(folder), RECORD)
+    """The records of the manifest's files, a task for each: page_id, payload_bytes, payload_digest, record_type, refers_to, url, whole (digests and lengths hold)."""
+    place = F.row_number().over(Window.orderBy("file")) - 1  # a row for each file
+    files = manifest.select("file", place.alias("place"))
+    return files.repartitionById(max(1, manifest.count()), F.col("place")).select("file").mapInArrow(_reader(folder), RECORD)
