@@ -82,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL
     """Learns from at most ``rows_per_label`` rows of either label, those with the smallest hashed ids.
 
     The sampled ids are bounded by that parameter, so they are broadcast and the sampled
-    texts come to the driver. A doc_id with both labels, or null labels, teaches nothing.
+    texts come to the driver, of a repeated id the least text. A doc_id with both labels, or null labels, teaches nothing.
     Without a row of either label the model scores every text by the share of label 1 (0.5 if none).
     """
     spark = docs.sparkSession
@@ -97,7 +97,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL
         r for q in (0, 1) for r in ids.where(F.col("quality") == q).orderBy("draw", "doc_id").limit(rows_per_label).collect()
     ]
     held = spark.createDataFrame([(r.doc_id, r.quality) for r in chosen], "doc_id bigint, quality int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(held), "doc_id").orderBy("doc_id", "text").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(held), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
+    known = {r.quality: r.n for r in ids.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts: dict[tuple[int, int], list[str]] = {(q, half): [] for q in (0, 1) for half in (0, 1)}
     turn = {r.doc_id: i % 2 for i, r in enumerate(sorted(chosen, key=lambda r: (r.quality, r.draw)))}
     for r in rows:
@@ -107,7 +108,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL
     y = np.array([1.0] * len(parts[1, 1]) + [0.0] * len(parts[0, 1]))
     if not len(y) or y.min() == y.max():
         return CompressionModel(good, bad, (float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))), 0.0, 0.0))
-    each = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    # each label counts as often as the labelled rows have it, so that scores are shares of label 1
+    share = known[1] / (known[0] + known[1])
+    each = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     return CompressionModel(good, bad, _fit_curve(x, y, each))  # type: ignore[arg-type]
 
 
