@@ -37,6 +37,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def by_ids(df: DataFrame, ids: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Semi or anti join with distinct, already written ids: broadcast when counted to be few, else a shuffled join with the same result."""
+    """Semi, anti or left join with distinct, already written ids: broadcast when counted to be few, else a shuffled join with the same result."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return df.join(F.broadcast(ids) if few else ids, keys, how)

@@ -63,7 +63,7 @@ def _next_smaller(keys: DataFrame) -> DataFrame:
     groups = keys.withColumn("g", F.shiftright("key", _GROUP_BITS))
     inside = groups.withColumn("next", F.lead("key").over(Window.partitionBy("g").orderBy(F.desc("key"))))
     tops = groups.groupBy("g").agg(F.max("key").alias("top"))
-    below = tops.withColumn("below", F.lead("top").over(Window.orderBy(F.desc("g")))).select("g", "below")  # one row for 2**24 ids
+    below = tops.withColumn("below", F.lead("top").over(Window.orderBy(F.desc("g")))).select("g", "below")  # keys are ids without their last 24 bits, so these are 2**16 rows at most
     return inside.join(below, "g").select("key", F.coalesce("next", "below").alias("next"))
 
 
@@ -104,5 +104,6 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     if told.limit(1).count():  # two texts of one digest: leave nothing to chance and say so
         raise ValueError("different texts share a 128-bit digest")
     copies = kept(rows, "fingerprints")
-    size = copies.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc_id"))
-    return copies.join(size, "fingerprint").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "copies", "first_doc_id")
+    several = kept(copies.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc_id")).where("copies > 1"), "several")
+    found = by_ids(copies, several, ["fingerprint"], "left")
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.coalesce("copies", F.lit(1)).alias("copies"), F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("first_doc_id")).alias("first_doc_id"))
