@@ -97,3 +97,22 @@ def weakest_confidence(confidence: Column) -> Column:
     """The weakest of a group; of nothing, high."""
     least = F.min(confidence_rank(confidence))
     return F.when(least == 0, "low").when(least == 1, "medium").otherwise("high")
+
+
+def _agreed(of: Column, currency: Column, other: Column) -> Column:
+    return F.when(currency == other, of)
+
+
+def add_minor(a: Column, a_currency: Column, b: Column, b_currency: Column) -> Column:
+    """Sum of two amounts of one currency; null where the currencies differ."""
+    return _agreed(a + b, a_currency, b_currency)
+
+
+def subtract_minor(a: Column, a_currency: Column, b: Column, b_currency: Column) -> Column:
+    """Difference of two amounts of one currency; null where the currencies differ."""
+    return _agreed(a - b, a_currency, b_currency)
+
+
+def compare_minor(a: Column, a_currency: Column, b: Column, b_currency: Column) -> Column:
+    """-1, 0 or 1 for two amounts of one currency; null where the currencies differ."""
+    return _agreed(F.when(a < b, -1).when(a > b, 1).when(a == b, 0), a_currency, b_currency)

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import html
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.money import as_map
 
-_SPACES = r"[\s   -‍    ⁠　﻿]+"
+_SPACES = r"[\s\u00A0\u1680\u2000-\u200D\u2028\u2029\u202F\u205F\u2060\u3000\uFEFF]+"
 # What payment processors put before a merchant's name, by region.
 PREFIXES = {
     "US": ["SQ *", "SQ*", "TST* ", "TST*", "PY *", "PY*", "PAYPAL *", "PAYPAL*", "DD *", "DD*", "CLOVER *", "CLV*", "TOAST*", "SP ", "SP*", "IC* ", "WPY*", "GUMROAD*", "STRIPE*", "SHOPIFY*"],
@@ -33,24 +31,26 @@ def collapse_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, _SPACES, " "))
 
 
-_ENTITY = re.compile(r"&(#\d+|#[xX][0-9a-fA-F]+|[A-Za-z]+);")
+_ENTITY = r"(?i)&(#x?[0-9a-f]+|[a-z]+);"
 # The named entities that messages are decoded for.
-ENTITIES = {"amp", "lt", "gt", "quot", "apos", "nbsp", "rupee", "pound", "euro", "yen", "cent", "dollar"}
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "-", "mdash": "-", "rsquo": "'", "lsquo": "'", "ldquo": '"', "rdquo": '"'}
 
 
-def _decoded(texts: pd.Series) -> pd.Series:
-    def one(m: re.Match) -> str:
-        if m[1].startswith("#"):
-            return html.unescape(m[0])
-        return {"rupee": "₹", "dollar": "$", "nbsp": " "}.get(m[1].lower()) or (html.unescape(m[0]) if m[1].lower() in ENTITIES else m[0])
-
-    return texts.map(lambda t: t if t is None else _ENTITY.sub(one, t))
+def _entity(name: Column) -> Column:
+    """What one entity stands for; the entity itself where it is unknown or no character."""
+    low = F.lower(name)
+    hexadecimal, decimal = (F.regexp_extract(low, p, 1) for p in ("^#x0*([0-9a-f]{1,6})$", r"^#0*(\d{1,7})(?!\d)"))
+    code = F.when(hexadecimal != "", F.conv(F.nullif(hexadecimal, F.lit("")), 16, 10).cast("int")).when(decimal != "", F.nullif(decimal, F.lit("")).cast("int"))
+    known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(known, code)), 8, "0")), "UTF-32")
+    return F.coalesce(char, as_map(ENTITIES)[low], F.concat(F.lit("&"), name, F.lit(";")))
 
 
 def decode_entities(text: Column) -> Column:
-    """One pass over named and numeric entities; texts without an ampersand stay in the JVM's hands."""
-    decoded = F.pandas_udf(_decoded, "string")
-    return F.when(text.contains("&"), decoded(F.when(text.contains("&"), text))).otherwise(text)
+    """One pass over named and numeric entities."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1)), _entity)
+    pieces = F.zip_with(F.split(text, _ENTITY), found, lambda piece, entity: F.concat(piece, F.coalesce(entity, F.lit(""))))
+    return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
 
 
 def message_text(subject: Column, text: Column, html_: Column) -> Column:

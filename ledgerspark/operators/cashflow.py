@@ -144,3 +144,15 @@ def what_if(days: DataFrame, scenarios: DataFrame) -> DataFrame:
 
 
 __all__ = ["CashFlow", "balance_on", "obligations_from_statements", "project_cash_flow", "weakest_confidence", "what_if"]
+
+
+def day_events(events: DataFrame) -> DataFrame:
+    """account_id, day, events: the ids of a day (id, direction), outflows first, then by id."""
+    rank = F.when(F.col("direction") == "outflow", 0).otherwise(1)
+    listed = F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "id")))
+    return events.groupBy("account_id", "day").agg(F.transform(listed, lambda e: e["id"]).alias("events"))
+
+
+def all_assumptions(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys with every assumption (array of texts) of their rows, once and in order."""
+    return rows.select(*keys, F.explode("assumptions").alias("one")).groupBy(*keys).agg(F.sort_array(F.collect_set("one")).alias("assumptions"))

@@ -30,6 +30,11 @@ SENDERS = [
 # Currency tokens before an amount.
 CURRENCIES = {"rs.": "INR", "rs": "INR", "₹": "INR", "inr": "INR", "usd": "USD", "$": "USD", "aud": "AUD", "sgd": "SGD", "gbp": "GBP", "eur": "EUR", "aed": "AED"}
 TRUSTED = ("mx.google.com",)
+# The reason under which a failure is stored, for each reason of a quarantine.
+STORED_REASONS = {
+    "no_parser_matched": "no_parser_matched", "multiple_parsers_matched": "no_parser_matched", "parser_match_threw": "extract_threw", "parser_extract_threw": "extract_threw",
+    "parser_produced_no_facts": "extract_threw", "invalid_fact": "validation_failed", "failed_authenticity": "extract_threw",
+}
 _AMOUNT = r"\$?\s?([\d,]+(?:\.\d{2})?)"
 
 
@@ -125,24 +130,39 @@ class Routed(NamedTuple):
     facts: DataFrame
 
 
-def _fact(t: Template) -> Column:
-    """The template's fact, with the name of the first required field that is missing or cannot be read."""
-    text = F.col("body")
-    found = {name: field(text, pattern, group) for name, (pattern, group) in t.fields.items()}
+_DATES = ("posted", "due", "start", "end")
+
+
+def _read(t: Template) -> Column:
+    """What the template's patterns find in the body, as text, and the first required field that they don't find."""
+    found = {name: field(F.col("body"), pattern, group) for name, (pattern, group) in t.fields.items()}
     get = lambda name: found.get(name, F.lit(None).cast("string"))
     currency = as_map(CURRENCIES)[F.lower(get("token"))] if "token" in t.fields else F.lit(t.currency)
-    amount, minimum = parse_amount(get("amount"), currency), parse_amount(get("minimum"), currency)
-    dates = {name: parse_slash_date(get(name), t.order) for name in ("posted", "due", "start", "end")}
     missing = F.coalesce(*(F.when(found[name].isNull(), f"field_not_found:{name}") for name in t.fields if name not in t.optional), F.lit(None).cast("string"))
+    texts = {"parser_id": t.id, "kind": t.kind, "account_kind": t.account_kind, "account_currency": t.currency, "order": t.order}
+    return F.struct(
+        *(F.lit(v).cast("string").alias(k) for k, v in texts.items()), F.lit(t.confidence).alias("confidence"), F.lit("posted" in t.fields).alias("dated"),
+        currency.alias("currency"), missing.alias("missing"), *(get(name).alias(name) for name in ("amount", "minimum", "merchant", *_DATES)),
+    )
+
+
+def _parsed(r: Column) -> Column:
+    """Amounts and dates of what was read."""
+    days = (F.when(r["order"] == "DMY", parse_slash_date(r[name], "DMY")).otherwise(parse_slash_date(r[name], "MDY")).alias(name) for name in _DATES)
+    return F.struct(parse_amount(r["amount"], r["currency"]).alias("amount"), parse_amount(r["minimum"], r["currency"]).alias("minimum"), *days)
+
+
+def _fact(r: Column, p: Column) -> Column:
+    """The fact of what was read and parsed, with the name of the first field that is missing or cannot be read."""
     bad = F.coalesce(
-        F.when(currency.isNull(), "unknown_currency"), F.when(amount["error"].isNotNull(), F.concat(F.lit("amount:"), amount["error"])), F.when(get("minimum").isNotNull() & minimum["error"].isNotNull(), "minimum"),
-        *(F.when(get(name).isNotNull() & dates[name].isNull(), f"date:{name}") for name in dates),
+        F.when(r["currency"].isNull(), "unknown_currency"), F.when(p["amount"]["error"].isNotNull(), F.concat(F.lit("amount:"), p["amount"]["error"])), F.when(r["minimum"].isNotNull() & p["minimum"]["error"].isNotNull(), "minimum"),
+        *(F.when(r[name].isNotNull() & p[name].isNull(), f"date:{name}") for name in _DATES),
     )
-    posted = dates["posted"] if "posted" in t.fields else utc_date(F.col("received_at")) if t.kind == "transaction" else F.lit(None).cast("date")
+    posted = F.when(r["dated"], p["posted"]).when(r["kind"] == "transaction", utc_date(F.col("received_at")))
     return F.struct(
-        F.lit(t.id).alias("parser_id"), F.lit(t.kind).alias("kind"), F.lit(t.institution).alias("fact_institution"), F.lit(t.account_kind).cast("string").alias("account_kind"), F.lit(t.currency).alias("account_currency"),
-        find_last4(text).alias("last4"), amount["minor"].alias("amount_minor"), currency.alias("currency"), F.when(get("minimum").isNotNull(), minimum["minor"]).alias("minimum_minor"), posted.alias("posted_at"), dates["due"].alias("due_date"),
-        dates["start"].alias("period_start"), dates["end"].alias("period_end"), get("merchant").alias("descriptor_raw"), F.lit(t.confidence).alias("confidence"), F.coalesce(missing, bad).alias("error"),
+        *(r[c].alias(c) for c in ("parser_id", "kind", "account_kind", "account_currency")), find_last4(F.col("body")).alias("last4"), p["amount"]["minor"].alias("amount_minor"), r["currency"].alias("currency"),
+        F.when(r["minimum"].isNotNull(), p["minimum"]["minor"]).alias("minimum_minor"), posted.alias("posted_at"), p["due"].alias("due_date"), p["start"].alias("period_start"), p["end"].alias("period_end"),
+        r["merchant"].alias("descriptor_raw"), r["confidence"].alias("confidence"), F.coalesce(r["missing"], bad).alias("error"),
     )
 
 
@@ -155,11 +175,12 @@ def invalid(fact: Column) -> Column:
 
 
 def route_messages(messages: DataFrame, rules: DataFrame, templates: list[Template] | None = None, authenticity: bool = True) -> Routed:
-    """One outcome per message: ignored, quarantined with one of seven reasons, or parsed; and the parsed messages' facts.
+    """One outcome per message: ignored, quarantined with a reason, or parsed; and the parsed messages' facts.
 
-    messages: uid, message_id, from_header, subject, received_at, text, html, headers. Reasons: unauthenticated,
-    sender_not_allowed, no_parser_matched (of known senders), ambiguous_parsers, extraction_failed, invalid_fact,
-    empty_message. Mail of allowed domains from other local parts is ignored.
+    messages: uid, message_id, from_header, subject, received_at, text, html, headers. Reasons: failed_authenticity,
+    no_parser_matched, multiple_parsers_matched, parser_extract_threw, invalid_fact. Mail from senders that are not on
+    the list, or whose header cannot be read, is ignored; the detail says which. ``STORED_REASONS`` has the reasons
+    under which failures are stored.
     """
     templates = templates or TEMPLATES
     rows = classify_senders(messages, rules).withColumn("auth", assess_authenticity(F.col("headers"), F.col("address")))
@@ -170,28 +191,35 @@ def route_messages(messages: DataFrame, rules: DataFrame, templates: list[Templa
         for pattern in t.match:
             hits[i] = hits[i] & F.col("body").rlike(pattern)
     rows = rows.withColumn("hits", F.explode(F.array(F.array_compact(F.array(*(F.when(F.coalesce(h, F.lit(False)), t.id) for h, t in zip(hits, templates, strict=True)))))))
-    fact = F.lit(None)
+    read = F.lit(None)
     for t in templates:
-        fact = F.when(F.get("hits", 0) == t.id, _fact(t)).otherwise(fact)
-    rows = rows.withColumn("fact", F.explode(F.array(F.when(F.size("hits") == 1, fact)))).withColumn("broken", invalid(F.col("fact")))
+        read = F.when(F.get("hits", 0) == t.id, _read(t)).otherwise(read)
+    # texts are read by the one template that matched, and only then parsed, once for all templates
+    rows = rows.withColumn("read", F.explode(F.array(F.when(F.size("hits") == 1, read))))
+    rows = rows.withColumn("parsed", F.explode(F.array(_parsed(F.col("read")))))
+    rows = rows.withColumn("fact", F.explode(F.array(F.when(F.col("read").isNotNull(), _fact(F.col("read"), F.col("parsed")))))).withColumn("broken", invalid(F.col("fact")))
     reason = (
-        F.when(F.col("sender_reason") == "localpart_not_allowlisted", "ignored")
-        .when(F.col("sender_reason").isNotNull(), "sender_not_allowed")
+        F.when(F.col("sender_reason").isNotNull(), "ignored")
     )
     if authenticity:
-        reason = F.when(~F.col("auth.trusted"), "unauthenticated").otherwise(reason)
+        reason = F.when(~F.col("auth.trusted"), "failed_authenticity").otherwise(reason)
     reason = (
-        F.when(reason.isNotNull(), reason).when(F.col("body") == "", "empty_message").when(F.size("hits") == 0, "no_parser_matched").when(F.size("hits") > 1, "ambiguous_parsers")
-        .when(F.col("fact.error").isNotNull(), "extraction_failed").when(F.size("broken") > 0, "invalid_fact")
+        F.when(reason.isNotNull(), reason).when(F.size("hits") == 0, "no_parser_matched").when(F.size("hits") > 1, "multiple_parsers_matched")
+        .when(F.col("fact.error").isNotNull(), "parser_extract_threw").when(F.size("broken") > 0, "invalid_fact")
     )
     rows = rows.withColumn("why", reason)
     status = F.when(F.col("why") == "ignored", "ignored").when(F.col("why").isNotNull(), "quarantined").otherwise("parsed")
-    detail = F.when(F.col("why") == "unauthenticated", F.col("auth.reason")).when(F.col("why") == "sender_not_allowed", F.col("sender_reason")).when(F.col("why") == "extraction_failed", F.col("fact.error")).when(F.col("why") == "invalid_fact", F.array_join("broken", ","))
+    detail = F.when(F.col("why") == "failed_authenticity", F.col("auth.reason")).when(F.col("why") == "ignored", F.col("sender_reason")).when(F.col("why") == "parser_extract_threw", F.col("fact.error")).when(F.col("why") == "invalid_fact", F.array_join("broken", ","))
     outcomes = rows.select("uid", "message_id", "received_at", status.alias("status"), F.when(F.col("why") != "ignored", F.col("why")).alias("reason"), detail.alias("detail"), F.when(F.col("why").isNull(), F.col("fact.parser_id")).alias("parser_id"))
-    facts = rows.where("why IS NULL").select("uid", "message_id", "received_at", "institution", "region", F.lit(0).alias("ordinal"), "fact.*").drop("error", "fact_institution")
+    facts = rows.where("why IS NULL").select("uid", "message_id", "received_at", "institution", "region", F.lit(0).alias("ordinal"), "fact.*").drop("error")
     return Routed(outcomes, facts)
 
 
+def parse_failures(outcomes: DataFrame) -> DataFrame:
+    """message_id, parser_id, reason (as stored) and detail of quarantined messages."""
+    return outcomes.where("status = 'quarantined'").select("message_id", "parser_id", F.coalesce(as_map(STORED_REASONS)[F.col("reason")], F.lit("extract_threw")).alias("reason"), "detail")
+
+
 def validate_facts(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     judged = facts.withColumn("broken", invalid(F.struct(*(F.col(c) for c in facts.columns))))
     return judged.where(F.size("broken") == 0).drop("broken"), judged.where(F.size("broken") > 0)
@@ -201,19 +229,26 @@ def resolve_accounts(facts: DataFrame, accounts: DataFrame) -> tuple[DataFrame,
     """Facts with account_id, and the accounts that they make.
 
     Active accounts (account_id, institution, currency, kind, last4, display_name, is_active) match by institution and
-    currency, best with equal last4, then kind, then any, by display name. A pair of institution and currency without any
+    currency (and owner_id, where both sides have it), best with equal last4, then kind, then any, by display name. A pair of institution and currency without any
     account makes one, from its earliest fact (uid, ordinal); its id hashes that fact's message.
     """
-    a = accounts.where("is_active").select("institution", F.col("currency").alias("account_currency"), "account_id", F.col("kind").alias("a_kind"), F.col("last4").alias("a_last4"), "display_name")
-    pair = ["institution", "account_currency"]
-    first = Window.partitionBy(*pair).orderBy("uid", "ordinal")
-    fresh = facts.join(a.select(*pair).distinct(), pair, "left_anti").withColumn("r", F.row_number().over(first)).where("r = 1")
-    fresh = fresh.select(*pair, F.concat_ws(":", "institution", "account_currency", F.coalesce("last4", F.substring(F.sha2("message_id", 256), 1, 12))).alias("account_id"), F.coalesce("account_kind", F.lit("checking")).alias("a_kind"), F.col("last4").alias("a_last4"), F.col("institution").alias("display_name"))
-    met = facts.join(a.unionByName(fresh), pair)
-    rank = F.when(F.col("a_last4") == F.col("last4"), 0).when(F.col("a_kind") == F.col("account_kind"), 1).otherwise(2)
-    best = met.groupBy("message_id", "ordinal").agg(F.min_by("account_id", F.struct(rank, "display_name", "account_id")).alias("account_id"))
-    new = fresh.select("account_id", "institution", F.col("account_currency").alias("currency"), F.col("a_kind").alias("kind"), F.col("a_last4").alias("last4"), "display_name", F.lit(True).alias("is_active"))
-    return facts.join(best, ["message_id", "ordinal"]), new
+    owner = [c for c in ("owner_id",) if c in facts.columns and c in accounts.columns]
+    pair = [*owner, "institution", "account_currency"]
+    a = accounts.where("is_active").select(*owner, "institution", F.col("currency").alias("account_currency"), "account_id", F.col("kind").alias("a_kind"), F.col("last4").alias("a_last4"), "display_name")
+    made = F.struct(
+        F.concat_ws(":", *pair, F.coalesce("last4", F.substring(F.sha2("message_id", 256), 1, 12))).alias("account_id"),
+        F.coalesce("account_kind", F.lit("checking")).alias("a_kind"), F.col("last4").alias("a_last4"), F.col("institution").alias("display_name"),
+    )
+    fresh = facts.join(a.select(*pair).distinct(), pair, "left_anti").groupBy(*pair).agg(F.min_by(made, F.struct("uid", "ordinal")).alias("made")).select(*pair, "made.*")
+    known, found = a.unionByName(fresh), facts
+    # one account for each way to match, so that a fact meets three rows at most
+    for name, keys in (("by_last4", {"a_last4": "last4"}), ("by_kind", {"a_kind": "account_kind"}), ("by_pair", {})):
+        best = known.dropna(subset=list(keys)).groupBy(*pair, *keys).agg(F.min_by("account_id", F.struct("display_name", "account_id")).alias(name))
+        found = found.join(best.withColumnsRenamed(keys), [*pair, *keys.values()], "left")
+    ways = ["by_last4", "by_kind", "by_pair"]
+    found = found.withColumn("account_id", F.coalesce(*ways)).where("account_id IS NOT NULL").drop(*ways)
+    new = fresh.select("account_id", *owner, "institution", F.col("account_currency").alias("currency"), F.col("a_kind").alias("kind"), F.col("a_last4").alias("last4"), "display_name", F.lit(True).alias("is_active"))
+    return found, new
 
 
 def ledger_rows(facts: DataFrame) -> DataFrame:
@@ -238,6 +273,7 @@ def needs_reparse(stored: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def sync_counters(outcomes: DataFrame) -> DataFrame:
-    """Fetched, parsed, ignored, quarantined and the highest uid, in one row."""
+    """Fetched, parsed, ignored, quarantined, facts (where outcomes count them: n_facts) and the highest uid, in one row."""
     n = lambda s: F.count_if(F.col("status") == s).alias(s)
-    return outcomes.agg(F.count(F.lit(1)).alias("fetched"), n("parsed"), n("ignored"), n("quarantined"), F.max("uid").alias("highest_uid"))
+    facts = [F.coalesce(F.sum("n_facts"), F.lit(0)).alias("facts")] if "n_facts" in outcomes.columns else []
+    return outcomes.agg(*facts, F.count(F.lit(1)).alias("fetched"), n("parsed"), n("ignored"), n("quarantined"), F.max("uid").alias("highest_uid"))

@@ -30,8 +30,8 @@ def latest_statement(statements: DataFrame, as_of=None) -> DataFrame:
     if as_of is not None:
         statements = statements.where(F.col("period_end") <= F.lit(as_of).cast("date"))
     whole = F.struct(*statements.columns)
-    order = F.struct(F.datediff("period_end", F.lit("1900-01-01").cast("date")), F.negative(F.xxhash64("statement_id")))
-    return statements.groupBy("account_id").agg(F.max_by(whole, order).alias("s")).select("s.*")
+    order = F.struct(F.datediff(F.lit("1900-01-01").cast("date"), "period_end"), "statement_id")
+    return statements.groupBy("account_id").agg(F.min_by(whole, order).alias("s")).select("s.*")
 
 
 def account_view(accounts: DataFrame, statements: DataFrame, as_of) -> DataFrame:
@@ -111,3 +111,48 @@ def with_alias_merchant(ledger: DataFrame, merchants: DataFrame, aliases: DataFr
     named = merchants.select("region", "merchant_key", F.col("merchant_id").alias("by_key"))
     both = ledger.join(named, ["region", "merchant_key"], "left").join(best, ["region", "merchant_key"], "left")
     return both.withColumn("merchant_id", F.when(F.col("rank") == 0, F.col("by_alias")).otherwise(F.coalesce("by_key", "by_alias"))).drop("by_key", "by_alias", "rank")
+
+
+def lookup(rows: DataFrame, **equal) -> DataFrame:
+    """Rows whose columns equal the given values: by id, by dedupe key, by account and period."""
+    for column, value in equal.items():
+        rows = rows.where(F.col(column) == F.lit(value))
+    return rows
+
+
+def needs_recategorising(ledger: DataFrame, version: int) -> DataFrame:
+    """Rows that no category version has touched, or an earlier one."""
+    return ledger.where(F.col("category_version").isNull() | (F.col("category_version") < version))
+
+
+def latest_balance(observations: DataFrame) -> DataFrame:
+    """account_id, currency, balance_minor, observed_on of each account's last observation; the least balance on ties."""
+    order = F.struct(F.datediff(F.lit("1900-01-01").cast("date"), "observed_on"), "balance_minor")
+    last = F.min_by(F.struct("balance_minor", "observed_on"), order).alias("last")
+    return observations.groupBy("account_id", "currency").agg(last).select("account_id", "currency", "last.*")
+
+
+def listed_accounts(accounts: DataFrame) -> DataFrame:
+    """Active accounts first, then by name and id."""
+    return accounts.orderBy(F.desc("is_active"), "display_name", "account_id")
+
+
+def upcoming_bills(statements: DataFrame, as_of) -> DataFrame:
+    """Statements that fall due on the day or later, the next first."""
+    return statements.where(F.col("due_date") >= F.lit(as_of).cast("date")).orderBy("due_date", "statement_id")
+
+
+def deactivated(accounts: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accounts with those of ``ids`` (account_id) inactive, and the ids that no account has. Repeating it changes nothing."""
+    gone = ids.select("account_id").distinct()
+    changed = accounts.join(gone.withColumn("__gone", F.lit(True)), "account_id", "left")
+    changed = changed.withColumn("is_active", F.when(F.col("__gone"), F.lit(False)).otherwise(F.col("is_active"))).drop("__gone")
+    return changed, gone.join(accounts.select("account_id"), "account_id", "left_anti")
+
+
+def marked_parsed(statements: DataFrame, ids: DataFrame, at) -> tuple[DataFrame, DataFrame]:
+    """Statements with those of ``ids`` (statement_id) marked as parsed at a time (the first mark stays), and the unknown ids."""
+    done = ids.select("statement_id").distinct()
+    changed = statements.join(done.withColumn("__done", F.lit(at).cast("timestamp")), "statement_id", "left")
+    changed = changed.withColumn("parsed_at", F.coalesce("parsed_at", "__done")).drop("__done")
+    return changed, done.join(statements.select("statement_id"), "statement_id", "left_anti")

@@ -58,12 +58,23 @@ def _leveled(rel: float, least: int):
     return run
 
 
+def _taken(part: pd.DataFrame) -> pd.DataFrame:
+    """Of the fitting pairs of one stream, those in which a step takes its announcement."""
+    part, steps, used, keep = part.sort_values(["effective_from", "a_from", "announcement_id"]), set(), set(), []
+    for step, announcement in zip(part["effective_from"], part["announcement_id"], strict=True):
+        keep.append(step not in steps and announcement not in used)
+        if keep[-1]:
+            steps.add(step)
+            used.add(announcement)
+    return part[keep]
+
+
 def detect_price_steps(occurrences: DataFrame, streams: DataFrame, announcements: DataFrame | None = None, min_run_length: int = 2, rel: float = 0.02, match_days: int = 10) -> PriceSteps:
     """Levels and steps of each stream.
 
     ``occurrences``: stream_key, txn_id, posted_at, amount_minor, floor_minor; ``streams``: stream_key, kind, interval, currency;
-    ``announcements``: stream_key, id, announced_on, effective_from, new_minor, currency. An announcement explains at most one
-    step, the first it fits, and a step takes the first announcement in the order of effective_from, id that only it fits first.
+    ``announcements``: stream_key, id, announced_on, effective_from, new_minor, currency. Steps in their order each take the
+    first announcement, by effective_from and id, that fits and that no earlier step has taken.
     """
     few = occurrences.select("stream_key", "txn_id", "posted_at", "amount_minor", "floor_minor").withColumn("bucket", F.pmod(F.xxhash64("stream_key"), F.lit(4096)))
     rows = few.groupBy("bucket").applyInPandas(_leveled(rel, min_run_length), _OUT)
@@ -72,15 +83,15 @@ def detect_price_steps(occurrences: DataFrame, streams: DataFrame, announcements
     steps = levels.withColumns({"previous_minor": F.lag("level_minor").over(by), "previous_n": F.lag("n").over(by)}).where("previous_minor IS NOT NULL")
     floors = occurrences.groupBy("stream_key").agg(F.max("floor_minor").alias("floor_minor"))
     terms = streams.select("stream_key", "kind", "interval", "currency").join(floors, "stream_key")
-    sure = F.when((F.col("previous_n") >= 3) & (F.col("n") >= 3), "high").otherwise("medium")
+    seen = F.least("previous_n", "n")
+    sure = F.when(seen >= 3, "high").when(seen >= 2, "medium").otherwise("low")
     steps = steps.select("stream_key", F.col("from_day").alias("effective_from"), "previous_minor", F.col("level_minor").alias("new_minor"), sure.alias("confidence"), F.lit("observed").alias("source")).join(terms, "stream_key")
     if announcements is not None:
         a = announcements.select("stream_key", F.col("id").alias("announcement_id"), "announced_on", F.col("effective_from").alias("a_from"), F.col("new_minor").alias("a_minor"), F.col("currency").alias("a_currency"))
         close = (F.abs(F.datediff("a_from", "effective_from")) <= match_days) & (F.col("a_currency") == F.col("currency"))
         met = steps.join(a, "stream_key").where(close & within_tolerance(F.col("a_minor"), F.col("new_minor"), amount_tolerance(F.col("new_minor"), F.col("floor_minor"), rel)))
-        first = Window.partitionBy("stream_key", "announcement_id").orderBy("effective_from")
-        own = Window.partitionBy("stream_key", "effective_from").orderBy("a_from", "announcement_id")
-        met = met.withColumn("r", F.row_number().over(first)).where("r = 1").withColumn("r", F.row_number().over(own)).where("r = 1")
+        met = met.select("stream_key", "effective_from", "a_from", "announced_on", "announcement_id")
+        met = met.groupBy("stream_key").applyInPandas(_taken, met.schema)  # steps and announcements of one stream that fit each other
         used = met.select("stream_key", "effective_from", "announcement_id", F.datediff("a_from", "announced_on").alias("lead_days"))
         steps = steps.join(used, ["stream_key", "effective_from"], "left").withColumns({
             "source": F.when(F.col("announcement_id").isNotNull(), "observed+announced").otherwise("observed"), "confidence": F.when(F.col("announcement_id").isNotNull(), "high").otherwise(F.col("confidence")),

@@ -26,6 +26,23 @@ def statement_rules() -> dict[str, Column]:
     }
 
 
+def agreeing_currencies() -> dict[str, Column]:
+    """A statement's minimum is stated in the balance's currency."""
+    return {"minimum_currency": F.col("minimum_due_minor").isNull() | (F.col("minimum_currency") == F.col("currency"))}
+
+
+def account_rules() -> dict[str, Column]:
+    return {"kind": F.col("kind").isin("checking", "savings", "credit_card", "loan", "investment"), "currency": valid_currency(F.col("currency")), "last4": F.col("last4").isNull() | F.col("last4").rlike(r"^\d{4}$"), "owner": F.col("owner_id").isNotNull()}
+
+
+def lot_rules() -> dict[str, Column]:
+    return {"units": F.col("units_micro") > 0, "cost": F.col("cost_minor") >= 0, "acquired_at": F.col("acquired_at").isNotNull(), "currency": valid_currency(F.col("currency"))}
+
+
+def budget_rules() -> dict[str, Column]:
+    return {"limit": F.col("limit_minor") >= 0, "month": F.col("month").rlike(r"^\d{4}-(0[1-9]|1[0-2])$"), "currency": valid_currency(F.col("currency"))}
+
+
 def check_rows(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """The rows that break a rule, with the names of the broken ones; a rule that is null counts as broken."""
     broken = F.array_compact(F.array(*(F.when(~F.coalesce(rule, F.lit(False)), name) for name, rule in rules.items())))

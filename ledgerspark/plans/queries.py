@@ -94,7 +94,14 @@ def dedupe_keys(spark, sf):
     return view.ledger(spark, sf).select("txn_id", dedupe_key(F.col("source"), F.col("source_ref"), F.col("ordinal")).alias("dedupe_key"))
 
 
-@query()
+def _prefixed(*parts: str) -> str:
+    return " || '|' || ".join(f"length(CAST({p} AS VARCHAR)) || ':' || CAST({p} AS VARCHAR)" for p in parts)
+
+
+@query(f"""WITH {LEDGER}, {_NORMAL}, stated AS (SELECT account_id, posted_at, amount_minor, currency, merchant_key, source, source_ref FROM keyed UNION ALL
+    SELECT account_id, CAST(posted_at + CAST(k % 6 AS INTEGER) AS DATE), CASE WHEN k % 11 = 0 THEN amount_minor + amount_minor // 10 ELSE amount_minor END, currency, merchant_key, 'statement_pdf', 'L' || txn_id FROM keyed WHERE k % 13 <> 0),
+  printed AS (SELECT sha256({_prefixed("account_id", "posted_at", "amount_minor", "currency", "merchant_key")}) AS fingerprint, source, source_ref FROM stated)
+  SELECT fingerprint, source, source_ref FROM printed WHERE fingerprint IN (SELECT fingerprint FROM printed GROUP BY 1 HAVING count(DISTINCT source || source_ref) > 1)""")
 def suspected_duplicates(spark, sf):
     """Ledger and statement lines that state the same content under different provenances."""
     a = _keyed(spark, sf).select("account_id", "posted_at", "amount_minor", "currency", "merchant_key", "source", "source_ref")
@@ -242,7 +249,7 @@ _AUTH = "CASE o_orderkey % 10 WHEN 7 THEN 'dmarc_failed' WHEN 8 THEN 'untrusted_
 
 
 @query(f"""WITH m AS (SELECT o_orderkey AS uid, {_AUTH} AS auth, o_orderkey % 6 AS k FROM orders) SELECT uid, CASE WHEN auth IS NOT NULL OR k = 5 THEN 'quarantined' WHEN k = 4 THEN 'ignored' ELSE 'parsed' END AS status,
-  CASE WHEN auth IS NOT NULL THEN 'unauthenticated' WHEN k = 5 THEN 'no_parser_matched' END AS reason, auth AS detail,
+  CASE WHEN auth IS NOT NULL THEN 'failed_authenticity' WHEN k = 5 THEN 'no_parser_matched' END AS reason, CASE WHEN auth IS NOT NULL THEN auth WHEN k = 4 THEN 'localpart_not_allowlisted' END AS detail,
   CASE WHEN auth IS NULL THEN CASE k WHEN 0 THEN 'us-bank-alert' WHEN 1 THEN 'chase-statement' WHEN 2 THEN 'sbi-card-alert' WHEN 3 THEN 'zolve-statement' END END AS parser_id FROM m""")
 def message_outcomes(spark, sf):
     return ingest.route_messages(view.messages(spark, sf), ingest.sender_rules(spark)).outcomes.select("uid", "status", "reason", "detail", "parser_id")
@@ -370,3 +377,187 @@ def net_worth_series(spark, sf):
 @query(f"WITH {STATEMENTS} SELECT l.txn_id, s.statement_id FROM ledger l LEFT JOIN statements s ON s.account_id = l.account_id AND l.posted_at BETWEEN s.period_start AND s.period_end")
 def covering_statements(spark, sf):
     return books.covering_statement(view.ledger(spark, sf), view.statements(spark, sf)).select("txn_id", "statement_id")
+
+
+@query(f"""WITH {LEDGER}, p AS (SELECT txn_id, 'T' || lpad(CAST(k + 1 AS VARCHAR), 8, '0') AS kept_id FROM ledger WHERE k % 7 IN (0, 6))
+  SELECT txn_id, kept_id, CASE WHEN kept_id NOT IN (SELECT txn_id FROM ledger) THEN 'unknown' WHEN kept_id IN (SELECT txn_id FROM p) THEN 'chained' ELSE 'marked' END AS outcome FROM p""")
+def supersede_marks(spark, sf):
+    rows = view.ledger(spark, sf).withColumn("superseded_by", F.lit(None).cast("string"))
+    plan = rows.where("k % 7 IN (0, 6)").selectExpr("txn_id", "concat('T', lpad(CAST(k + 1 AS STRING), 8, '0')) AS by")
+    made = books.apply_supersede(rows, plan)
+    return books.superseded(made.ledger).select("txn_id", F.col("superseded_by").alias("kept_id"), F.lit("marked").alias("outcome")).unionByName(made.rejects.select("txn_id", F.col("by").alias("kept_id"), F.col("reason").alias("outcome")))
+
+
+@query(f"WITH {LEDGER}, {_NORMAL} SELECT txn_id, CASE WHEN merchant_key LIKE 'w%' OR merchant_key LIKE 'a%' THEN 'alias-' ELSE 'key-' END || region || '-' || merchant_key AS merchant_id FROM keyed")
+def alias_merchants(spark, sf):
+    """Merchants have ids but for those in a; aliases lead elsewhere, and a user's own win."""
+    rows = _keyed(spark, sf)
+    keys = rows.select("region", "merchant_key").distinct()
+    made = keys.where("merchant_key NOT LIKE 'a%'").selectExpr("region", "merchant_key", "concat('key-', region, '-', merchant_key) AS merchant_id")
+    aliases = keys.selectExpr("region", "merchant_key AS alias", "concat('alias-', region, '-', merchant_key) AS merchant_id", "CASE WHEN merchant_key LIKE 'w%' THEN 'user' ELSE 'found' END AS origin")
+    return books.with_alias_merchant(rows, made, aliases).select("txn_id", "merchant_id")
+
+
+_FACTS = """SELECT o_orderkey AS uid, 'Bank' || (o_custkey % 40) AS institution, CASE WHEN o_custkey % 2 = 0 THEN 'USD' ELSE 'INR' END AS account_currency, 'O' || (o_custkey % 50) AS owner_id,
+    CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') END AS last4, CASE WHEN o_orderkey % 2 = 0 THEN 'credit_card' ELSE 'checking' END AS account_kind FROM orders"""
+
+
+@query(f"""WITH {ACCOUNTS}, a AS (SELECT owner_id, 'Bank' || (CAST(substr(account_id, 2) AS BIGINT) % 30) AS institution, currency AS account_currency, account_id, kind AS a_kind, last4 AS a_last4, account_id AS display_name FROM accounts WHERE is_active), facts AS ({_FACTS}),
+  fresh AS (SELECT owner_id, institution, account_currency, owner_id || ':' || institution || ':' || account_currency || ':' || coalesce(last4, substr(sha256('m' || uid), 1, 12)) AS account_id, account_kind AS a_kind, last4 AS a_last4, institution AS display_name
+    FROM facts ANTI JOIN a USING (owner_id, institution, account_currency) QUALIFY row_number() OVER (PARTITION BY owner_id, institution, account_currency ORDER BY uid) = 1),
+  known AS (SELECT * FROM a UNION ALL SELECT * FROM fresh)
+  SELECT f.uid, k.account_id FROM facts f JOIN known k USING (owner_id, institution, account_currency) QUALIFY row_number() OVER (PARTITION BY f.uid ORDER BY CASE WHEN k.a_last4 = f.last4 THEN 0 WHEN k.a_kind = f.account_kind THEN 1 ELSE 2 END, k.display_name, k.account_id) = 1""")
+def resolved_accounts(spark, sf):
+    facts = spark.read.parquet(f"{sf}/orders.parquet").selectExpr(
+        "o_orderkey AS uid", "concat('m', o_orderkey) AS message_id", "0 AS ordinal", "concat('Bank', o_custkey % 40) AS institution", "CASE WHEN o_custkey % 2 = 0 THEN 'USD' ELSE 'INR' END AS account_currency", "concat('O', o_custkey % 50) AS owner_id",
+        "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE lpad(CAST(o_custkey % 10000 AS STRING), 4, '0') END AS last4", "CASE WHEN o_orderkey % 2 = 0 THEN 'credit_card' ELSE 'checking' END AS account_kind",
+    )
+    accounts = view.accounts(spark, sf).withColumns({"institution": F.expr("concat('Bank', CAST(substr(account_id, 2) AS BIGINT) % 30)"), "display_name": F.col("account_id")})
+    return ingest.resolve_accounts(facts, accounts)[0].select("uid", "account_id")
+
+
+@query(f"""WITH {STATEMENTS}, lines AS (SELECT account_id || '-' || strftime(posted_at, '%Y-%m') AS statement_id, CAST(sum(amount_minor + CASE WHEN k % 97 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS lines_minor FROM ledger GROUP BY 1)
+  SELECT statement_id, lines_minor - balance_minor AS difference_minor, CASE WHEN lines_minor <> balance_minor THEN 'total_mismatch' END AS reason FROM statements JOIN lines USING (statement_id)""")
+def statement_totals(spark, sf):
+    lines = view.ledger(spark, sf).selectExpr("concat(account_id, '-', date_format(posted_at, 'yyyy-MM')) AS statement_id", "amount_minor + CASE WHEN k % 97 = 0 THEN 1 ELSE 0 END AS amount_minor")
+    good, bad = reports.statement_gate(view.statements(spark, sf), lines)
+    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad).select("statement_id", "difference_minor", "reason")
+
+
+@query(f"""WITH m AS (SELECT o_orderkey AS uid, {_AUTH} AS auth, o_orderkey % 6 AS k FROM orders) SELECT count(*) AS fetched, count(*) FILTER (auth IS NULL AND k < 4) AS parsed, count(*) FILTER (auth IS NULL AND k = 4) AS ignored, count(*) FILTER (auth IS NOT NULL OR k = 5) AS quarantined, max(uid) AS highest_uid FROM m""")
+def sync_counts(spark, sf):
+    return ingest.sync_counters(ingest.route_messages(view.messages(spark, sf), ingest.sender_rules(spark)).outcomes)
+
+
+@query(f"""SELECT 'm' || o_orderkey AS message_id, CASE WHEN {_AUTH} IS NOT NULL THEN 'extract_threw' ELSE 'no_parser_matched' END AS reason FROM orders WHERE {_AUTH} IS NOT NULL OR o_orderkey % 6 = 5""")
+def stored_failures(spark, sf):
+    return ingest.parse_failures(ingest.route_messages(view.messages(spark, sf), ingest.sender_rules(spark)).outcomes).select("message_id", "reason")
+
+
+@query("SELECT o_orderkey AS uid FROM orders WHERE o_orderkey % 5 = 4 OR o_orderkey % 3 < 2")
+def messages_to_reparse(spark, sf):
+    versions = spark.createDataFrame([(t.id, 2) for t in ingest.TEMPLATES], "parser_id string, version int")
+    ids = F.array(*(F.lit(t.id) for t in ingest.TEMPLATES))
+    stored = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("uid"), F.get(ids, (F.col("o_orderkey") % 5).cast("int")).alias("parser_id"), (F.col("o_orderkey") % 3).cast("int").alias("parser_version"))
+    return ingest.needs_reparse(stored, versions).select("uid")
+
+
+@query(f"""WITH {LEDGER}, worth AS (SELECT owner_id, currency, CAST(sum(CASE WHEN kind IN ('checking', 'savings') THEN balance_minor ELSE 0 END) AS BIGINT) AS assets_minor, CAST(sum(balance_minor) AS BIGINT) AS net_minor FROM accounts GROUP BY ALL),
+  burn AS (SELECT owner_id, currency, CAST(sum(amount_minor) AS BIGINT) AS burn_minor FROM ledger WHERE amount_minor < 0 AND posted_at BETWEEN DATE '1998-01-01' AND DATE '1998-01-31' GROUP BY ALL)
+  SELECT owner_id, currency, CAST(assets_minor AS DOUBLE) / greatest(abs(burn_minor), 100) AS months, CAST(abs(burn_minor) * 12 AS DOUBLE) * 25 AS target_minor, least(100.0, CAST(greatest(net_minor, 0) * 100 AS DOUBLE) / (CAST(abs(burn_minor) * 12 AS DOUBLE) * 25)) AS progress FROM worth JOIN burn USING (owner_id, currency)""")
+def runways(spark, sf):
+    worth = view.accounts(spark, sf).groupBy("owner_id", "currency").agg(F.sum(F.expr("CASE WHEN kind IN ('checking', 'savings') THEN balance_minor ELSE 0 END")).alias("assets_minor"), F.sum("balance_minor").alias("net_minor"))
+    burn = view.ledger(spark, sf).where("amount_minor < 0 AND posted_at BETWEEN '1998-01-01' AND '1998-01-31'").groupBy("owner_id", "currency").agg(F.sum("amount_minor").alias("burn_minor"))
+    return networth.runway(worth, burn)
+
+
+@query(f"WITH {ACCOUNTS} SELECT owner_id, currency, CAST(sum(abs(balance_minor) // 100) AS BIGINT) AS monthly_minor, CAST(sum(abs(balance_minor) // 100) * 12 AS BIGINT) AS yearly_minor, count(*) AS bills FROM accounts GROUP BY ALL")
+def bill_run_rates(spark, sf):
+    return networth.run_rate(view.accounts(spark, sf).withColumn("monthly_minor", F.expr("abs(balance_minor) DIV 100")))
+
+
+@query(f"""WITH {STATEMENTS}, seen AS (SELECT owner_id, max(period_end) AS observed_on FROM statements JOIN accounts USING (account_id) GROUP BY owner_id, account_id)
+  SELECT owner_id, count(*) FILTER (abs(DATE '{AS_OF}' - observed_on) > 60) AS stale, count(*) FILTER (abs(DATE '{AS_OF}' - observed_on) <= 60) AS observed, count(*) AS total, CAST(count(*) FILTER (abs(DATE '{AS_OF}' - observed_on) <= 60) AS DOUBLE) / count(*) AS ratio, max(observed_on) AS latest FROM seen GROUP BY owner_id""")
+def account_freshness(spark, sf):
+    seen = view.statements(spark, sf).join(view.accounts(spark, sf).select("account_id", "owner_id"), "account_id").groupBy("owner_id", "account_id").agg(F.max("period_end").alias("observed_on"))
+    return networth.coverage(seen, AS_OF, fresh_days=60)
+
+
+@query(f"""WITH {LEDGER}, spent AS (SELECT owner_id, region AS category, currency, CAST(sum(-amount_minor) AS BIGINT) AS spent FROM ledger WHERE posted_at BETWEEN DATE '1996-03-01' AND DATE '1996-03-20' AND amount_minor < 0 GROUP BY ALL),
+  due AS (SELECT owner_id, region AS category, currency, CAST(sum(-amount_minor) AS BIGINT) AS due FROM ledger WHERE posted_at BETWEEN DATE '1996-03-21' AND DATE '1996-03-31' AND amount_minor < 0 AND k % 4 = 0 GROUP BY ALL), b AS (SELECT DISTINCT owner_id, region AS category, currency FROM accounts)
+  SELECT owner_id, category, currency, '1996-03' AS month, coalesce(spent, 0) AS spent_minor, 50500000 - coalesce(spent, 0) AS left_minor, coalesce(spent, 0) + CAST(round(CAST(coalesce(spent, 0) * 11 AS DOUBLE) / 20) AS BIGINT) + coalesce(due, 0) AS projected_minor FROM b LEFT JOIN spent USING (owner_id, category, currency) LEFT JOIN due USING (owner_id, category, currency)""")
+def budgets(spark, sf):
+    rows = view.ledger(spark, sf).withColumnRenamed("region", "category")
+    made = view.accounts(spark, sf).selectExpr("owner_id", "region AS category", "currency", "'1996-03' AS month", "50000000L AS limit_minor", "500000L AS rollover_minor").distinct()
+    bills = rows.where("k % 4 = 0 AND amount_minor < 0").selectExpr("owner_id", "category", "currency", "posted_at AS due_on", "-amount_minor AS amount_minor")
+    return reports.budget_status(made, rows, bills, "1996-03-20")
+
+
+@query(f"""WITH {LEDGER}, {_NORMAL}, m AS (SELECT owner_id, currency, merchant_key, strftime(posted_at, '%Y-%m') AS month, CAST(sum(-amount_minor) AS BIGINT) AS cost FROM keyed GROUP BY ALL), c AS (SELECT DISTINCT owner_id, currency, merchant_key, '1996-04' AS month FROM keyed),
+  j AS (SELECT c.*, now_.cost AS now_cost, was.cost AS was_cost FROM c LEFT JOIN m now_ ON now_.owner_id = c.owner_id AND now_.currency = c.currency AND now_.merchant_key = c.merchant_key AND now_.month = '1996-04' LEFT JOIN m was ON was.owner_id = c.owner_id AND was.currency = c.currency AND was.merchant_key = c.merchant_key AND was.month = '1996-03')
+  SELECT owner_id || '/' || currency || '/' || merchant_key AS commitment_id, coalesce(was_cost, 0) - coalesce(now_cost, 0) AS saved_minor, CASE WHEN was_cost IS NULL THEN 'unverifiable' WHEN coalesce(was_cost, 0) - coalesce(now_cost, 0) > 0 THEN 'realised' ELSE 'not_realised' END AS outcome FROM j""")
+def commitments(spark, sf):
+    rows = _keyed(spark, sf)
+    monthly = rows.groupBy("owner_id", "currency", "merchant_key", F.date_format("posted_at", "yyyy-MM").alias("month")).agg(F.sum(-F.col("amount_minor")).alias("cost_minor"))
+    made = rows.select("owner_id", "currency", "merchant_key").distinct().withColumns({"month": F.lit("1996-04"), "saving_type": F.lit("hard"), "commitment_id": F.concat_ws("/", "owner_id", "currency", "merchant_key")})
+    return reports.verify_commitments(made, monthly).select("commitment_id", "saved_minor", "outcome")
+
+
+@query(f"WITH {STATEMENTS} SELECT account_id, currency, balance_minor, period_end AS observed_on FROM statements QUALIFY row_number() OVER (PARTITION BY account_id, currency ORDER BY period_end DESC, balance_minor) = 1")
+def latest_balances(spark, sf):
+    return books.latest_balance(view.statements(spark, sf).select("account_id", "currency", "balance_minor", F.col("period_end").alias("observed_on")))
+
+
+@query(f"WITH {STATEMENTS} SELECT statement_id, due_date FROM statements WHERE due_date >= DATE '1998-07-01'")
+def upcoming_bills(spark, sf):
+    return books.upcoming_bills(view.statements(spark, sf), "1998-07-01").select("statement_id", "due_date")
+
+
+@query(f"WITH {ACCOUNTS} SELECT account_id, is_active FROM accounts")
+def listed_accounts(spark, sf):
+    return books.listed_accounts(view.accounts(spark, sf).withColumn("display_name", F.concat("kind", "last4"))).select("account_id", "is_active")
+
+
+@query(f"WITH {STATEMENTS} SELECT statement_id, balance_minor FROM statements WHERE account_id = 'A7' AND strftime(period_start, '%Y-%m') = '1996-03'")
+def statement_by_period(spark, sf):
+    rows = view.statements(spark, sf).withColumn("period", F.date_format("period_start", "yyyy-MM"))
+    return books.lookup(rows, account_id="A7", period="1996-03").select("statement_id", "balance_minor")
+
+
+@query(f"WITH {LEDGER} SELECT txn_id FROM ledger WHERE k % 5 < 3")
+def rows_to_recategorise(spark, sf):
+    return books.needs_recategorising(view.ledger(spark, sf).withColumn("category_version", F.expr("CASE WHEN k % 5 > 0 THEN CAST(k % 5 AS INT) END")), 3).select("txn_id")
+
+
+@query(f"WITH {ACCOUNTS}, gone AS (SELECT 'A' || (c_custkey * 3) AS account_id FROM customer) SELECT account_id, is_active AND account_id NOT IN (SELECT account_id FROM gone) AS is_active FROM accounts UNION ALL SELECT account_id, NULL FROM gone WHERE account_id NOT IN (SELECT account_id FROM accounts)")
+def deactivated_accounts(spark, sf):
+    """Every account after every third has been closed, and the ids that no account has."""
+    changed, unknown = books.deactivated(view.accounts(spark, sf), spark.read.parquet(f"{sf}/customer.parquet").selectExpr("concat('A', c_custkey * 3) AS account_id"))
+    return changed.select("account_id", "is_active").unionByName(unknown.withColumn("is_active", F.lit(None).cast("boolean")))
+
+
+@query(f"WITH {STATEMENTS} SELECT statement_id, CASE WHEN balance_minor % 4 = 0 THEN TIMESTAMP '1990-01-01' WHEN balance_minor % 4 = 1 THEN TIMESTAMP '1999-01-01' END AS parsed_at FROM statements")
+def parsed_statements(spark, sf):
+    rows = view.statements(spark, sf).withColumn("parsed_at", F.expr("CASE WHEN balance_minor % 4 = 0 THEN TIMESTAMP'1990-01-01' END"))
+    return books.marked_parsed(rows, rows.where("balance_minor % 4 < 2").select("statement_id"), "1999-01-01")[0].select("statement_id", "parsed_at")
+
+
+@query(f"WITH {ACCOUNTS} SELECT account_id, CASE WHEN currency = 'USD' THEN balance_minor + apr_bp END AS total, CASE WHEN currency = 'USD' THEN balance_minor - apr_bp END AS difference, CASE WHEN currency = 'USD' THEN CAST(sign(balance_minor - apr_bp) AS INTEGER) END AS compared FROM accounts")
+def guarded_amounts(spark, sf):
+    of = (F.col("balance_minor"), F.col("currency"), F.col("apr_bp").cast("bigint"), F.lit("USD"))
+    return view.accounts(spark, sf).select("account_id", money.add_minor(*of).alias("total"), money.subtract_minor(*of).alias("difference"), money.compare_minor(*of).alias("compared"))
+
+
+@query("SELECT o_orderkey, '- ' || chr(CAST(65 + o_orderkey % 26 AS INTEGER)) || ' &lt; ' || chr(CAST(945 + o_orderkey % 20 AS INTEGER)) || ' &unknown; ' || chr(39) || 'é' || chr(39) AS decoded FROM orders")
+def decoded_entities(spark, sf):
+    raw = F.expr("concat('&NDash; &#', CAST(65 + o_orderkey % 26 AS STRING), '; &amp;lt; &#x', lower(hex(945 + o_orderkey % 20)), '; &unknown; &lsquo;é&rsquo;')")
+    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", text.decode_entities(raw).alias("decoded"))
+
+
+@query(f"WITH {LEDGER} SELECT owner_id || ':' || currency || ':' || strftime(posted_at, '%Y-%m') AS insight_id, txn_id AS evidence_id FROM ledger WHERE k % 5 = 0")
+def dangling_evidence(spark, sf):
+    ids = view.ledger(spark, sf).where("k % 5 <> 0").select(F.lit("transaction").alias("kind"), F.col("txn_id").alias("evidence_id"))
+    return insights.dangling_evidence(_cited(spark, sf)[1], ids).select("insight_id", "evidence_id")
+
+
+@query(f"WITH {LEDGER} SELECT account_id, posted_at AS day, string_agg(txn_id, ',' ORDER BY amount_minor >= 0, txn_id) AS events FROM ledger GROUP BY ALL")
+def day_events(spark, sf):
+    rows = view.ledger(spark, sf).selectExpr("account_id", "posted_at AS day", "txn_id AS id", "CASE WHEN amount_minor < 0 THEN 'outflow' ELSE 'inflow' END AS direction")
+    return cashflow.day_events(rows).withColumn("events", F.array_join("events", ","))
+
+
+@query(f"WITH {ACCOUNTS}, a AS (SELECT owner_id, unnest(['kind ' || kind, 'currency ' || currency]) AS one FROM accounts) SELECT owner_id, string_agg(DISTINCT one, ';' ORDER BY one) AS assumptions FROM a GROUP BY owner_id")
+def owner_assumptions(spark, sf):
+    rows = view.accounts(spark, sf).selectExpr("owner_id", "array(concat('kind ', kind), concat('currency ', currency)) AS assumptions")
+    return cashflow.all_assumptions(rows, ["owner_id"]).withColumn("assumptions", F.array_join("assumptions", ";"))
+
+
+@query(f"WITH {STATEMENTS} SELECT statement_id FROM statements JOIN accounts USING (account_id) WHERE minimum_due_minor IS NOT NULL AND statements.currency <> CASE WHEN region = 'US' AND apr_bp > 0 THEN 'USD' ELSE 'INR' END")
+def disagreeing_currencies(spark, sf):
+    other = view.accounts(spark, sf).selectExpr("account_id", "CASE WHEN region = 'US' AND apr_bp > 0 THEN 'USD' ELSE 'INR' END AS minimum_currency")
+    return quality.check_rows(view.statements(spark, sf).join(other, "account_id"), quality.agreeing_currencies()).select("statement_id")
+
+
+@query(f"WITH {LOTS} SELECT account_id, instrument_id, acquired_at FROM lots WHERE NOT (units_micro > 0 AND cost_minor >= 0)")
+def lot_violations(spark, sf):
+    return quality.check_rows(view.lots(spark, sf), quality.lot_rules()).select("account_id", "instrument_id", "acquired_at")

@@ -162,7 +162,7 @@ def test_routing_gives_each_message_one_outcome(spark):
     ]
     routed = ingest.route_messages(spark.createDataFrame(rows, MESSAGE), ingest.sender_rules(spark))
     got = {r.uid: (r.status, r.reason) for r in routed.outcomes.collect()}
-    assert got == {1: ("parsed", None), 2: ("parsed", None), 3: ("ignored", None), 4: ("quarantined", "sender_not_allowed"), 5: ("quarantined", "sender_not_allowed"), 6: ("quarantined", "unauthenticated"), 7: ("quarantined", "no_parser_matched"), 8: ("parsed", None), 9: ("quarantined", "extraction_failed")}
+    assert got == {1: ("parsed", None), 2: ("parsed", None), 3: ("ignored", None), 4: ("ignored", None), 5: ("ignored", None), 6: ("quarantined", "failed_authenticity"), 7: ("quarantined", "no_parser_matched"), 8: ("parsed", None), 9: ("quarantined", "parser_extract_threw")}
     facts = {r.uid: r for r in routed.facts.collect()}
     assert facts[1].amount_minor == 1234 and facts[1].posted_at == D(2026, 7, 15)
     assert (facts[2].amount_minor, facts[2].currency, facts[2].posted_at, facts[2].descriptor_raw, facts[2].last4) == (120050, "INR", D(2026, 7, 12), "SWIGGY", "1234")
@@ -195,3 +195,14 @@ def test_small_operators(spark):
     assert [r.figure for r in insights.unsupported_figures(texts, facts).collect()] == ["99"]
     rows = spark.createDataFrame([(1, -1, "USD"), (1, 1, "??")], "id int, ordinal int, currency string")
     assert quality.check_unique(rows, ["id"]).count() == 1
+
+
+def test_price_steps_take_announcements_in_order(spark):
+    charges = [(f"t{i}", D(2024, 1 + i, 5), a) for i, a in enumerate([1000, 2000, 2000, 1000, 1000, 2000, 2000])]
+    rows = spark.createDataFrame([("s", t, d, a, 100) for t, d, a in charges], "stream_key string, txn_id string, posted_at date, amount_minor bigint, floor_minor bigint")
+    streams = spark.createDataFrame([("s", "monthly", 1, "USD")], "stream_key string, kind string, interval int, currency string")
+    told = spark.createDataFrame([("s", "a1", D(2024, 1, 1), D(2024, 2, 5), 2000, "USD"), ("s", "a2", D(2024, 1, 2), D(2024, 2, 6), 2000, "USD")], "stream_key string, id string, announced_on date, effective_from date, new_minor bigint, currency string")
+    plain = price_steps.detect_price_steps(rows, streams).steps.orderBy("effective_from").collect()
+    assert [r.confidence for r in plain] == ["low", "medium", "medium"]
+    got = price_steps.detect_price_steps(rows, streams, told, match_days=200).steps.orderBy("effective_from").collect()
+    assert [(r.source, r.announcement_id) for r in got] == [("observed+announced", "a1"), ("observed", None), ("observed+announced", "a2")]
