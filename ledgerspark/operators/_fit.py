@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import numpy as np
+from pyspark.sql import DataFrame
 
 # The rhythms tried, in the order that settles ties.
 CADENCES = (
@@ -101,3 +102,12 @@ def peel(days: np.ndarray, amounts: np.ndarray, ids: list[str], floor: int, cade
         streams.append((cadence, int(days[rows[0]]), [(int(rows[i]), s, b) for i, s, b in matches], missed))
         rows = np.setdiff1d(rows, rows[[i for i, _, _ in matches]])
     return streams, rows
+
+
+#: Rows that one Python call gets, about.
+ROWS_PER_CALL = 20_000
+
+
+def bucket_count(rows: DataFrame) -> int:
+    """Buckets for grouped Python calls over a table of so many rows: more rows make more buckets, not larger ones."""
+    return max(1, -(-rows.count() // ROWS_PER_CALL))

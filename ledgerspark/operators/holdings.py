@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerspark.operators._fit import bucket_count
+
 
 def latest_price(valuations: DataFrame, as_of) -> DataFrame:
     """The last price of each instrument on or before the date."""
@@ -59,7 +61,7 @@ def xirr(flows: DataFrame, keys: list[str]) -> DataFrame:
 
     Flows of one day are added first, so a group has at most one row for each day.
     """
-    days = flows.groupBy(*keys, "on").agg(F.sum("amount_minor").alias("amount_minor")).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(1024)))
+    days = flows.groupBy(*keys, "on").agg(F.sum("amount_minor").alias("amount_minor")).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(bucket_count(flows))))
     kinds = ", ".join(f"{k} {dict(flows.dtypes)[k]}" for k in keys)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:

@@ -69,14 +69,15 @@ def _taken(part: pd.DataFrame) -> pd.DataFrame:
     return part[keep]
 
 
-def detect_price_steps(occurrences: DataFrame, streams: DataFrame, announcements: DataFrame | None = None, min_run_length: int = 2, rel: float = 0.02, match_days: int = 10) -> PriceSteps:
+def detect_price_steps(occurrences: DataFrame, streams: DataFrame, announcements: DataFrame | None = None, min_run_length: int = 2, rel: float = 0.02, match_days: int = 10, buckets: int = 4096) -> PriceSteps:
     """Levels and steps of each stream.
 
     ``occurrences``: stream_key, txn_id, posted_at, amount_minor, floor_minor; ``streams``: stream_key, kind, interval, currency;
     ``announcements``: stream_key, id, announced_on, effective_from, new_minor, currency. Steps in their order each take the
-    first announcement, by effective_from and id, that fits and that no earlier step has taken.
+    first announcement, by effective_from and id, that fits and that no earlier step has taken. Streams are dealt to
+    ``buckets`` Python calls; ``_fit.bucket_count`` of the ledger gives a number.
     """
-    few = occurrences.select("stream_key", "txn_id", "posted_at", "amount_minor", "floor_minor").withColumn("bucket", F.pmod(F.xxhash64("stream_key"), F.lit(4096)))
+    few = occurrences.select("stream_key", "txn_id", "posted_at", "amount_minor", "floor_minor").withColumn("bucket", F.pmod(F.xxhash64("stream_key"), F.lit(buckets)))
     rows = few.groupBy("bucket").applyInPandas(_leveled(rel, min_run_length), _OUT)
     levels = rows.where("role = 'level'").groupBy("stream_key", "level").agg(F.first("level_minor").alias("level_minor"), F.min("posted_at").alias("from_day"), F.max("posted_at").alias("to_day"), F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("stream_key").orderBy("level")

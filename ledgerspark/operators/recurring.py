@@ -102,7 +102,7 @@ def detect_recurring(ledger: DataFrame, today, account_floors: DataFrame | None
     rows, floorless = with_floors(rows.where("x = y"), account_floors)
     rejects = repeated.select("txn_id", F.lit("duplicate_id").alias("reason")).unionByName(mixed.select("txn_id", F.lit("mixed_currencies").alias("reason"))).unionByName(floorless.select("txn_id", F.lit("missing_floor").alias("reason")))
     lone = rows.where("n = 1").select("txn_id")
-    many = rows.where("n > 1").withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(4096)))
+    many = rows.where("n > 1").withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(_fit.bucket_count(ledger))))
     fitted = many.groupBy("bucket").applyInPandas(lambda g: pd.concat(list(_fitted(cadences, rel, min_coherence, date_tolerance_days)([g]))), _OUT)
     money = many.select(*key, "currency", "floor_minor").distinct()
     stream_key = F.concat_ws("|", *key, F.col("stream").cast("string"))

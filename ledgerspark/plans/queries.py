@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerspark.functions import calendar as cal
 from ledgerspark.functions import money, text
 from ledgerspark.functions.identity import content_fingerprint, dedupe_key
-from ledgerspark.operators import cashflow, debt, holdings, ingest, insights, networth, price_steps, quality, reconcile, recurring, reports
+from ledgerspark.operators import _fit, cashflow, debt, holdings, ingest, insights, networth, price_steps, quality, reconcile, recurring, reports
 from ledgerspark.operators import ledger as books
 from ledgerspark.plans import adapters as view
 from ledgerspark.plans.adapters import ACCOUNTS, AS_OF, LEDGER, LOTS, STATEMENTS, VALUATIONS
@@ -286,8 +286,9 @@ def recurring_streams(spark, sf):
 
 @query()
 def price_step_events(spark, sf):
-    found = recurring.detect_recurring(view.recurring_seed(spark, sf), "2024-02-15")
-    return price_steps.detect_price_steps(found.occurrences, found.streams).steps
+    rows = view.recurring_seed(spark, sf)
+    found = recurring.detect_recurring(rows, "2024-02-15")
+    return price_steps.detect_price_steps(found.occurrences, found.streams, buckets=_fit.bucket_count(rows)).steps
 
 
 def _cited(spark, sf):
