@@ -195,7 +195,9 @@ def fit_field(windows: np.ndarray, labels: np.ndarray, rounds: int = 60, rate: f
             beta[:, t] = _log_sum(field.steps + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
         norm = _log_sum(alpha[:, -1], 1)
         node = np.exp(alpha + beta - norm[:, None, None])
-        edge = np.exp(alpha[:, :-1, :, None] + field.steps + (e + beta)[:, 1:, None, :] - norm[:, None, None, None]).sum((0, 1))
+        ahead = e + beta - norm[:, None, None]
+        # token by token, as all at once takes nine times the memory of a window's tags
+        edge = sum(np.exp(alpha[:, t - 1, :, None] + field.steps + ahead[:, t, None, :]).sum(0) for t in range(1, length))
         miss = (node - gold).reshape(-1, 3)
         slope = np.stack([sum(np.bincount(row.ravel(), miss[:, k], len(field.weights)) for row in windows) for k in range(3)], 1)
         slopes = slope / count + ridge * field.weights, (edge - pairs) / count, (node[:, 0] - gold[:, 0]).mean(0)
