@@ -28,7 +28,7 @@ from ledgerspark.llm._words import _BASE_BYTE, _BYTE_VALUE, Block, blocks, span_
 #: Ids of a sequence; ids of a shard, about; places of a task's cache of units; see ``_Index``.
 LENGTH, SHARD_IDS, CACHE, DENSE = 2048, 1_500_000, 1 << 18, 16
 #: Documents that centres are fitted on, about; centres at most; dimensions.
-SAMPLE, CENTRES, DIMENSIONS = 20_000, 4096, 64
+SAMPLE, CENTRES, DIMENSIONS = 4096, 4096, 64
 END = 1
 _LETTER, _DIGIT, _OTHER = 1, 2, 3
 _KIND = np.full(128, _OTHER, np.uint8)
