@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm._words import BLOCK_BYTES, _BASE_BYTE, _BYTE_VALUE, _LOWER, _views, span_hashes
+from ledgerspark.llm._tables import kept
+from ledgerspark.llm._words import _BASE_BYTE, _BYTE_VALUE, _LOWER, _views, span_hashes
 
 # The patterns, their order, and the least lengths of what they must catch.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -28,6 +29,8 @@ KINDS = ("assign", "access", "hex", "crf")
 
 #: Texts sampled of either kind, with and without a pattern's match; tokens of a training window; windows kept.
 SAMPLE, WINDOW, WINDOWS = 600, 32, 6000
+#: Bytes of text whose features are held at once (a longer text is alone), and texts whose results are.
+BLOCK_BYTES, TEXTS = 1 << 17, 512
 _HEX_RUN = re.compile(r"[0-9a-f]{24,}")  # the runs of HEX that are long enough
 _LOWER_CASE, _UPPER_CASE, _DIGIT, _SYMBOL, _OTHER = 1, 2, 3, 4, 5
 _KIND = np.zeros(256, np.uint8)
@@ -210,7 +213,7 @@ def fit_field(windows: np.ndarray, labels: np.ndarray, rounds: int = 60, rate: f
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """A field from at most ``sample`` texts with a match and as many without, those of the least hashes; none found: a field that tags nothing."""
     hit = F.col("text").rlike(rf"(?i){ASSIGN.pattern}") | F.col("text").rlike("AKIA[A-Z0-9]{16}") | F.col("text").rlike("[0-9a-f]{24}")
-    ids = docs.select(F.xxhash64("text").alias("draw"), hit.alias("hit")).where("hit IS NOT NULL").distinct()
+    ids = kept(docs.select(F.xxhash64("text").alias("draw"), hit.alias("hit")).where("hit IS NOT NULL"), "draws").distinct()
     few = [ids.where(F.col("hit") == h).orderBy("draw").limit(sample) for h in (True, False)]
     chosen = F.broadcast(few[0].unionByName(few[1]).select("draw"))
     rows = docs.select("text", F.xxhash64("text").alias("draw")).join(chosen, "draw").dropDuplicates(["draw"]).orderBy("draw").collect()  # 2 * sample rows at most
@@ -283,17 +286,21 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
     """
     held = docs.sparkSession.sparkContext.broadcast(field)
 
-    def run(column: pa.Array) -> pa.Array:
+    types = [("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("n_crf", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("masked", pa.string())]
+
+    def some(column: pa.Array) -> pa.Array:
         rows = []
         for text, found in zip(column.to_pylist(), crf_spans(held.value, column), strict=True):
             spans = all_spans(text or "", found)
             base = [s for s in spans if s[0] != "crf"]
             n = [sum(k == kind for k, _, _ in spans) for kind in KINDS]
             rows.append((*n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), masked(text, spans)))
-        types = [("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("n_crf", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("masked", pa.string())]
         columns = list(zip(*rows, strict=True)) or [()] * len(types)
         return pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, types, strict=True)], [n for n, _ in types])
 
+    def run(column: pa.Array) -> pa.Array:
+        return pa.concat_arrays([some(column.slice(i, TEXTS)) for i in range(0, max(1, len(column)), TEXTS)])
+
     run.__annotations__ = {"column": pa.Array, "return": pa.Array}
     result = "struct<n_assign:bigint,n_access:bigint,n_hex:bigint,n_crf:bigint,base_sha256:string,spans:string,masked:string>"
     names = ("n_assign", "n_access", "n_hex", "n_crf", "base_sha256", "spans", "masked")
