@@ -41,9 +41,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in the texts."""
-    own = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__own"))  # columns that the scan adds may have names of these
-    rows = secret_crf.scan(own, secret_crf.fit(docs))
     instead = {"text": F.col("masked"), "n_chars": F.char_length("masked").cast("bigint")}
+    own = docs.select("text", F.struct(*(c for c in docs.columns if c not in instead)).alias("__own"))  # columns that the scan adds may have names of these
+    rows = secret_crf.scan(own, secret_crf.fit(docs))
     return rows.select(*(instead.get(c, F.col("__own").getField(c)).alias(c) for c in docs.columns))
 
 
