@@ -26,7 +26,7 @@ from ledgerspark.llm._tables import kept
 from ledgerspark.llm._words import _BASE_BYTE, _BYTE_VALUE, Block, blocks, span_hashes
 
 #: Ids of a sequence; ids of a shard, about; places of a task's cache of units; see ``_Index``.
-LENGTH, SHARD_IDS, CACHE, DENSE = 2048, 1_500_000, 1 << 18, 16
+LENGTH, SHARD_IDS, CACHE, DENSE = 2048, 1_500_000, 1 << 19, 16
 #: Documents that centres are fitted on, about; centres at most; dimensions.
 SAMPLE, CENTRES, DIMENSIONS = 4096, 4096, 64
 END = 1
@@ -91,7 +91,7 @@ class _Encoder:
     def _reset(self) -> None:
         """The cache: a unit's hash, and where its ids are, stand in the place that the hash's last bits name; a later unit takes an earlier one's place."""
         self.hash = np.arange(1, CACHE + 1).astype(np.uint64)  # of no unit of that place
-        self.at, self.size, self.ids, self.used = np.zeros(CACHE, np.int64), np.zeros(CACHE, np.int64), np.zeros(1 << 16, np.uint16), 0
+        self.at, self.size, self.ids, self.used = np.zeros(CACHE, np.int32), np.zeros(CACHE, np.int32), np.zeros(1 << 16, np.uint16), 0
 
     def _encoded(self, units: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """An order of the units, their ids in it, and how many each has; plain runs of letters go through the tokenizer many at once, told apart by their last tokens."""
@@ -141,8 +141,9 @@ class _Encoder:
         np.cumsum(size, out=done[1:])
         bound = done[before] + np.arange(len(before))  # an end id after each document
         made = np.full(bound[-1], END, np.uint16)
-        target = np.arange(done[-1]) + np.repeat(np.repeat(np.arange(len(b)), np.diff(before)), size)
-        made[target] = self.ids[np.repeat(at - done[:-1], size) + np.arange(done[-1])]
+        own = np.ones(len(made), bool)
+        own[bound[1:] - 1] = False
+        made[own] = self.ids[np.repeat(at - done[:-1], size) + np.arange(done[-1])]
         return made, bound
 
 
@@ -167,19 +168,21 @@ def _ids(column: pa.Array) -> list[np.ndarray]:
 
 
 def _frequencies(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count = np.zeros(1 << 16, np.int64)
+    count, place = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
     for part in parts:
         for ids in _ids(part["ids"]):
-            seen = np.zeros(1 << 16, bool)
-            seen[ids] = True
-            count += seen
+            at = np.arange(len(ids))
+            place[ids] = at
+            count[ids[place[ids] == at]] += 1  # one place of each term
     terms = np.flatnonzero(count)
     yield pa.RecordBatch.from_arrays([pa.array(terms.astype(np.int32)), pa.array(count[terms])], ["term", "n"])
 
 
 def _weights(ids: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
     """A document's terms and their BM25 weights."""
-    own, n = np.unique(ids, return_counts=True)
+    ids = np.sort(ids)
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    own, n = ids[first], np.diff(np.append(first, len(ids)))
     return own, idf[own] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(ids) / mean))
 
 
