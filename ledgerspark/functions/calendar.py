@@ -13,12 +13,17 @@ def parse_iso_date(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
 
 
-def parse_slash_date(text: Column, order: str) -> Column:
+# Fixed value: day, month and year of a date written with slashes, dashes or dots.
+SLASH_DATE = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2}|\d{4})$"
+
+
+def parse_slash_date(text: Column, order: str | Column) -> Column:
     """Slashes, dashes or dots; MDY or DMY as told; two-digit years are 20xx; impossible dates are null."""
-    part = lambda i: F.regexp_extract(F.trim(text), r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})$", i)
-    month, day = (part(1), part(2)) if order == "MDY" else (part(2), part(1))
-    year = F.when(F.length(part(3)) == 2, F.concat(F.lit("20"), part(3))).otherwise(part(3))
-    return F.try_to_date(F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+    part = F.split(F.trim(text), "[/.-]")
+    by_month = F.lit(order == "MDY") if isinstance(order, str) else order == "MDY"
+    month, day = F.when(by_month, F.get(part, 0)).otherwise(F.get(part, 1)), F.when(by_month, F.get(part, 1)).otherwise(F.get(part, 0))
+    year = F.lpad(F.get(part, 2), 4, "20")
+    return F.when(F.trim(text).rlike(SLASH_DATE), F.try_to_date(F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0")), "yyyy-MM-dd"))
 
 
 def utc_date(instant: Column) -> Column:

@@ -46,6 +46,16 @@ def parse_amount(text: Column, currency: Column) -> Column:
     return F.struct(F.when(error.isNull(), signed).alias("minor"), error.alias("error"))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def parse_amounts(texts: Column, currencies: Column) -> Column:
+    """``parse_amount`` of every text of an array that is there, each in its currency; null stays null."""
+    return F.zip_with(texts, currencies, lambda text, currency: F.when(text.isNotNull(), let(F.struct(text.alias("t"), currency.alias("c")), lambda x: parse_amount(x["t"], x["c"]))))
+
+
 def to_decimal_string(minor: Column, currency: Column) -> Column:
     exponent = exponent_of(currency)
     digits = F.abs(minor).cast("string")

@@ -20,7 +20,7 @@ def net_worth(accounts: DataFrame) -> DataFrame:
 
 def currency_exposure(worth: DataFrame, weights: DataFrame) -> DataFrame:
     """Share of each currency, percent, by max(net, 0) times the currency's weight; nothing to weigh: 50."""
-    held = worth.join(F.broadcast(weights), "currency").withColumn("value", F.greatest("net_minor", F.lit(0)) * F.col("weight"))  # one row per currency
+    held = worth.join(weights, "currency").withColumn("value", F.greatest("net_minor", F.lit(0)) * F.col("weight"))
     total = F.sum("value").over(Window.partitionBy("owner_id"))
     return held.select("owner_id", "currency", F.when(total == 0, 50.0).otherwise(F.col("value") * 100 / total).alias("share"))
 

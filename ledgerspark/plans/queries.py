@@ -425,7 +425,7 @@ def statement_totals(spark, sf):
     return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad).select("statement_id", "difference_minor", "reason")
 
 
-@query(f"""WITH m AS (SELECT o_orderkey AS uid, {_AUTH} AS auth, o_orderkey % 6 AS k FROM orders) SELECT count(*) AS fetched, count(*) FILTER (auth IS NULL AND k < 4) AS parsed, count(*) FILTER (auth IS NULL AND k = 4) AS ignored, count(*) FILTER (auth IS NOT NULL OR k = 5) AS quarantined, max(uid) AS highest_uid FROM m""")
+@query(f"""WITH m AS (SELECT o_orderkey AS uid, {_AUTH} AS auth, o_orderkey % 6 AS k FROM orders) SELECT count(*) AS fetched, count(*) FILTER (auth IS NULL AND k < 4) AS parsed, count(*) FILTER (auth IS NULL AND k < 4) AS facts, count(*) FILTER (auth IS NULL AND k = 4) AS ignored, count(*) FILTER (auth IS NOT NULL OR k = 5) AS quarantined, max(uid) AS highest_uid FROM m""")
 def sync_counts(spark, sf):
     return ingest.sync_counters(ingest.route_messages(view.messages(spark, sf), ingest.sender_rules(spark)).outcomes)
 

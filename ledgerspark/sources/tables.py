@@ -12,13 +12,16 @@ SCHEMAS = {
     "statements": "account_id string, period_start date, period_end date, balance_minor bigint, minimum_due_minor bigint, due_date date, currency string, statement_id string",
     "raw_messages": "message_id string, uid bigint, from_header string, subject string, received_at timestamp, text string, html string, headers map<string,string>, byte_size bigint, sha256 string",
     "parse_failures": "message_id string, uid bigint, reason string, detail string, received_at timestamp",
-    "sync_state": "mailbox string, generation bigint, last_uid bigint, last_attempt timestamp, last_success timestamp, failures int, quarantined bigint",
+    "balances": "account_id string, currency string, balance_minor bigint, observed_on date, balance_type string, source_ref string",
+    "supersede_marks": "txn_id string, superseded_by string, score bigint, marked_at timestamp",
+    "sync_batches": "mailbox string, attempt bigint, phase string, generation bigint, after_uid bigint, highest_uid bigint, at timestamp, fetched bigint, parsed bigint, ignored bigint, quarantined bigint, facts bigint, detail string",
+    "price_rejects": "line string, reason string, source string",
     "insights": "insight_id string, insight_kind string, text string, created_at timestamp, dismissed_at timestamp",
     "insight_evidence": "insight_id string, kind string, evidence_id string, ordinal int",
     "valuations": "instrument_id string, as_of_date date, price_minor_e4 bigint, source string",
     "fx_rates": "currency string, rate_date date, inr_per_usd_e4 bigint",
 }
-KEYS = {"accounts": ["account_id"], "transactions": ["dedupe_key"], "statements": ["account_id", "period_start", "period_end"], "raw_messages": ["message_id"], "parse_failures": ["message_id"], "insights": ["insight_id"], "insight_evidence": ["insight_id", "kind", "evidence_id"], "valuations": ["instrument_id", "as_of_date", "source"], "fx_rates": ["currency", "rate_date"]}
+KEYS = {"accounts": ["account_id"], "transactions": ["dedupe_key"], "statements": ["statement_id"], "raw_messages": ["message_id"], "parse_failures": ["message_id"], "balances": ["account_id", "observed_on", "source_ref"], "supersede_marks": ["txn_id"], "insights": ["insight_id"], "insight_evidence": ["insight_id", "kind", "evidence_id"], "valuations": ["instrument_id", "as_of_date", "source"], "fx_rates": ["currency", "rate_date"]}
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -66,9 +69,26 @@ def read_csv_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return rows.where(good).select("txn_id", "account_id", F.col("day").alias("posted_at"), F.col("money.minor").alias("amount_minor"), "currency", "descriptor_raw", F.lit("csv_import").alias("source")), rows.where(~good).select("txn_id", "corrupt", F.col("money.error").alias("error"))
 
 
-def read_nav_file(spark: SparkSession, path: str, source: str = "nav") -> DataFrame:
-    """Prices of a file ``instrument;name;price;dd-MMM-yyyy`` scaled by 10,000 minor units; unreadable rows are left out of the result."""
-    raw = spark.read.csv(path, sep=";", schema="instrument_id string, name string, price string, day string", mode="PERMISSIVE")
-    price = F.round(F.col("price").try_cast("decimal(20,6)") * 1_000_000).cast("bigint")
-    rows = raw.select("instrument_id", F.try_to_date("day", "dd-MMM-yyyy").alias("as_of_date"), price.alias("price_minor_e4"), F.lit(source).alias("source"))
-    return rows.where("as_of_date IS NOT NULL AND price_minor_e4 IS NOT NULL")
+def read_nav_file(spark: SparkSession, path: str, source: str = "nav") -> tuple[DataFrame, DataFrame]:
+    """Prices of a file ``instrument;name;price;dd-MMM-yyyy`` scaled by 10,000 minor units, and the lines that cannot be used, with the reason.
+
+    A price with more than six decimals, a negative one and one that does not fit are rejected, never rounded or cut.
+    """
+    part = F.split("value", ";", 5)
+    raw = spark.read.text(path).where("trim(value) <> ''").select(F.col("value").alias("line"), F.array_size(part).alias("n"), *(F.trim(F.get(part, i)).alias(c) for i, c in enumerate(("instrument_id", "name", "price", "day"))))
+    number = F.when(F.col("price").rlike(r"^\d{1,12}(\.\d{1,6})?$"), F.col("price").try_cast("decimal(20,6)") * 1_000_000)
+    rows = raw.withColumns({"as_of_date": F.try_to_date("day", "dd-MMM-yyyy"), "price_minor_e4": number.cast("bigint")})
+    reason = (
+        F.when(F.col("n") != 4, "columns").when(F.col("instrument_id") == "", "no_instrument")
+        .when(F.col("price_minor_e4").isNull(), "bad_price").when(F.col("as_of_date").isNull(), "bad_date")
+    )
+    rows = rows.withColumn("reason", reason)
+    good = rows.where("reason IS NULL").select("instrument_id", "as_of_date", "price_minor_e4", F.lit(source).alias("source"))
+    return good, rows.where("reason IS NOT NULL").select("line", "reason", F.lit(source).alias("source"))
+
+
+def import_prices(spark: SparkSession, path: str, root: str, source: str = "nav") -> None:
+    """A price file into ``valuations`` (a stored price is never overwritten) and ``price_rejects``."""
+    good, bad = read_nav_file(spark, path, source)
+    append(spark, root, "valuations", good)
+    bad.write.mode("append").parquet(f"{root}/price_rejects")

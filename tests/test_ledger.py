@@ -169,19 +169,6 @@ def test_routing_gives_each_message_one_outcome(spark):
     assert (facts[8].amount_minor, facts[8].minimum_minor, facts[8].due_date) == (270980, 10885, D(2026, 8, 22))
 
 
-def test_stream_sync_is_idempotent(spark, tmp_path):
-    from ledgerspark.sources.tables import read_table
-    from ledgerspark.streaming.sync import start_sync, sync_batch
-
-    rows = [_mail(i, "onlinesbicard@sbicard.com", f"Rs.{i}00.00 spent on your SBI Credit Card ending 1234 at SWIGGY on 12/07/26") for i in (1, 2, 2)]
-    spark.createDataFrame(rows, MESSAGE).write.parquet(f"{tmp_path}/in")
-    start_sync(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check", D(2026, 8, 1)).awaitTermination()
-    counts = lambda: [read_table(spark, f"{tmp_path}/out", t).count() for t in ("raw_messages", "transactions", "accounts")]
-    assert counts() == [2, 2, 1]
-    sync_batch(spark, spark.createDataFrame(rows, MESSAGE), f"{tmp_path}/out", D(2026, 8, 1))
-    assert counts() == [2, 2, 1]
-
-
 def test_small_operators(spark):
     led = spark.createDataFrame([("a", None), ("b", None), ("c", "a")], "txn_id string, superseded_by string")
     plan = spark.createDataFrame([("a", "b"), ("b", "b"), ("x", "a"), ("c", "b")], "txn_id string, by string")
