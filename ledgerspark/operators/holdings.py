@@ -29,11 +29,15 @@ def holdings(lots: DataFrame, valuations: DataFrame, as_of) -> DataFrame:
 def convert(rows: DataFrame, rates: DataFrame, day: str, minor: str) -> DataFrame:
     """usd_minor by the rate of that day or the last before it, with the rate and its date; null where there is none.
 
-    The few rate rows become ranges of days, so the join is an equality on currency and a bound on dates.
+    Only the distinct days of the rows meet the rates in order, at most one row for each currency and day; the rows
+    then join by equality, so a currency with most of the rows is no range join.
     """
-    following = F.lead("rate_date").over(Window.partitionBy("currency").orderBy("rate_date"))
-    ranges = rates.withColumn("until", F.coalesce(following, F.lit("9999-12-31").cast("date"))).select(F.col("currency").alias("__c"), "rate_date", "until", "inr_per_usd_e4")
-    both = rows.join(ranges, (F.col("currency") == F.col("__c")) & (F.col(day) >= F.col("rate_date")) & (F.col(day) < F.col("until")), "left").drop("__c", "until")
+    days = rows.select(F.col("currency"), F.col(day).alias("__day")).where("currency IS NOT NULL AND __day IS NOT NULL").distinct()
+    told = rates.select("currency", F.col("rate_date").alias("__day"), F.struct("rate_date", "inr_per_usd_e4").alias("__rate"))
+    known = days.withColumn("__rate", F.lit(None).cast(told.schema["__rate"].dataType)).unionByName(told).groupBy("currency", "__day").agg(F.max("__rate").alias("__rate"))
+    before = Window.partitionBy("currency").orderBy("__day").rowsBetween(Window.unboundedPreceding, 0)
+    known = known.withColumn("__rate", F.last("__rate", ignorenulls=True).over(before)).select(F.col("currency").alias("__c"), "__day", "__rate.*")
+    both = rows.join(known, (F.col("currency") == F.col("__c")) & (F.col(day) == F.col("__day")), "left").drop("__c", "__day")
     return both.withColumn("usd_minor", F.when(F.col("currency") == "USD", F.col(minor)).otherwise(F.round(F.col(minor).cast("decimal(20,0)") * 10000 / F.col("inr_per_usd_e4").cast("decimal(17,0)")).cast("bigint")))
 
 

@@ -124,23 +124,20 @@ def register_template(templates: list[Template], template: Template) -> list[Tem
     return [*templates, template]
 
 
-_TEMPLATE = """domain string, id string, version int, kind string, account_kind string, currency string, `order` string, confidence double, direction string, credit string,
-  labels map<string,string>, match array<string>, fields map<string,struct<pattern:string,grp:int>>, required array<string>"""
+_TEMPLATE = """domain string, candidates array<struct<id:string,version:int,kind:string,account_kind:string,currency:string,`order`:string,confidence:double,direction:string,credit:string,
+  labels:map<string,string>,match:array<string>,fields:map<string,struct<pattern:string,grp:int>>,required:array<string>>>"""
 
 
 def template_rules(spark: SparkSession, templates: list[Template]) -> DataFrame:
     """domain, candidates: the templates of each sender's domain, as rows, so that their number changes no plan."""
-    rows = []
+    domains: dict[str, list[tuple]] = {}
     for t in templates:
         unknown = set(t.fields) - {*AMOUNTS, *DAYS, *WORDS}
         if unknown or t.kind not in KINDS:
             raise ValueError(f"template {t.id}: unknown {', '.join(sorted(unknown)) or t.kind}")
-        fields = {name: (pattern, group) for name, (pattern, group) in t.fields.items()}
-        rows.append((t.domain, t.id, t.version, t.kind, t.account_kind, t.currency, t.order, float(t.confidence), t.direction, t.credit, t.labels, list(t.match), fields, [n for n in t.fields if n not in t.optional]))
-    each = spark.createDataFrame(rows, _TEMPLATE)
-    return each.groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("id", *(c for c in each.columns if c not in ("domain", "id", "labels", "fields"))))).alias("c"), F.map_from_entries(F.collect_list(F.struct("id", F.struct("labels", "fields")))).alias("maps")).select(
-        "domain", F.transform("c", lambda t: F.struct(*(t[c].alias(c) for c in each.columns if c not in ("domain", "labels", "fields")), F.col("maps")[t["id"]]["labels"].alias("labels"), F.col("maps")[t["id"]]["fields"].alias("fields"))).alias("candidates")
-    )
+        required = [name for name in t.fields if name not in t.optional]
+        domains.setdefault(t.domain, []).append((t.id, t.version, t.kind, t.account_kind, t.currency, t.order, float(t.confidence), t.direction, t.credit, t.labels, list(t.match), dict(t.fields), required))
+    return spark.createDataFrame(list(domains.items()), _TEMPLATE)
 
 
 def sender_rules(spark: SparkSession) -> DataFrame:

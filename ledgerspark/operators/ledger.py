@@ -99,9 +99,15 @@ def apply_supersede(ledger: DataFrame, plan: DataFrame) -> Superseded:
 
 
 def covering_statement(ledger: DataFrame, statements: DataFrame) -> DataFrame:
-    """Transactions with the statement of their account whose period covers them."""
-    s = statements.select("statement_id", F.col("account_id").alias("__a"), "period_start", "period_end")
-    return ledger.join(s, (F.col("account_id") == F.col("__a")) & F.col("posted_at").between(F.col("period_start"), F.col("period_end")), "left").drop("__a", "period_start", "period_end")
+    """Transactions with the statements of their account whose period covers them.
+
+    A period stands once in every month that it touches, so rows meet the periods of their account and month by equality.
+    """
+    first = lambda c: F.trunc(c, "month")
+    s = statements.where("period_start <= period_end").select("statement_id", F.col("account_id").alias("__a"), "period_start", "period_end")
+    s = s.withColumn("__month", F.explode(F.sequence(first("period_start"), first("period_end"), F.expr("INTERVAL 1 MONTH"))))
+    met = (F.col("account_id") == F.col("__a")) & (first("posted_at") == F.col("__month")) & F.col("posted_at").between(F.col("period_start"), F.col("period_end"))
+    return ledger.join(s, met, "left").drop("__a", "__month", "period_start", "period_end")
 
 
 def with_alias_merchant(ledger: DataFrame, merchants: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.text import merchant_key
+from ledgerspark.sources.scratch import written
+
+#: Candidate pairs that a task looks at together.
+CHUNK = 100_000
 
 
 class ReconcilePlan(NamedTuple):
@@ -31,39 +36,80 @@ def _candidates(alerts: DataFrame, lines: DataFrame, days: int, ratio: float) ->
     return met.select(spread["account_id"], spread["currency"], "alert", "line", "a_day", "b_day", "a_minor", "b_minor", score.cast("bigint").alias("score"))
 
 
-def _assigned(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["score", "a_day", "alert", "b_day", "line"], kind="stable")
+#: The order in which pairs are taken.
+ORDER = ["score", "a_day", "alert", "b_day", "line"]
+
+
+def _with_rivals(pairs: DataFrame) -> DataFrame:
+    """Pairs with the number of pairs of either side, and whether they are that side's first."""
+    first = F.min(F.struct(*ORDER)).alias("first")
+    a = pairs.groupBy("alert").agg(first, F.count(F.lit(1)).alias("n_a")).withColumnRenamed("first", "first_a")
+    b = pairs.groupBy("line").agg(first, F.count(F.lit(1)).alias("n_b")).withColumnRenamed("first", "first_b")
+    own = F.struct(*ORDER)
+    return pairs.join(a, "alert").join(b, "line").withColumns({"best_a": own == F.col("first_a"), "best_b": own == F.col("first_b")}).drop("first_a", "first_b")
+
+
+def _judged(rows: pd.DataFrame) -> pd.DataFrame:
+    """What can be said of a chunk's pairs: taken, dropped, or open where pairs outside it may come first."""
+    rows = rows.sort_values(ORDER, kind="stable")
     a, b = (pd.factorize(rows[c])[0] for c in ("alert", "line"))
-    free_a, free_b = np.ones(a.max() + 1, bool), np.ones(b.max() + 1, bool)
-    taken = np.zeros(len(rows), bool)
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        if free_a[x] and free_b[y]:
-            free_a[x] = free_b[y] = False
-            taken[i] = True
-    return rows.loc[taken, ["account_id", "currency", "alert", "line", "score"]]
+    unsure_a = (rows["n_a"] > rows.groupby("alert")["alert"].transform("size")).groupby(a).any().tolist()
+    unsure_b = (rows["n_b"] > rows.groupby("line")["line"].transform("size")).groupby(b).any().tolist()
+    gone_a, gone_b, verdict = set(), set(), []
+    for x, y, first_a, first_b in zip(a.tolist(), b.tolist(), rows["best_a"].tolist(), rows["best_b"].tolist(), strict=True):
+        if x in gone_a or y in gone_b:
+            verdict.append("dropped")
+        elif (first_a or not unsure_a[x]) and (first_b or not unsure_b[y]):
+            gone_a.add(x)
+            gone_b.add(y)
+            verdict.append("taken")
+        else:
+            unsure_a[x] = unsure_b[y] = True  # a later pair of either side waits for this one
+            verdict.append("open")
+    return rows.assign(verdict=verdict)
+
 
+def _chunks(size: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for frame in frames:
+            for low in range(0, len(frame), size):
+                held.append(frame.iloc[low : low + size])
+                n += len(held[-1])
+                if n >= size:
+                    yield _judged(pd.concat(held))
+                    held, n = [], 0
+        if n:
+            yield _judged(pd.concat(held))
 
-def reconcile(alerts: DataFrame, lines: DataFrame, window_days: int = 4, amount_drift_ratio: float = 0.0) -> ReconcilePlan:
+    return run
+
+
+def reconcile(alerts: DataFrame, lines: DataFrame, window_days: int = 4, amount_drift_ratio: float = 0.0, chunk: int = CHUNK) -> ReconcilePlan:
     """Greedy one-to-one matches in the order of score, alert (posted_at, txn_id), line (posted_at, line_id).
 
     Candidates agree in account and currency, lie at most ``window_days`` apart and differ by at most the
-    ratio of the alert. Score: 1000 for each minor unit, 10 for each day, 1 for another merchant. A group that is
-    assigned in one task holds the candidates of one account and currency between two gaps of days (with ratio 0, of
-    one amount); candidates whose two sides have no other candidate never leave the JVM.
+    ratio of the alert. Score: 1000 for each minor unit, 10 for each day, 1 for another merchant.
+
+    Pairs are decided in rounds. A pair that comes first on both its sides is taken by any greedy pass; pairs whose
+    sides have no other never leave the JVM. The others are dealt by ranges of account and day, whatever the account,
+    and a task decides in order what no pair outside its chunk can change; the rest meets in the next round in other
+    chunks. Every round takes at least the first pair that is left, and a chunk decides whole chains, so the rounds are few.
     """
-    found = _candidates(alerts, lines, window_days, amount_drift_ratio)
-    key = ["account_id", "currency", *(["a_minor"] if amount_drift_ratio == 0 else [])]
-    by = Window.partitionBy(*key).orderBy("a_day")
-    # a new stretch begins where an alert's window cannot touch the one before
-    new = F.when(F.datediff("a_day", F.lag("a_day").over(by)) > 2 * window_days, 1).otherwise(0)
-    rows = found.withColumn("new", new).withColumn("stretch", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    size = rows.groupBy(*key, "stretch").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.join(size, [*key, "stretch"])
-    alone = rows.where("n = 1").select("account_id", "currency", "alert", "line", "score")
-    many = rows.where("n > 1").groupBy(*key, "stretch").applyInPandas(_assigned, "account_id string, currency string, alert string, line string, score bigint")
-    matched = alone.unionByName(many)
+    pairs = written(_candidates(alerts, lines, window_days, amount_drift_ratio), "pairs")
+    key = ["account_id", "currency", *(["a_minor"] if amount_drift_ratio == 0 else []), "a_day", "alert", "line"]
+    taken, rounds = [], 0
+    while not pairs.isEmpty():
+        rivals = _with_rivals(pairs)
+        alone = F.col("best_a") & F.col("best_b") & (F.col("n_a") == 1) & (F.col("n_b") == 1)
+        judged = rivals.where(~alone).repartitionByRange(*key) if rounds % 2 == 0 else rivals.where(~alone).repartitionByRange(*reversed(key))
+        judged = judged.sortWithinPartitions(*key).mapInPandas(_chunks(chunk), judged.schema.add("verdict", "string"))
+        done = written(rivals.where(alone).withColumn("verdict", F.lit("taken")).unionByName(judged).select(*pairs.columns, "verdict").where("verdict <> 'dropped'"), "judged")
+        taken.append(done.where("verdict = 'taken'").select("account_id", "currency", "alert", "line", "score"))
+        left = done.where("verdict = 'open'").drop("verdict")
+        pairs, rounds = written(left.join(taken[-1].select("alert"), "alert", "left_anti").join(taken[-1].select("line"), "line", "left_anti"), "pairs"), rounds + 1
+    empty = alerts.sparkSession.createDataFrame([], "account_id string, currency string, alert string, line string, score bigint")
+    matched = reduce(DataFrame.unionByName, taken, empty)
     left_a = alerts.join(matched.select(F.col("alert").alias("txn_id")), "txn_id", "left_anti")
     left_b = lines.join(matched.select(F.col("line").alias("line_id")), "line_id", "left_anti")
     return ReconcilePlan(matched, left_a, left_b)
-
-

@@ -217,6 +217,8 @@ def supersede(spark: SparkSession, root: str, arrived: DataFrame, now, window_da
     marks = read_table(spark, root, "supersede_marks")
     alerts = near.where("source = 'alert' AND superseded_by IS NULL").withColumnRenamed("dedupe_key", "txn_id")
     lines = near.where("source <> 'alert'").withColumnRenamed("dedupe_key", "line_id").join(marks.select(F.col("superseded_by").alias("line_id")), "line_id", "left_anti")
+    if lines.isEmpty() or alerts.isEmpty():
+        return
     found = reconcile(alerts, lines, window_days, amount_drift_ratio).matched
     append(spark, root, "supersede_marks", found.select(F.col("alert").alias("txn_id"), F.col("line").alias("superseded_by"), "score", F.lit(str(now)).cast("timestamp").alias("marked_at")))
 

@@ -96,6 +96,22 @@ def test_reconcile_agrees_with_all_pairs(spark, ratio):
     assert plan.unmatched_alerts.count() == 60 - len(got) and plan.unmatched_lines.count() == 60 - len(got)
 
 
+@pytest.mark.parametrize("ratio", [0.0, 0.12])
+@pytest.mark.parametrize("chunk", [9, 100_000])
+def test_reconcile_splits_a_hot_account(spark, ratio, chunk):
+    rng = random.Random(5)
+    make = lambda p, n: [("hot" if i % 3 == 0 else f"c{i % 7}", f"{p}{i:03}", D(2026, 7, 1) + dt.timedelta(rng.randrange(30)), rng.choice([3600, 3600, 4000, -3600]), rng.choice(["USD", "EUR"]), rng.choice(["COFFEE", "BOOKS"]), "US") for i in range(n)]
+    chain = [("chain", f"{p}c{i:03}", D(2026, 1, 1) + dt.timedelta(4 * i + 2 * (p == "b")), 500, "USD", "BUS", "US") for p in "ab" for i in range(60)]
+    alerts, lines = make("a", 90) + [r for r in chain if r[1][0] == "a"], make("b", 90) + [r for r in chain if r[1][0] == "b"]
+    plan = reconcile.reconcile(spark.createDataFrame(alerts, LINE.format("txn_id")), spark.createDataFrame(lines, LINE.format("line_id")), 2, ratio, chunk)
+    assert {(r.alert, r.line) for r in plan.matched.collect()} == _greedy(alerts, lines, 2, ratio)
+
+
+def test_reconcile_nothing(spark):
+    none = spark.createDataFrame([], LINE.format("txn_id"))
+    assert [df.count() for df in reconcile.reconcile(none, none.withColumnRenamed("txn_id", "line_id"))] == [0, 0, 0]
+
+
 TXN = "txn_id string, account_id string, posted_at date, amount_minor bigint, currency string, descriptor_raw string, region string, kind string"
 
 
@@ -193,3 +209,24 @@ def test_price_steps_take_announcements_in_order(spark):
     assert [r.confidence for r in plain] == ["low", "medium", "medium"]
     got = price_steps.detect_price_steps(rows, streams, told, match_days=200).steps.orderBy("effective_from").collect()
     assert [(r.source, r.announcement_id) for r in got] == [("observed+announced", "a1"), ("observed", None), ("observed+announced", "a2")]
+
+
+def test_conversion_takes_the_last_rate_on_or_before(spark):
+    rng = random.Random(3)
+    rates = [(c, D(2026, 1, 1) + dt.timedelta(d), 800000 + 7 * d) for c in ("INR", "EUR") for d in sorted(rng.sample(range(5, 400), 20))]
+    rows = [(i, rng.choice(["INR", "EUR", "USD", "XXX", None]), rng.choice([None, *(D(2026, 1, 1) + dt.timedelta(x) for x in range(0, 600, 7))]), 10**6) for i in range(300)]
+    got = holdings.convert(spark.createDataFrame(rows, "id int, currency string, day date, minor bigint"), spark.createDataFrame(rates, "currency string, rate_date date, inr_per_usd_e4 bigint"), "day", "minor").collect()
+    assert len(got) == 300
+    for r in got:
+        last = max(((d, x) for c, d, x in rates if c == r.currency and r.day and d <= r.day), default=(None, None))
+        assert (r.rate_date, r.inr_per_usd_e4) == last
+        assert r.usd_minor == (10**6 if r.currency == "USD" else round(10**10 / last[1]) if last[1] else None)
+
+
+def test_statements_cover_across_months(spark):
+    rng = random.Random(4)
+    periods = [(f"s{i}", rng.choice("ab"), D(2026, 1, 1) + dt.timedelta(20 * i), D(2026, 1, 1) + dt.timedelta(20 * i + rng.choice([-1, 0, 19, 75]))) for i in range(18)] + [("none", "a", None, D(2026, 5, 1))]
+    rows = [(i, rng.choice(["a", "b", "c", None]), D(2025, 12, 20) + dt.timedelta(rng.randrange(500))) for i in range(200)]
+    got = ledger.covering_statement(spark.createDataFrame(rows, "txn_id int, account_id string, posted_at date"), spark.createDataFrame(periods, "statement_id string, account_id string, period_start date, period_end date"))
+    want = [(i, s) for i, a, d in rows for s in [s for s, b, x, y in periods if a == b and x and x <= d <= y] or [None]]
+    assert sorted((r.txn_id, str(r.statement_id)) for r in got.collect()) == sorted((i, str(s)) for i, s in want)
