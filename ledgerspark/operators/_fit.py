@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import datetime as dt
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 
 # The rhythms tried, in the order that settles ties.
@@ -12,46 +14,28 @@ CADENCES = (
     ("weekly", 1, None), ("weekly", 2, None), ("semi_monthly", 1, "last_business_day"), ("weekly", 4, None), ("monthly", 1, None),
     ("last_business_day", 1, None), ("monthly", 2, None), ("monthly", 3, None), ("monthly", 6, None), ("monthly", 12, None),
 )
-_EPOCH = dt.date(1970, 1, 1)
+_BEGIN = np.arange("1800-01", "2300-02", dtype="datetime64[M]").astype("datetime64[D]").astype(np.int64)
+_FIRST, _LAST = _BEGIN[:-1], _BEGIN[1:] - 1
+_BUSINESS = _LAST - np.choose((_LAST + 3) % 7, [0, 0, 0, 0, 0, 1, 2])  # Saturdays and Sundays give way to Friday
 
 
-def _month_end(year: int, month: int) -> int:
-    following = dt.date(year + month // 12, month % 12 + 1, 1)
-    return (following - _EPOCH).days - 1
-
-
-def _business_end(year: int, month: int) -> int:
-    end = _month_end(year, month)
-    return end - {5: 1, 6: 2}.get((_EPOCH + dt.timedelta(end)).weekday(), 0)
-
-
-def slots(cadence: tuple, anchor: int, first: int, last: int) -> list[int] | None:
-    """Days (since 1970) of a cadence from first to last; None where the anchor cannot start it."""
+@lru_cache(maxsize=50_000)
+def slots(cadence: tuple, anchor: int, first: int, last: int) -> np.ndarray | None:
+    """Days (since 1970) of a cadence from first to last, ascending; None where the anchor cannot start it."""
     kind, step, second = cadence
     begin = max(first, anchor)
     if kind == "weekly":
-        start = -(-(begin - anchor) // (7 * step))
-        return list(range(anchor + 7 * step * start, last + 1, 7 * step))
-    day = _EPOCH + dt.timedelta(anchor)
+        return np.arange(anchor - (anchor - begin) // (7 * step) * 7 * step, last + 1, 7 * step)
+    month = int(np.searchsorted(_FIRST, anchor, "right")) - 1
+    day = anchor - int(_FIRST[month])  # from 0
+    if kind == "semi_monthly" and (anchor > _BUSINESS[month] if second == "last_business_day" else day + 1 >= int(second)):
+        return None
+    months = np.arange(month, int(np.searchsorted(_FIRST, last, "right")), step)
+    found = _BUSINESS[months] if kind == "last_business_day" else np.minimum(_FIRST[months] + day, _LAST[months])
     if kind == "semi_monthly":
-        limit = _business_end(day.year, day.month) if second == "last_business_day" else None
-        if (limit is not None and anchor > limit) or (limit is None and day.day >= int(second)):
-            return None
-    found, k = set(), 0
-    while True:
-        month = day.year * 12 + day.month - 1 + k * step
-        year, number = divmod(month, 12)
-        low, end = (dt.date(year, number + 1, 1) - _EPOCH).days, _month_end(year, number + 1)
-        if low > last:
-            return sorted(x for x in found if begin <= x <= last)
-        same = min(low + day.day - 1, end)
-        if kind == "last_business_day":
-            found.add(_business_end(year, number + 1))
-        else:
-            found.add(same)
-            if kind == "semi_monthly":
-                found.add(_business_end(year, number + 1) if second == "last_business_day" else min(low + int(second) - 1, end))
-        k += 1
+        other = _BUSINESS[months] if second == "last_business_day" else np.minimum(_FIRST[months] + int(second) - 1, _LAST[months])
+        found = np.unique(np.concatenate([found, other]))
+    return found[(found >= begin) & (found <= last)]
 
 
 def tolerance_days(cadence: tuple) -> int:
@@ -62,48 +46,107 @@ def amount_tolerance(expected: int, floor: int, rel: float) -> int:
     return max(int(abs(expected) * rel + 0.5), floor)
 
 
-def fit(days: np.ndarray, amounts: np.ndarray, ids: list[str], cadence: tuple, floor: int, rel: float, tol: int):
-    """(matches (index, slot, breach), missed slots, deviation, breaches) or None; rows sorted by day, then id."""
+def _windows(days: np.ndarray, cadence: tuple, tol: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Slots of a cadence that begins with the first day, and the range of rows within tolerance of each."""
     expected = slots(cadence, int(days[0]), int(days[0]), int(days[-1]))
-    if expected is None:
-        return None
-    free = np.ones(len(days), bool)
-    matches, missed, level, deviation, breaches = [], [], None, 0, 0
-    lows, highs = np.searchsorted(days, np.array(expected) - tol), np.searchsorted(days, np.array(expected) + tol, "right")
-    for slot, a, b in zip(expected, lows.tolist(), highs.tolist(), strict=True):
+    return None if expected is None else (expected, np.searchsorted(days, expected - tol), np.searchsorted(days, expected + tol, "right"))
+
+
+def fit(days: list[int], amounts: list[int], ids: list[str], windows: tuple, floor: int, rel: float):
+    """(matches (index, slot, breach), missed slots, deviation, breaches) or None; rows sorted by day, then id."""
+    expected, lows, highs = windows
+    free = [True] * len(days)
+    matches, level, deviation, breaches = [], None, 0, 0
+    near = np.flatnonzero(highs > lows)
+    for slot, a, b in zip(expected[near].tolist(), lows[near].tolist(), highs[near].tolist(), strict=True):
         pool = [i for i in range(a, b) if free[i]]
         if not pool:
-            missed.append(slot)
             continue
-        good = [i for i in pool if level is not None and abs(int(amounts[i]) - level) <= amount_tolerance(level, floor, rel)]
+        allowed = 0 if level is None else amount_tolerance(level, floor, rel)
+        good = [i for i in pool if level is not None and abs(amounts[i] - level) <= allowed]
         breach = level is not None and not good
-        i = min(good or pool, key=lambda i: (abs(int(days[i]) - slot), int(amounts[i]), ids[i]))
+        pool = good or pool
+        i = pool[0] if len(pool) == 1 else min(pool, key=lambda i: (abs(days[i] - slot), amounts[i], ids[i]))
         matches.append((i, slot, breach))
         breaches += breach
-        deviation += abs(int(days[i]) - slot)
+        deviation += abs(days[i] - slot)
         free[i] = False
-        level = int(amounts[i])
-    return (matches, missed, deviation, breaches) if len(matches) >= 2 else None
+        level = amounts[i]
+    if len(matches) < 2:
+        return None
+    met = {slot for _, slot, _ in matches}
+    return matches, [s for s in expected.tolist() if s not in met], deviation, breaches
 
 
 def peel(days: np.ndarray, amounts: np.ndarray, ids: list[str], floor: int, cadences, rel: float, coherence: float, tol: int | None):
-    """Streams one after another: (cadence, anchor, matches with row numbers, missed); then the rows left over."""
+    """Streams one after another: (cadence, anchor, matches with row numbers, missed); then the rows left over.
+
+    A cadence matches at most one row for each slot that has any row within tolerance. Those with the highest bounds are
+    fitted first; one whose bound is below the matches of a coherent fit cannot come before it and is not fitted.
+    """
     rows, streams = np.arange(len(days)), []
     while len(rows) >= 2:
-        ranked = []
+        here, costs, names = days[rows], amounts[rows].tolist(), [ids[r] for r in rows]
+        listed = here.tolist()
+        tried = []
         for k, cadence in enumerate(cadences):
-            found = fit(days[rows], amounts[rows], [ids[r] for r in rows], cadence, floor, rel, tolerance_days(cadence) if tol is None else tol)
-            if found:
-                ranked.append(((-len(found[0]), len(found[1]), found[3], found[2], k), cadence, found))
-        best = next((r for r in sorted(ranked, key=lambda r: r[0]) if 1 - r[2][3] / len(r[2][0]) >= coherence), None)
+            windows = _windows(here, cadence, tolerance_days(cadence) if tol is None else tol)
+            if windows is not None:
+                tried.append((int(np.count_nonzero(windows[2] > windows[1])), k, cadence, windows))
+        best = None
+        for bound, k, cadence, windows in sorted(tried, key=lambda t: (-t[0], t[1])):
+            if bound < 2 or (best is not None and bound < -best[0][0]):
+                break
+            found = fit(listed, costs, names, windows, floor, rel)
+            if found and 1 - found[3] / len(found[0]) >= coherence:
+                order = (-len(found[0]), len(found[1]), found[3], found[2], k)
+                if best is None or order < best[0]:
+                    best = order, cadence, found
         if best is None:
             break
         _, cadence, (matches, missed, _, _) = best
-        streams.append((cadence, int(days[rows[0]]), [(int(rows[i]), s, b) for i, s, b in matches], missed))
-        rows = np.setdiff1d(rows, rows[[i for i, _, _ in matches]])
+        streams.append((cadence, int(here[0]), [(int(rows[i]), s, b) for i, s, b in matches], missed))
+        left = np.ones(len(rows), bool)
+        left[[i for i, _, _ in matches]] = False
+        rows = rows[left]
     return streams, rows
 
 
+def by_group(df: DataFrame, keys: list[str], order: list[str], run: Callable[[tuple, pd.DataFrame], list[tuple]], schema: str, kinds: dict[str, str] | None = None) -> DataFrame:
+    """``run`` of every group, in order, in tasks that hold one group and one batch at a time.
+
+    The number of partitions is set, as tasks here take time by their Python work, not by their bytes; adaptive
+    execution would join small ones.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            if held is not None:
+                frame = pd.concat([held, frame], ignore_index=True)
+            held = None
+            edges = np.flatnonzero((frame[keys] != frame[keys].shift()).any(axis=1).to_numpy())
+            if len(edges) > 1:
+                yield whole(frame, edges)
+            if len(edges):
+                held = frame.iloc[edges[-1] :]
+        if held is not None:
+            yield whole(held.reset_index(drop=True), np.array([0, len(held)]))
+
+    def whole(frame: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
+        out = []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            g = frame.iloc[a:b]
+            out += run(tuple(g[k].iloc[0] for k in keys), g)
+        made = pd.DataFrame(out, columns=columns)
+        return made.astype(kinds) if kinds else made
+
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys, *order).mapInPandas(groups, schema)
+
+
 #: Rows that one Python call gets, about.
 ROWS_PER_CALL = 20_000
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from bisect import insort
 from typing import NamedTuple
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.money import amount_tolerance, occurrences_per_year, within_tolerance
 from ledgerspark.operators._fit import amount_tolerance as tolerance
+from ledgerspark.operators._fit import by_group
+from ledgerspark.sources.scratch import written
 
 
 class PriceSteps(NamedTuple):
@@ -47,13 +48,10 @@ _OUT = "stream_key string, txn_id string, posted_at date, amount_minor bigint, r
 
 
 def _leveled(rel: float, least: int):
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for key, g in part.sort_values(["stream_key", "posted_at", "txn_id"]).groupby("stream_key", sort=False):
-            amounts = g["amount_minor"].to_numpy().astype(np.int64)
-            for (role, n, minor), t, d, a in zip(split_levels(amounts.tolist(), int(g["floor_minor"].iloc[0]), rel, least), g["txn_id"], g["posted_at"], amounts, strict=True):
-                out.append((key, t, d, int(a), role, n, minor))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
+    def run(key: tuple, g: pd.DataFrame) -> list[tuple]:
+        amounts = g["amount_minor"].tolist()
+        found = split_levels(amounts, int(g["floor_minor"].iloc[0]), rel, least)
+        return [(*key, t, d, a, role, n, minor) for (role, n, minor), t, d, a in zip(found, g["txn_id"], g["posted_at"], amounts, strict=True)]
 
     return run
 
@@ -69,16 +67,16 @@ def _taken(part: pd.DataFrame) -> pd.DataFrame:
     return part[keep]
 
 
-def detect_price_steps(occurrences: DataFrame, streams: DataFrame, announcements: DataFrame | None = None, min_run_length: int = 2, rel: float = 0.02, match_days: int = 10, buckets: int = 4096) -> PriceSteps:
+def detect_price_steps(occurrences: DataFrame, streams: DataFrame, announcements: DataFrame | None = None, min_run_length: int = 2, rel: float = 0.02, match_days: int = 10) -> PriceSteps:
     """Levels and steps of each stream.
 
     ``occurrences``: stream_key, txn_id, posted_at, amount_minor, floor_minor; ``streams``: stream_key, kind, interval, currency;
     ``announcements``: stream_key, id, announced_on, effective_from, new_minor, currency. Steps in their order each take the
-    first announcement, by effective_from and id, that fits and that no earlier step has taken. Streams are dealt to
-    ``buckets`` Python calls; ``_fit.bucket_count`` of the ledger gives a number.
+    first announcement, by effective_from and id, that fits and that no earlier step has taken.
     """
-    few = occurrences.select("stream_key", "txn_id", "posted_at", "amount_minor", "floor_minor").withColumn("bucket", F.pmod(F.xxhash64("stream_key"), F.lit(buckets)))
-    rows = few.groupBy("bucket").applyInPandas(_leveled(rel, min_run_length), _OUT)
+    few = occurrences.select("stream_key", "txn_id", "posted_at", "amount_minor", "floor_minor")
+    # levels, steps, pending changes and outliers all come out of these rows
+    rows = written(by_group(few, ["stream_key"], ["posted_at", "txn_id"], _leveled(rel, min_run_length), _OUT), "levels")
     levels = rows.where("role = 'level'").groupBy("stream_key", "level").agg(F.first("level_minor").alias("level_minor"), F.min("posted_at").alias("from_day"), F.max("posted_at").alias("to_day"), F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("stream_key").orderBy("level")
     steps = levels.withColumns({"previous_minor": F.lag("level_minor").over(by), "previous_n": F.lag("n").over(by)}).where("previous_minor IS NOT NULL")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from typing import NamedTuple
 
 import numpy as np
@@ -15,6 +14,7 @@ from ledgerspark.functions.money import FLOORS, amount_tolerance, as_map, lower_
 from ledgerspark.functions.text import normalize_descriptor
 from ledgerspark.operators import _fit
 from ledgerspark.operators.ledger import first_of
+from ledgerspark.sources.scratch import written
 
 # Phrases of transfers, in the order in which the first one found is reported.
 TRANSFERS = ("autopay", "payment thank you", "online payment", "card payment", "credit card payment", "internal transfer", "funds transfer", "transfer to", "transfer from", "ach transfer", "zelle", "neft", "rtgs", "imps")
@@ -52,27 +52,27 @@ def with_floors(df: DataFrame, account_floors: DataFrame | None = None, currency
     return df.where("floor_minor IS NOT NULL"), df.where("floor_minor IS NULL")
 
 
-_OUT = "account_id string, merchant_key string, direction string, stream int, kind string, interval int, second_day string, anchor date, txn_id string, slot date, posted_at date, amount_minor bigint, breach boolean"
+_OUT = "account_id string, merchant_key string, direction string, stream int, kind string, interval int, second_day string, anchor date, txn_id string, slot date, posted_at date, amount_minor bigint, breach boolean, reason string, currency string, floor_minor bigint"
+
+
+_KINDS = {"stream": "Int32", "interval": "Int32", "amount_minor": "Int64", "breach": "boolean", "floor_minor": "Int64"}
 
 
 def _fitted(cadences, rel: float, coherence: float, tol: int | None):
-    def run(parts: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        """Whole groups lie in one bucket: occurrences, missed slots (no txn_id) and leftovers (no slot)."""
-        for part in parts:
-            out = []
-            day = pd.to_datetime(part["posted_at"]).to_numpy().astype("datetime64[D]").astype(np.int64)
-            part = part.assign(day=day).sort_values(["account_id", "merchant_key", "direction", "day", "txn_id"])
-            date = lambda d: pd.Timestamp(int(d), unit="D").date()
-            for key, g in part.groupby(["account_id", "merchant_key", "direction"], sort=False):
-                days, amounts, ids = g["day"].to_numpy(), g["magnitude"].to_numpy(), g["txn_id"].tolist()
-                streams, left = _fit.peel(days, amounts, ids, int(g["floor_minor"].iloc[0]), cadences, rel, coherence, tol)
-                for n, (cadence, anchor, matches, missed) in enumerate(streams):
-                    head = (*key, n, *cadence, date(anchor))
-                    out += [(*head, ids[i], date(s), date(days[i]), int(amounts[i]), bool(b)) for i, s, b in matches]
-                    out += [(*head, None, date(s), None, None, None) for s in missed]
-                out += [(*key, None, None, None, None, None, ids[i], None, date(days[i]), int(amounts[i]), None) for i in left]
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
-            yield frame.astype({"stream": "Int32", "interval": "Int32", "amount_minor": "Int64", "breach": "boolean"})
+    def run(key: tuple, g: pd.DataFrame) -> list[tuple]:
+        """One group: occurrences, missed slots (no txn_id) and leftovers (no slot); the reason of rows that take no part."""
+        date = lambda d: pd.Timestamp(int(d), unit="D").date()
+        days = pd.to_datetime(g["posted_at"]).to_numpy().astype("datetime64[D]").astype(np.int64)
+        amounts, ids, floor, currencies = g["magnitude"].to_numpy(), g["txn_id"].tolist(), g["floor_minor"].iloc[0], g["currency"]
+        told = (currencies.iloc[0], None if pd.isna(floor) else int(floor))
+        reason = "mixed_currencies" if currencies.nunique(dropna=True) > 1 else "missing_floor" if pd.isna(floor) else None
+        streams, left = ([], np.arange(len(g))) if reason else _fit.peel(days, amounts, ids, int(floor), cadences, rel, coherence, tol)
+        out = []
+        for n, (cadence, anchor, matches, missed) in enumerate(streams):
+            head = (*key, n, *cadence, date(anchor))
+            out += [(*head, ids[i], date(s), date(days[i]), int(amounts[i]), bool(b), None, *told) for i, s, b in matches]
+            out += [(*head, None, date(s), None, None, None, None, *told) for s in missed]
+        return out + [(*key, None, None, None, None, None, ids[i], None, date(days[i]), int(amounts[i]), None, reason, *told) for i in left]
 
     return run
 
@@ -81,7 +81,8 @@ def detect_recurring(ledger: DataFrame, today, account_floors: DataFrame | None
     """Streams of charges of one account, merchant and direction that keep a calendar rhythm.
 
     ``ledger``: txn_id, account_id, posted_at, amount_minor, currency, descriptor_raw, region, kind. Repeated ids keep
-    their first row by date; groups of several currencies, and currencies without a floor, are rejected.
+    their first row by date; groups of several currencies, and currencies without a floor, are rejected. A group is
+    the smallest unit of the fit: it is held in one task, others are not.
     """
     region = F.coalesce("region", F.lit(default_region))
     # exploding an array of one keeps the optimizer from writing the long expression into each of its uses
@@ -92,24 +93,14 @@ def detect_recurring(ledger: DataFrame, today, account_floors: DataFrame | None
     excluded = named.where("reason IS NOT NULL").select("txn_id", "reason", "detail")
     key = ["account_id", "merchant_key", "direction"]
     rows = named.where("reason IS NULL").select("account_id", "merchant_key", F.when(F.col("amount_minor") < 0, "outflow").otherwise("inflow").alias("direction"), "txn_id", "posted_at", F.abs("amount_minor").alias("magnitude"), "currency")
-    again = rows.groupBy("txn_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("txn_id")
-    repeated = rows.join(again, "txn_id", "left_semi")
-    first, repeated = first_of(repeated, ["txn_id"], ["posted_at", *key, "magnitude", "currency"])
-    rows = rows.join(again, "txn_id", "left_anti").unionByName(first)
-    groups = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("currency").alias("x"), F.max("currency").alias("y"))
-    rows = rows.join(groups, key)
-    mixed = rows.where("x <> y")
-    rows, floorless = with_floors(rows.where("x = y"), account_floors)
-    rejects = repeated.select("txn_id", F.lit("duplicate_id").alias("reason")).unionByName(mixed.select("txn_id", F.lit("mixed_currencies").alias("reason"))).unionByName(floorless.select("txn_id", F.lit("missing_floor").alias("reason")))
-    lone = rows.where("n = 1").select("txn_id")
-    many = rows.where("n > 1").withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(_fit.bucket_count(ledger))))
-    fitted = many.groupBy("bucket").applyInPandas(lambda g: pd.concat(list(_fitted(cadences, rel, min_coherence, date_tolerance_days)([g]))), _OUT)
-    money = many.select(*key, "currency", "floor_minor").distinct()
-    stream_key = F.concat_ws("|", *key, F.col("stream").cast("string"))
-    fitted = fitted.join(money, key)
-    named_rows = fitted.where("stream IS NOT NULL").withColumn("stream_key", stream_key)
+    first, repeated = first_of(rows, ["txn_id"], ["posted_at", *key, "magnitude", "currency"])
+    floored, floorless = with_floors(first, account_floors)
+    # the fit is dear and all results come out of it, so it is written once
+    fitted = written(_fit.by_group(floored.unionByName(floorless), key, ["posted_at", "txn_id"], _fitted(cadences, rel, min_coherence, date_tolerance_days), _OUT, _KINDS), "recurring")
+    rejects = repeated.select("txn_id", F.lit("duplicate_id").alias("reason")).unionByName(fitted.where("reason IS NOT NULL").select("txn_id", "reason"))
+    named_rows = fitted.where("stream IS NOT NULL").withColumn("stream_key", F.concat_ws("|", *key, F.col("stream").cast("string"))).drop("reason")
     occurrences, missed = named_rows.where("txn_id IS NOT NULL"), named_rows.where("txn_id IS NULL").select("stream_key", F.col("slot").alias("missed_on"))
-    left = fitted.where("stream IS NULL").select("txn_id").unionByName(lone)
+    left = fitted.where("stream IS NULL AND reason IS NULL").select("txn_id")
     return RecurringResult(_streams(occurrences, missed, today, cancellations, rel), occurrences.withColumn("deviation", F.datediff("posted_at", "slot")), missed, excluded, left, rejects)
 
 

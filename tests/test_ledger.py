@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def test_calendar_agrees_with_the_helper(spark):
     for n, (cadence, anchor) in enumerate(itertools.product(_fit.CADENCES, [D(2024, 1, 31), D(2023, 2, 5), D(2024, 2, 29)])):
         rows.append((n, cadence[0], cadence[1], cadence[2], anchor))
         slots = _fit.slots(cadence, (anchor - day).days, (D(2024, 3, 1) - day).days, (D(2025, 6, 30) - day).days)
-        want[n] = [day + dt.timedelta(s) for s in slots or []]
+        want[n] = [] if slots is None else [day + dt.timedelta(s) for s in slots.tolist()]
     df = spark.createDataFrame(rows, "id int, kind string, interval int, second_day string, anchor date")
     got = {}
     for r in calendar.expand_occurrences(df, F.lit(D(2024, 3, 1)), F.lit(D(2025, 6, 30))).collect():
@@ -230,3 +231,53 @@ def test_statements_cover_across_months(spark):
     got = ledger.covering_statement(spark.createDataFrame(rows, "txn_id int, account_id string, posted_at date"), spark.createDataFrame(periods, "statement_id string, account_id string, period_start date, period_end date"))
     want = [(i, s) for i, a, d in rows for s in [s for s, b, x, y in periods if a == b and x and x <= d <= y] or [None]]
     assert sorted((r.txn_id, str(r.statement_id)) for r in got.collect()) == sorted((i, str(s)) for i, s in want)
+
+
+def _slow_peel(rows, cadences, floor, rel, coherence):
+    """Every cadence, slot by slot and row by row, as the rules read; rows are (day, amount, id)."""
+    rows, out = sorted(rows, key=lambda r: (r[0], r[2])), []
+    while len(rows) >= 2:
+        fits = []
+        for k, cadence in enumerate(cadences):
+            expected = _fit.slots(cadence, rows[0][0], rows[0][0], rows[-1][0])
+            if expected is None:
+                continue
+            used, level, matched, missed, breaches, deviation = set(), None, [], [], 0, 0
+            for slot in expected.tolist():
+                pool = [r for r in rows if abs(r[0] - slot) <= _fit.tolerance_days(cadence) and r[2] not in used]
+                if not pool:
+                    missed.append(slot)
+                    continue
+                good = [r for r in pool if level is not None and abs(r[1] - level) <= max(int(level * rel + 0.5), floor)]
+                breaches += level is not None and not good
+                r = min(good or pool, key=lambda r: (abs(r[0] - slot), r[1], r[2]))
+                used.add(r[2])
+                matched.append((r[2], slot))
+                deviation, level = deviation + abs(r[0] - slot), r[1]
+            if len(matched) >= 2:
+                fits.append((-len(matched), len(missed), breaches, deviation, k, matched, missed))
+        fits = [f for f in sorted(fits, key=lambda f: f[:5]) if 1 - f[2] / -f[0] >= coherence]
+        if not fits:
+            break
+        out.append((cadences[fits[0][4]], fits[0][5], fits[0][6]))
+        rows = [r for r in rows if r[2] not in {i for i, _ in fits[0][5]}]
+    return out, [r[2] for r in rows]
+
+
+def test_fit_agrees_with_a_slow_model():
+    rng = random.Random(9)
+    for _ in range(120):
+        rows, n = [], 0
+        for _ in range(rng.randrange(1, 4)):
+            start, step, amount = 19700 + rng.randrange(60), rng.choice([7, 14, 28, 30, 31, 91]), rng.choice([999, 1549, 7999])
+            for i in range(rng.randrange(1, 14)):
+                if rng.random() < 0.85:
+                    rows.append((start + i * step + rng.choice([0, 0, 0, 1, -1, 3]), amount + rng.choice([0, 0, 0, 5, 400]), f"t{n:03}"))
+                    n += 1
+        rows.sort(key=lambda r: (r[0], r[2]))
+        if not rows:
+            continue
+        days, amounts, ids = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows]
+        streams, left = _fit.peel(days, amounts, ids, 100, _fit.CADENCES, 0.02, 0.75, None)
+        want, rest = _slow_peel(rows, _fit.CADENCES, 100, 0.02, 0.75)
+        assert [(c, [(ids[i], s) for i, s, _ in m], missed) for c, _, m, missed in streams] == want and [ids[i] for i in left] == rest
