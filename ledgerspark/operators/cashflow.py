@@ -26,6 +26,7 @@ class CashFlow(NamedTuple):
     flagged: DataFrame
     out_of_horizon: DataFrame
     rejects: DataFrame
+    collision_events: DataFrame
 
 
 def obligations_from_statements(view: DataFrame) -> DataFrame:
@@ -57,7 +58,8 @@ def project_cash_flow(requests: DataFrame, obligations: DataFrame, inflows: Data
     obligations: account_id, id, due_on, amount_minor, currency, movable, latest_move_to, minimum_due_minor, confidence;
     inflows: account_id, id, expected_on, amount_minor, currency, confidence; recurring: account_id, id, kind, interval,
     second_day, anchor, amount_minor, currency, confidence, ends_on. Refused rows are in ``rejects`` with a reason, dated
-    rows outside the horizon in ``out_of_horizon``.
+    rows outside the horizon in ``out_of_horizon``. The outflows of a collision's days are rows of ``collision_events``
+    (obligations among them are marked), in the order in which they fall.
     """
     asked = requests.withColumn("last", F.date_add("today", F.col("horizon_days")))
     fine = F.col("horizon_days").between(1, MOST_DAYS)
@@ -93,9 +95,15 @@ def project_cash_flow(requests: DataFrame, obligations: DataFrame, inflows: Data
     days = days.withColumn("shortfall_minor", F.when(F.col("below"), F.col("floor_minor") - F.col("low_minor")).otherwise(0))
 
     island = F.date_sub("day", F.row_number().over(Window.partitionBy("account_id").orderBy("day")))
-    collisions = days.where("below").withColumn("island", island).groupBy("account_id", "island").agg(
+    breached = days.where("below").withColumn("island", island)
+    collisions = breached.groupBy("account_id", "island").agg(
         F.min("day").alias("from_day"), F.max("day").alias("to_day"), F.min(F.struct("low_minor", "day")).alias("worst"), F.max("shortfall_minor").alias("shortfall_minor"),
     ).select("account_id", "from_day", "to_day", F.col("worst.day").alias("worst_day"), F.col("worst.low_minor").alias("worst_minor"), "shortfall_minor")
+    starts = breached.withColumn("from_day", F.min("day").over(Window.partitionBy("account_id", "island"))).select("account_id", "day", "from_day")
+    order = Window.partitionBy("account_id", "from_day").orderBy("day", "id", "what")
+    collision_events = inside.where("amount_minor < 0").join(starts, ["account_id", "day"]).select(
+        "account_id", "from_day", "day", "id", (F.col("what") == "obligation").alias("obligation"), (-F.col("amount_minor")).alias("outflow_minor"), F.row_number().over(order).alias("ordinal"),
+    )
     remedies = _remedies(days, collisions, owed.where("reason IS NULL"), asked)
     lows = days.groupBy("account_id", "currency").agg(
         F.min(F.struct("low_minor", "day")).alias("low"), F.min(F.struct("closing_minor", "day")).alias("trough"), F.max_by("closing_minor", "day").alias("closing_minor"),
@@ -108,7 +116,7 @@ def project_cash_flow(requests: DataFrame, obligations: DataFrame, inflows: Data
         F.least("opening_minor", "low.low_minor").alias("lowest_minor"), F.when(lower, F.col("low.day")).otherwise(F.col("first_day")).alias("lowest_on"), F.col("trough.day").alias("trough_on"),
         F.when(F.col("rank").isNull(), "high").when((F.col("n_in") == 0) | (F.col("rank") == 0), "low").when(F.col("rank") == 1, "medium").otherwise("high").alias("confidence"),
     )
-    return CashFlow(days, collisions, remedies, summary, flagged, outside, rejects)
+    return CashFlow(days, collisions, remedies, summary, flagged, outside, rejects, collision_events)
 
 
 def _remedies(days: DataFrame, collisions: DataFrame, owed: DataFrame, asked: DataFrame) -> DataFrame:

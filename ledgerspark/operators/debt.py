@@ -56,12 +56,18 @@ def debt_map(accounts: DataFrame, today, staleness_days: int = 35) -> DebtMap:
         F.count(F.lit(1)).alias("total"),
         (F.count("owed_minor") / F.count(F.lit(1))).alias("coverage"),
         F.count_if(F.col("owed_minor").isNull()).alias("missing"),
-        F.count_if("stale").alias("stale"),
+        F.count_if(F.col("stale") & F.col("owed_minor").isNotNull()).alias("stale"),
         weakest_confidence(F.col("confidence")).alias("confidence"),
     )
     return DebtMap(positions, totals, judged.where("reason IS NOT NULL").select("account_id", "reason"))
 
 
+def debt_evidence(positions: DataFrame) -> DataFrame:
+    """The accounts of each total (owner_id, currency): which of them have no balance, and which an old one."""
+    known = F.col("owed_minor").isNotNull()
+    return positions.select("owner_id", "currency", "account_id", (~known).alias("missing"), (known & F.col("stale")).alias("stale"))
+
+
 def due_calendar(accounts: DataFrame, from_, to=None, horizon_days: int | None = None) -> DueCalendar:
     """Entries in from_..to, totals per day and currency (statement balance, else the current one), and what is overdue or undated."""
     start = F.lit(from_).cast("date")

@@ -20,6 +20,7 @@ class PriceSteps(NamedTuple):
     steps: DataFrame
     pending: DataFrame
     outliers: DataFrame
+    evidence: DataFrame
 
 
 def split_levels(amounts: list[int], floor: int, rel: float, least: int) -> list[tuple[str, int, int]]:
@@ -72,7 +73,8 @@ def detect_price_steps(occurrences: DataFrame, streams: DataFrame, announcements
 
     ``occurrences``: stream_key, txn_id, posted_at, amount_minor, floor_minor; ``streams``: stream_key, kind, interval, currency;
     ``announcements``: stream_key, id, announced_on, effective_from, new_minor, currency. Steps in their order each take the
-    first announcement, by effective_from and id, that fits and that no earlier step has taken.
+    first announcement, by effective_from and id, that fits and that no earlier step has taken. ``evidence`` has the charges
+    of the levels before and after each step, in order.
     """
     few = occurrences.select("stream_key", "txn_id", "posted_at", "amount_minor", "floor_minor")
     # levels, steps, pending changes and outliers all come out of these rows
@@ -80,6 +82,9 @@ def detect_price_steps(occurrences: DataFrame, streams: DataFrame, announcements
     levels = rows.where("role = 'level'").groupBy("stream_key", "level").agg(F.first("level_minor").alias("level_minor"), F.min("posted_at").alias("from_day"), F.max("posted_at").alias("to_day"), F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("stream_key").orderBy("level")
     steps = levels.withColumns({"previous_minor": F.lag("level_minor").over(by), "previous_n": F.lag("n").over(by)}).where("previous_minor IS NOT NULL")
+    between = steps.select("stream_key", F.col("from_day").alias("effective_from"), F.explode(F.array(F.struct((F.col("level") - 1).alias("level"), F.lit("before").alias("side")), F.struct("level", F.lit("after").alias("side")))).alias("l")).select("stream_key", "effective_from", "l.*")
+    told = rows.where("role = 'level'").select("stream_key", "level", "txn_id", "posted_at").join(between, ["stream_key", "level"])
+    evidence = told.select("stream_key", "effective_from", "side", "txn_id", F.row_number().over(Window.partitionBy("stream_key", "effective_from").orderBy("posted_at", "txn_id")).alias("ordinal"))
     floors = occurrences.groupBy("stream_key").agg(F.max("floor_minor").alias("floor_minor"))
     terms = streams.select("stream_key", "kind", "interval", "currency").join(floors, "stream_key")
     seen = F.least("previous_n", "n")
@@ -108,7 +113,7 @@ def detect_price_steps(occurrences: DataFrame, streams: DataFrame, announcements
         "relative": F.when(F.col("previous_minor") != 0, delta / F.col("previous_minor")), "direction": F.when(delta >= 0, "increase").otherwise("decrease"),
     }).drop("floor_minor")
     pending = rows.where("role = 'pending'").select("stream_key", "txn_id", "posted_at", F.col("level_minor").alias("previous_minor"), F.col("amount_minor").alias("observed_minor"), (F.col("amount_minor") - F.col("level_minor")).alias("delta_minor"))
-    return PriceSteps(levels, steps, pending, rows.where("role = 'outlier'").select("stream_key", "txn_id", "posted_at", "amount_minor"))
+    return PriceSteps(levels, steps, pending, rows.where("role = 'outlier'").select("stream_key", "txn_id", "posted_at", "amount_minor"), evidence)
 
 
 def annualised_impact(steps: DataFrame) -> DataFrame:

@@ -13,11 +13,16 @@ def monthly_totals(ledger: DataFrame) -> DataFrame:
     )
 
 
-def fee_ledger(ledger: DataFrame, as_of) -> DataFrame:
-    """Fees of the twelve months up to a date per owner, currency and type (column fee_type), with the evidence's count and span."""
+def fee_evidence(ledger: DataFrame, as_of) -> DataFrame:
+    """The transactions of each fee total (owner_id, currency, fee_type): fees of the twelve months up to a date."""
     day = F.lit(as_of).cast("date")
     rows = ledger.where(F.col("fee_type").isNotNull() & (F.col("posted_at") > F.add_months(day, -12)) & (F.col("posted_at") <= day))
-    return rows.groupBy("owner_id", "currency", "fee_type").agg(F.sum(F.abs("amount_minor")).alias("fee_minor"), F.count(F.lit(1)).alias("n"), F.min("txn_id").alias("first_txn"), F.max("txn_id").alias("last_txn"))
+    return rows.select("owner_id", "currency", "fee_type", "txn_id", "posted_at", F.abs("amount_minor").alias("fee_minor"))
+
+
+def fee_ledger(ledger: DataFrame, as_of) -> DataFrame:
+    """Fees of the twelve months up to a date per owner, currency and type (column fee_type), with the evidence's count and span; ``fee_evidence`` has its rows."""
+    return fee_evidence(ledger, as_of).groupBy("owner_id", "currency", "fee_type").agg(F.sum("fee_minor").alias("fee_minor"), F.count(F.lit(1)).alias("n"), F.min("txn_id").alias("first_txn"), F.max("txn_id").alias("last_txn"))
 
 
 def attribution(ledger: DataFrame, keys: list[str], month: str = "month") -> DataFrame:

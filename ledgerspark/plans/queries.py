@@ -152,12 +152,17 @@ def debt_positions(spark, sf):
 
 
 @query(_DEBT + """ SELECT owner_id, currency, CAST(coalesce(sum(statement_minor), 0) AS BIGINT) AS owed_minor, CAST(coalesce(sum(minimum_due_minor), 0) AS BIGINT) AS minimum_due_minor, count(statement_minor) AS observed, count(*) AS total,
-  count(statement_minor) / count(*) AS coverage, count(*) FILTER (statement_minor IS NULL) AS missing, count(*) FILTER (old) AS stale,
+  count(statement_minor) / count(*) AS coverage, count(*) FILTER (statement_minor IS NULL) AS missing, count(*) FILTER (old AND statement_minor IS NOT NULL) AS stale,
   CASE min(CASE WHEN statement_minor IS NULL THEN 0 WHEN old THEN 1 ELSE 2 END) WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence FROM positions GROUP BY ALL""")
 def debt_totals(spark, sf):
     return debt.debt_map(_debts(spark, sf), AS_OF).totals
 
 
+@query(_DEBT + " SELECT owner_id, currency, account_id, statement_minor IS NULL AS missing, old AND statement_minor IS NOT NULL AS stale FROM positions")
+def debt_evidence(spark, sf):
+    return debt.debt_evidence(debt.debt_map(_debts(spark, sf), AS_OF).positions)
+
+
 @query(_DEBT + f" SELECT due_on, currency, CAST(sum(coalesce(statement_minor, current_minor)) AS BIGINT) AS amount_minor, CAST(coalesce(sum(minimum_due_minor), 0) AS BIGINT) AS minimum_due_minor, count(*) AS entries FROM debts WHERE due_on BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + 30 GROUP BY ALL")
 def due_calendar(spark, sf):
     return debt.due_calendar(_debts(spark, sf), AS_OF, horizon_days=30).day_totals
@@ -222,6 +227,12 @@ def cash_flow_collisions(spark, sf):
     return _flow(spark, sf).collisions
 
 
+@query(_FLOW + """, runs AS (SELECT account_id, day, outflow_minor, min(day) OVER (PARTITION BY account_id, island) AS from_day FROM islands)
+  SELECT account_id, from_day, day, 'o' || strftime(day, '%d') AS id, true AS obligation, outflow_minor, CAST(row_number() OVER (PARTITION BY account_id, from_day ORDER BY day) AS INTEGER) AS ordinal FROM runs WHERE outflow_minor > 0""")
+def cash_flow_collision_events(spark, sf):
+    return _flow(spark, sf).collision_events
+
+
 @query(_FLOW + """, pairs AS (SELECT h.*, 'o' || strftime(n.day, '%d') AS id, n.day AS due_on, n.outflow_minor AS amount, n.outflow_minor // 10 AS least, date_part('day', n.day) % 2 = 0 AS movable FROM hits h JOIN net n ON n.account_id = h.account_id AND n.day <= h.from_day AND n.outflow_minor > 0),
   found AS (SELECT *, 'move_payment' AS remedy, CAST(to_day + 1 AS DATE) AS to_date, amount AS deferred_minor, CAST(to_day + 1 - due_on AS INTEGER) AS displacement FROM pairs WHERE movable AND amount >= shortfall_minor AND to_day + 1 <= DATE '2024-01-30'
     UNION ALL SELECT *, 'pay_minimum', NULL, amount - least, 0 FROM pairs WHERE least < amount AND amount - least >= shortfall_minor),
@@ -328,6 +339,11 @@ def dangling_accounts(spark, sf):
     return quality.check_refs(rows, view.accounts(spark, sf), "account_id").select("id", "account_id")
 
 
+@query(f"WITH {LEDGER}, fees AS (SELECT *, CASE WHEN k % 17 = 0 THEN 'interest' WHEN k % 23 = 0 THEN 'late_fee' END AS fee_type FROM ledger) SELECT owner_id, currency, fee_type, txn_id, posted_at, abs(amount_minor) AS fee_minor FROM fees WHERE fee_type IS NOT NULL AND posted_at > CAST(DATE '{AS_OF}' - to_months(12) AS DATE) AND posted_at <= DATE '{AS_OF}'")
+def fee_evidence(spark, sf):
+    return reports.fee_evidence(view.ledger(spark, sf).withColumn("fee_type", F.expr("CASE WHEN k % 17 = 0 THEN 'interest' WHEN k % 23 = 0 THEN 'late_fee' END")), AS_OF)
+
+
 @query(f"WITH {LEDGER}, fees AS (SELECT *, CASE WHEN k % 17 = 0 THEN 'interest' WHEN k % 23 = 0 THEN 'late_fee' END AS fee_type FROM ledger) SELECT owner_id, currency, fee_type, CAST(sum(abs(amount_minor)) AS BIGINT) AS fee_minor, count(*) AS n, min(txn_id) AS first_txn, max(txn_id) AS last_txn FROM fees WHERE fee_type IS NOT NULL AND posted_at > CAST(DATE '{AS_OF}' - to_months(12) AS DATE) AND posted_at <= DATE '{AS_OF}' GROUP BY ALL")
 def fee_ledger(spark, sf):
     return reports.fee_ledger(view.ledger(spark, sf).withColumn("fee_type", F.expr("CASE WHEN k % 17 = 0 THEN 'interest' WHEN k % 23 = 0 THEN 'late_fee' END")), AS_OF)
