@@ -117,3 +117,9 @@ def next_occurrence(recurrences: DataFrame, keys: list[str], on: Column) -> Data
 def relative_day(day: Column, today: Column) -> Column:
     n = F.datediff(day, today)
     return F.when(n == 0, "today").when(n == 1, "tomorrow").when(n == -1, "yesterday").when(n > 0, F.format_string("in %d days", n)).otherwise(F.format_string("%d days ago", -n))
+
+
+def staleness_label(observed: Column, today: Column) -> Column:
+    """How old an observation is, in words."""
+    age = F.datediff(today, observed)
+    return F.when(age < 0, F.concat(F.lit("dated "), F.date_format(observed, "MMM d"), F.lit(", in the future"))).when(age == 0, "observed today").when(age == 1, "observed yesterday").otherwise(F.format_string("observed %d days ago", age))

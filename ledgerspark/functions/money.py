@@ -109,18 +109,41 @@ def weakest_confidence(confidence: Column) -> Column:
     return F.when(least == 0, "low").when(least == 1, "medium").otherwise("high")
 
 
+def storable(minor: Column) -> Column:
+    """The amount where it lies in the safe range, else null."""
+    return F.when(minor.between(-SAFE, SAFE), minor)
+
+
 def _agreed(of: Column, currency: Column, other: Column) -> Column:
     return F.when(currency == other, of)
 
 
 def add_minor(a: Column, a_currency: Column, b: Column, b_currency: Column) -> Column:
-    """Sum of two amounts of one currency; null where the currencies differ."""
-    return _agreed(a + b, a_currency, b_currency)
+    """Sum of two amounts of one currency; null where the currencies differ or the sum leaves the safe range."""
+    return _agreed(storable(F.try_add(a, b)), a_currency, b_currency)
 
 
 def subtract_minor(a: Column, a_currency: Column, b: Column, b_currency: Column) -> Column:
-    """Difference of two amounts of one currency; null where the currencies differ."""
-    return _agreed(a - b, a_currency, b_currency)
+    """Difference of two amounts of one currency; null where the currencies differ or it leaves the safe range."""
+    return _agreed(storable(F.try_subtract(a, b)), a_currency, b_currency)
+
+
+def negate_minor(minor: Column) -> Column:
+    """The opposite amount; null outside the safe range."""
+    return -storable(minor)
+
+
+def abs_minor(minor: Column) -> Column:
+    """The amount without its sign; null outside the safe range."""
+    return F.abs(storable(minor))
+
+
+def is_zero(minor: Column) -> Column:
+    return minor == 0
+
+
+def is_negative(minor: Column) -> Column:
+    return minor < 0
 
 
 def compare_minor(a: Column, a_currency: Column, b: Column, b_currency: Column) -> Column:

@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def ledger_order(ledger: DataFrame) -> list[Column]:
+    """The latest first: by day, by the time of entry where the table has it, by id."""
+    entered = [F.desc("created_at")] if "created_at" in ledger.columns else []
+    return [F.desc("posted_at"), *entered, F.asc("txn_id")]
+
+
 def ledger_slice(ledger: DataFrame, accounts: DataFrame | None = None, from_=None, to=None, include_superseded: bool = False, limit: int | None = None) -> DataFrame:
     """Rows of the accounts (account_id) inside the dates, both ends included; live rows unless told; with a limit, the latest."""
     if not include_superseded and "superseded_by" in ledger.columns:
@@ -18,7 +24,7 @@ def ledger_slice(ledger: DataFrame, accounts: DataFrame | None = None, from_=Non
         ledger = ledger.where(F.col("posted_at") <= F.lit(to).cast("date"))
     if accounts is not None:
         ledger = ledger.join(accounts.select("account_id").distinct(), "account_id", "left_semi")
-    return ledger if limit is None else ledger.orderBy(F.desc("posted_at"), "txn_id").limit(limit)
+    return ledger if limit is None else ledger.orderBy(*ledger_order(ledger)).limit(limit)
 
 
 def superseded(ledger: DataFrame, by: Column | None = None) -> DataFrame:
@@ -54,8 +60,8 @@ def debt_accounts(accounts: DataFrame) -> DataFrame:
 
 def recent_transactions(ledger: DataFrame, limit: int = 20) -> DataFrame:
     """The latest ``limit`` rows of all, from at most twice as many of each account."""
-    own = Window.partitionBy("account_id").orderBy(F.desc("posted_at"), "txn_id")
-    return ledger.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= 2 * limit).drop("rank").orderBy(F.desc("posted_at"), "txn_id").limit(limit)
+    own = Window.partitionBy("account_id").orderBy(*ledger_order(ledger))
+    return ledger.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= 2 * limit).drop("rank").orderBy(*ledger_order(ledger)).limit(limit)
 
 
 def first_of(df: DataFrame, keys: list[str], order: list) -> tuple[DataFrame, DataFrame]:
@@ -138,9 +144,13 @@ def latest_balance(observations: DataFrame) -> DataFrame:
     return observations.groupBy("account_id", "currency").agg(last).select("account_id", "currency", "last.*")
 
 
-def listed_accounts(accounts: DataFrame) -> DataFrame:
+def account_order() -> list[Column]:
     """Active accounts first, then by name and id."""
-    return accounts.orderBy(F.desc("is_active"), "display_name", "account_id")
+    return [F.desc("is_active"), F.asc("display_name"), F.asc("account_id")]
+
+
+def listed_accounts(accounts: DataFrame) -> DataFrame:
+    return accounts.orderBy(*account_order())
 
 
 def upcoming_bills(statements: DataFrame, as_of) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions.money import SAFE, valid_currency
 
+
 def transaction_rules() -> dict[str, Column]:
     return {
         "amount_range": F.abs("amount_minor") <= SAFE,
@@ -17,6 +18,33 @@ def transaction_rules() -> dict[str, Column]:
     }
 
 
+def provenance_rules() -> dict[str, Column]:
+    """What a stored transaction says of itself: sign and direction, text, confidence, and what it may point at."""
+    minor, direction = F.col("amount_minor"), F.col("direction")
+    return {
+        "direction": ((direction == "debit") & (minor <= 0)) | ((direction == "credit") & (minor >= 0)),
+        "descriptor": F.trim("descriptor_raw") != "",
+        "confidence": F.col("confidence").between(0, 1),
+        "statement_ref": F.col("statement_id").isNull() | (F.col("source") == "statement_pdf"),
+        "superseded_by": F.col("superseded_by").isNull() | (F.col("superseded_by") != F.col("txn_id")),
+        "category_version": F.col("category_version") >= 0,
+    }
+
+
+def insight_rules() -> dict[str, Column]:
+    """Severity, texts, and a dismissal that has its time."""
+    return {
+        "severity": F.col("severity").isin("info", "warning", "critical"),
+        "kind": F.trim("insight_kind") != "",
+        "title": F.trim("title") != "",
+        "dismissal": F.col("is_dismissed") == F.col("dismissed_at").isNotNull(),
+    }
+
+
+def stream_rules() -> dict[str, Column]:
+    return {"seen_order": F.col("first_seen") <= F.col("last_seen"), "amount_range": F.abs("expected_minor") <= SAFE, "currency": valid_currency(F.col("currency")), "status": F.col("status").isin("candidate", "mature", "dormant", "cancelled")}
+
+
 def statement_rules() -> dict[str, Column]:
     return {
         "period_order": F.col("period_start") <= F.col("period_end"),

@@ -27,6 +27,8 @@ from ledgerspark.operators import ingest
 from ledgerspark.operators.reconcile import reconcile
 from ledgerspark.sources.tables import SCHEMAS, append, fetch_since, read_table, stored_messages
 
+#: Sources whose lines outrank alerts.
+AUTHORITATIVE = ("statement_pdf", "csv_import")
 MESSAGE = "uid bigint, message_id string, from_header string, subject string, received_at timestamp, text string, html string, headers map<string,string>"
 
 
@@ -216,14 +218,14 @@ def supersede(spark: SparkSession, root: str, arrived: DataFrame, now, window_da
     near = live_ledger(spark, root).join(reach, ["account_id", "currency"]).where("posted_at BETWEEN __from AND __to").drop("__from", "__to")
     marks = read_table(spark, root, "supersede_marks")
     alerts = near.where("source = 'alert' AND superseded_by IS NULL").withColumnRenamed("dedupe_key", "txn_id")
-    lines = near.where("source <> 'alert'").withColumnRenamed("dedupe_key", "line_id").join(marks.select(F.col("superseded_by").alias("line_id")), "line_id", "left_anti")
+    lines = near.where(F.col("source").isin(*AUTHORITATIVE)).withColumnRenamed("dedupe_key", "line_id").join(marks.select(F.col("superseded_by").alias("line_id")), "line_id", "left_anti")
     if lines.isEmpty() or alerts.isEmpty():
         return
     found = reconcile(alerts, lines, window_days, amount_drift_ratio).matched
     append(spark, root, "supersede_marks", found.select(F.col("alert").alias("txn_id"), F.col("line").alias("superseded_by"), "score", F.lit(str(now)).cast("timestamp").alias("marked_at")))
 
 
-def import_lines(spark: SparkSession, root: str, lines: DataFrame, now, source: str = "statement", **options) -> None:
+def import_lines(spark: SparkSession, root: str, lines: DataFrame, now, source: str = "statement_pdf", **options) -> None:
     """Statement lines (account_id, line_id, posted_at, amount_minor, currency, descriptor_raw, region) into the ledger, and the marks of the alerts that they supersede."""
     rows = lines.select(dedupe_key(F.lit(source), F.col("line_id"), F.lit(0)).alias("dedupe_key"), "account_id", "posted_at", "amount_minor", "currency", "descriptor_raw", "region", F.lit(source).alias("source"), F.col("line_id").alias("source_ref"), F.lit(0).alias("ordinal"), F.lit(None).cast("string").alias("superseded_by"))
     append(spark, root, "transactions", rows)
@@ -231,7 +233,11 @@ def import_lines(spark: SparkSession, root: str, lines: DataFrame, now, source:
 
 
 def freshness(state: DataFrame, as_of, minutes: int = 30) -> DataFrame:
-    """never, failing, stale or fresh for each mailbox."""
+    """never, failing, stale or fresh for each mailbox, with the words for it."""
     age = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("last_success")) / 60
-    label = F.when(F.col("last_success").isNull(), "never").when(F.col("failures") > 0, "failing").when(age > minutes, "stale").otherwise("fresh")
-    return state.select("mailbox", label.alias("freshness"), age.alias("minutes"), "quarantined")
+    name = F.when(F.col("last_success").isNull(), "never").when(F.col("failures") > 0, "failing").when(age > minutes, "stale").otherwise("fresh")
+    since = F.greatest(F.floor(age + 0.5), F.lit(0)).cast("bigint")
+    hours = F.floor(since / 60 + 0.5).cast("bigint")
+    gap = F.when(since < 60, F.format_string("%dm ago", since)).when(hours < 24, F.format_string("%dh ago", hours)).otherwise(F.format_string("%dd ago", F.floor(hours / 24 + 0.5).cast("bigint")))
+    label = F.when(name == "never", "Never synced").when(name == "failing", F.concat(F.format_string("Sync failing (%dx) — last success ", F.col("failures")), gap)).when(since < 1, "Synced just now").otherwise(F.concat(F.lit("Synced "), gap))
+    return state.select("mailbox", name.alias("freshness"), age.alias("minutes"), "quarantined", label.alias("label"))
