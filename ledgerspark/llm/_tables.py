@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +16,12 @@ BROADCAST_IDS = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of this machine, but only if all tasks run on it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        here = spark.sparkContext.getCheckpointDir()
+        here, master = spark.sparkContext.getCheckpointDir(), spark.sparkContext.master
+        if not here and not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = here.rsplit("/", 1)[0] if here else "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -24,6 +29,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def give_back() -> None:
+    """Returns memory that a Python worker has freed but still holds; the worker lives on for other tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to the shared folder and read again: lineage is cut and a lost executor loses nothing."""
     spark = df.sparkSession

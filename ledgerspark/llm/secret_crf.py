@@ -2,23 +2,28 @@
 
 Tokens are runs of letters, digits and ``+/_.-``. Each is tagged begin, inside or outside of a
 secret from its shape, its neighbouring words and separators, and features of its text, by the
-best path (Viterbi). The field is fitted on windows of a bounded sample of texts, with the
-spans of the fixed patterns as labels; its spans are added to theirs.
+best path (Viterbi). The field is fitted on windows of a bounded sample of texts into which made-up
+secrets of many shapes are put, with and without a word that announces them; those and the fixed
+patterns' spans are its labels, everything else of the corpus, and made-up links, versions, dates and
+names, is not secret. Its spans are added to the patterns'.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm._tables import kept
+from ledgerspark.llm._tables import give_back, kept
 from ledgerspark.llm._words import _BASE_BYTE, _BYTE_VALUE, _LOWER, _views, span_hashes
 
 # The patterns, their order, and the least lengths of what they must catch.
@@ -27,8 +32,10 @@ ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "crf")
 
-#: Texts sampled of either kind, with and without a pattern's match; tokens of a training window; windows kept.
+#: Texts sampled of either kind, with and without a pattern's match; tokens of a training window; most windows of a fit.
 SAMPLE, WINDOW, WINDOWS = 600, 32, 6000
+#: Made-up secrets and look-alikes put into each sampled text.
+PLANTS, DECOYS = 4, 3
 #: Bytes of text whose features are held at once (a longer text is alone), and texts whose results are.
 BLOCK_BYTES, TEXTS = 1 << 17, 512
 _HEX_RUN = re.compile(r"[0-9a-f]{24,}")  # the runs of HEX that are long enough
@@ -210,34 +217,127 @@ def fit_field(windows: np.ndarray, labels: np.ndarray, rounds: int = 60, rate: f
     return field
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field from at most ``sample`` texts with a match and as many without, those of the least hashes; none found: a field that tags nothing."""
+_LOWER_LETTERS, _UPPER_LETTERS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+_ALL = _LOWER_LETTERS + _UPPER_LETTERS + _DIGITS
+#: Words that announce a secret in made-up texts; an empty one announces nothing.
+CUES = ("password", "passwd", "secret", "token", "api_key", "key", "pwd", "pass", "credential", "auth", "private_key", "access_key", "client_key", "session", "login", "pin", "code", "signature", "authorization", "cookie", "", "", "", "")
+_LINKS = (" = ", "=", ": ", ":", " ", ' = "', "='", " is ", ' "', "\n", " -> ", '":"')
+
+
+def made_secret(rng: random.Random) -> str:
+    """One made-up secret: random letters and digits of some alphabet, with or without a prefix, in one piece or several."""
+    text = lambda alphabet, a, b: "".join(rng.choice(alphabet) for _ in range(rng.randint(a, b)))
+    kind = rng.randrange(9)
+    if kind == 0:
+        return text(_LOWER_LETTERS, 2, 5) + rng.choice("_-") + rng.choice(["", text(_LOWER_LETTERS, 3, 5) + rng.choice("_-")]) + text(_ALL, 16, 40)
+    if kind == 1:
+        return text(_ALL + "+/", 28, 72)
+    if kind == 2:
+        return text("0123456789ABCDEF", 20, 64)
+    if kind == 3:
+        return text(_DIGITS, 20, 32)
+    if kind == 4:
+        return "-".join(text(rng.choice(["0123456789abcdef", "0123456789ABCDEF", _UPPER_LETTERS + _DIGITS]), n, n) for n in rng.choice([(8, 4, 4, 4, 12), (5, 5, 5, 5), (4, 4, 4, 4)]))
+    if kind == 5:
+        return ".".join(text(_ALL + "_-", 14, 50) for _ in range(3))
+    if kind == 6:
+        return text(_LOWER_LETTERS + _DIGITS + _DIGITS, 20, 40)
+    if kind == 7:
+        return text(_ALL, 16, 44)
+    return text(_UPPER_LETTERS, 2, 5) + text(_UPPER_LETTERS + _DIGITS, 12, 24)
+
+
+def made_decoy(rng: random.Random) -> str:
+    """Something that is no secret but has digits, capitals or marks: a link, path, version, date, number, name."""
+    word = lambda: "".join(rng.choice(_LOWER_LETTERS) for _ in range(rng.randint(3, 9)))
+    number = lambda n: "".join(rng.choice(_DIGITS) for _ in range(n))
+    return rng.choice([
+        lambda: f"https://www.{word()}.{word()[:3]}/{word()}/{word()}-{number(rng.randint(1, 5))}", lambda: f"/{word()}/{word()}/{word()}_{number(2)}.{word()[:3]}", lambda: f"v{number(1)}.{number(2)}.{number(1)}", lambda: f"{word()}.{word()}@{word()}.com",
+        lambda: f"20{number(2)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}", lambda: f"+{number(2)}-{number(3)}-{number(3)}-{number(4)}", lambda: number(rng.randint(1, 19)), lambda: number(16), lambda: word().title() + word().title() + word().title(), lambda: "_".join(word() for _ in range(rng.randint(2, 5))),
+        lambda: "-".join(word() for _ in range(rng.randint(2, 4))), lambda: word().upper() + "_" + word().upper(), lambda: f"{number(3)}.{number(2)}.{number(1)}.{number(3)}", lambda: word().upper(), lambda: word() + number(rng.randint(1, 4)), lambda: word() + word() + word() + word(),
+    ])()
+
+
+def planted(text: str, rng: random.Random, plants: int = PLANTS, decoys: int = DECOYS, secret=made_secret, cues=CUES) -> tuple[str, list[tuple[int, int]]]:
+    """The text with secrets and look-alikes put between its words, and the secrets' spans in it."""
+    words = text.split(" ")
+    at = sorted((rng.randrange(len(words) + 1), rng.random(), k < plants) for k in range(plants + decoys))
+    out, spans, size, before = [], [], 0, 0
+
+    def put(piece: str) -> None:
+        nonlocal size
+        out.append(piece)
+        size += len(piece)
+
+    for place, _, is_secret in at:
+        put("".join(w + " " for w in words[before:place]))
+        before = place
+        cue = rng.choice(cues)
+        cue = rng.choice([cue, cue.upper(), cue.title(), rng.choice(words)[:12]]) if cue else ""
+        link = rng.choice(_LINKS) if cue else ""
+        put(cue + link)
+        value = secret(rng) if is_secret else made_decoy(rng)
+        if is_secret:
+            spans.append((size, size + len(value)))
+        put(value + ('"' if link.endswith('"') else "'" if link.endswith("'") else "") + rng.choice([" ", " ", "\n", ", ", ". "]))
+    put(" ".join(words[before:]))
+    return "".join(out), spans
+
+
+def _labelled(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and tags of a text's tokens; spans are code points."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    t = tokens(data, np.array([0, len(data)]))
+    labels = np.zeros(len(t.start), np.int64)
+    places = np.cumsum([0, *(len(c.encode()) for c in text)]) if len(data) != len(text) else np.arange(len(text) + 1)
+    for a, b in sorted(spans):
+        own = np.flatnonzero((t.start < places[b]) & (t.end > places[a]) & (labels == 0))
+        labels[own] = INSIDE
+        labels[own[:1]] = BEGIN
+    return t.features, labels
+
+
+def training_windows(texts: list[str], windows: int = WINDOWS, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Features and tags of windows of equal length out of texts with planted secrets; short texts are joined to reach a window.
+
+    Of the windows with a tag up to three in four, and of those without what is left of ``windows``, are taken, evenly over all.
+    """
+    rng = random.Random(seed)
+    with_, without, held = [], [], ""
+    for text in texts:
+        held = f"{held}\n{text}" if held else text
+        if held.count(" ") < WINDOW:
+            continue
+        full, spans = planted(held, rng)
+        spans, held = spans + [x for x in _secret_parts(full) if not any(x[0] < b and a < x[1] for a, b in spans)], ""
+        features, labels = _labelled(full, spans)
+        n = len(labels)
+        for i in range(0, n, WINDOW) if n >= WINDOW else ():
+            i = min(i, n - WINDOW)
+            part = slice(i, i + WINDOW)
+            (with_ if labels[part].any() else without).append((features[:, part], labels[part]))
+    evenly = lambda found, most: found if len(found) <= most else [found[int(k * len(found) / most)] for k in range(most)]
+    chosen = evenly(with_, windows * 3 // 4)
+    chosen = chosen + evenly(without, windows - len(chosen))
+    if not chosen:
+        return np.zeros((len(_SIZES), 0, WINDOW), np.int64), np.zeros((0, WINDOW), np.int64)
+    return np.stack([f for f, _ in chosen], 1), np.stack([x for _, x in chosen])
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS, chars: int = 20_000) -> Field:
+    """A field from at most ``sample`` texts with a match and as many without, those of the least hashes; none found: a field that tags nothing.
+
+    The sample is bounded: ``chars`` characters of a text, ``windows`` windows. Scoring is not: every whole text is tagged.
+    """
     hit = F.col("text").rlike(rf"(?i){ASSIGN.pattern}") | F.col("text").rlike("AKIA[A-Z0-9]{16}") | F.col("text").rlike("[0-9a-f]{24}")
     ids = kept(docs.select(F.xxhash64("text").alias("draw"), hit.alias("hit")).where("hit IS NOT NULL"), "draws").distinct()
     few = [ids.where(F.col("hit") == h).orderBy("draw").limit(sample) for h in (True, False)]
     chosen = F.broadcast(few[0].unionByName(few[1]).select("draw"))
-    rows = docs.select("text", F.xxhash64("text").alias("draw")).join(chosen, "draw").dropDuplicates(["draw"]).orderBy("draw").collect()  # 2 * sample rows at most
-    with_, without = [], []
-    for r in rows:
-        data = np.frombuffer(r.text.encode(), np.uint8)
-        t = tokens(data, np.array([0, len(data)]))
-        n = len(t.start)
-        if n < WINDOW:
-            continue
-        labels = np.zeros(n, np.int64)
-        for a, b in _secret_parts(r.text):
-            a, b = (len(r.text[:x].encode()) for x in (a, b))
-            own = np.flatnonzero((t.start < b) & (t.end > a))
-            labels[own] = np.where(labels[own] == BEGIN, BEGIN, INSIDE)
-            labels[own[:1]] = BEGIN
-        for i in range(0, n, WINDOW):
-            i = min(i, n - WINDOW)
-            part = slice(i, i + WINDOW)
-            (with_ if labels[part].any() else without).append((t.features[:, part], labels[part]))
-    chosen_ = with_[:WINDOWS] + without[:: max(1, len(without) // max(1, WINDOWS - len(with_[:WINDOWS])))][:WINDOWS]
-    if not with_:
+    rows = docs.select(F.substring("text", 1, chars).alias("text"), F.xxhash64("text").alias("draw")).join(chosen, "draw").dropDuplicates(["draw"]).orderBy("draw").collect()  # 2 * sample rows at most
+    features, labels = training_windows([r.text for r in rows], windows)
+    if not labels.any():
         return Field(np.zeros((sum(_SIZES), 3)), np.zeros((3, 3)), np.array([1.0, 0.0, 0.0]))
-    return fit_field(np.stack([f for f, _ in chosen_], 1), np.stack([x for _, x in chosen_]))
+    return fit_field(features, labels)
 
 
 def crf_spans(field: Field, column: pa.Array) -> Iterator[list[tuple[int, int]]]:
@@ -263,14 +363,19 @@ def crf_spans(field: Field, column: pa.Array) -> Iterator[list[tuple[int, int]]]
 
 
 def all_spans(text: str, tagged_: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-    """The patterns' spans and, of the tagged byte spans, those that touch none of them."""
+    """The patterns' spans and, of the tagged byte spans (ascending), those that touch none of them."""
     base = pattern_spans(text)
     if not tagged_:
         return base
-    data = text.encode()
-    more = [("crf", len(data[:a].decode(errors="ignore")), len(data[:b].decode(errors="ignore"))) for a, b in tagged_]
-    more = [m for m in more if not any(m[1] < e and s < m[2] for _, s, e in base)]
-    return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+    data, more, at, chars = text.encode(), [], 0, 0
+    for a, b in tagged_:
+        chars += len(data[at:a].decode(errors="ignore"))
+        at, size = a, len(data[a:b].decode(errors="ignore"))
+        more.append(("crf", chars, chars + size))
+    ends = list(accumulate((e for _, _, e in base), max))  # how far the first so many spans reach
+    starts = [s for _, s, _ in base]
+    free = [m for m in more if not (n := bisect_left(starts, m[2])) or ends[n - 1] <= m[1]]
+    return sorted(base + free, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
@@ -299,7 +404,9 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, types, strict=True)], [n for n, _ in types])
 
     def run(column: pa.Array) -> pa.Array:
-        return pa.concat_arrays([some(column.slice(i, TEXTS)) for i in range(0, max(1, len(column)), TEXTS)])
+        found = pa.concat_arrays([some(column.slice(i, TEXTS)) for i in range(0, max(1, len(column)), TEXTS)])
+        give_back()
+        return found
 
     run.__annotations__ = {"column": pa.Array, "return": pa.Array}
     result = "struct<n_assign:bigint,n_access:bigint,n_hex:bigint,n_crf:bigint,base_sha256:string,spans:string,masked:string>"
