@@ -76,8 +76,14 @@ def domain_part(address: Column) -> Column:
     return F.substring_index(address, "@", -1)
 
 
+# How messages write an account's last four digits, in the order in which they are looked for.
+LAST4 = (r"(?i)\bending (?:in|with) (\d{4})\b", r"(?i)\bending (\d{4})\b", r"(?i)\bx{2,}[-\s]?(\d{4})\b", r"\(\.{3}(\d{4})\)")
+# What is taken out of a descriptor, in this order: reference suffixes, numbers, company forms, other characters.
+NOISE = (r"[*#]\s*\w*\d\w*\s*$", r"\b\d{3,}\b", r"\b(?:llc|inc|ltd|pvt|private|limited|corp|co)\b", "[^a-z0-9]+")
+
+
 def find_last4(text: Column) -> Column:
-    found = (F.regexp_extract(text, p, 1) for p in (r"(?i)\bending (?:in|with) (\d{4})\b", r"(?i)\bending (\d{4})\b", r"(?i)\bx{2,}[-\s]?(\d{4})\b", r"\(\.{3}(\d{4})\)"))
+    found = (F.regexp_extract(text, p, 1) for p in LAST4)
     return F.coalesce(*(F.nullif(f, F.lit("")) for f in found))
 
 
@@ -96,7 +102,7 @@ def normalize_descriptor(raw: Column, region: Column) -> Column:
     named = F.get(F.filter(parts, lambda p: ~F.trim(p).rlike(r"^\d+$")), 0)
     s = F.when((region == "IN") & s.contains("/"), F.coalesce(named, s)).otherwise(s)
     s = F.lower(F.regexp_replace(s, "([a-z])([A-Z])", "$1 $2"))
-    for pattern in (r"[*#]\s*\w*\d\w*\s*$", r"\b\d{3,}\b", r"\b(?:llc|inc|ltd|pvt|private|limited|corp|co)\b", "[^a-z0-9]+"):
+    for pattern in NOISE:
         s = F.regexp_replace(s, pattern, " ")
     s = F.trim(F.regexp_replace(s, " +", " "))
     words = F.array_join(F.transform(F.split(s, " "), lambda w: F.coalesce(F.element_at(as_map(WORDS), w), w)), " ")
