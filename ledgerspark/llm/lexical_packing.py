@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm._tables import kept
+from ledgerspark.llm._tables import give_back, kept
 from ledgerspark.llm._words import _BASE_BYTE, _BYTE_VALUE, Block, blocks, span_hashes
 
 #: Ids of a sequence; ids of a shard, about; places of a task's cache of units; see ``_Index``.
@@ -159,6 +159,7 @@ def _tokenised(path: str):
                 ids, bound = _encoders[path](b)
                 column = pa.Array.from_buffers(pa.large_binary(), len(b), [None, pa.py_buffer(2 * bound), pa.py_buffer(ids.astype("<u2"))]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([part["doc_id"].slice(b.first, len(b)), pa.array(np.diff(bound)), column], ["doc_id", "doc_tokens", "ids"])
+            give_back()
 
     return run
 
