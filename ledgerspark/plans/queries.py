@@ -279,13 +279,29 @@ def stripped_pages(spark, sf):
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.trim(F.regexp_replace(text.strip_html(F.col("html")), r"[ \t\n\r\f\x0B]+", " ")).alias("body"))
 
 
-@query()
+def _greedy_sql(ratio: float) -> str:
+    """Rounds of pairs that come first on both sides; what a round takes closes its alert and line for the others."""
+    return f"""WITH RECURSIVE {LEDGER}, named AS (SELECT *, CASE WHEN descriptor_raw LIKE 'SQ *COFFEE BAR %' AND k % 9000 >= 100 THEN 'coffee bar' ELSE descriptor_raw END AS merchant FROM ledger),
+  lines AS (SELECT 'L' || txn_id AS line, account_id, currency, CAST(posted_at + CAST(k % 6 AS INTEGER) AS DATE) AS b_day, CASE WHEN k % 11 = 0 THEN amount_minor + amount_minor // 10 ELSE amount_minor END AS b_minor, merchant AS b_merchant FROM named WHERE k % 13 <> 0),
+  pairs AS (SELECT n.account_id, n.currency, txn_id AS alert, line, abs(amount_minor - b_minor) * 1000 + abs(date_diff('day', posted_at, b_day)) * 10 + CASE WHEN merchant = b_merchant THEN 0 ELSE 1 END AS score, posted_at, b_day
+    FROM named n JOIN lines USING (account_id, currency) WHERE abs(date_diff('day', posted_at, b_day)) <= 4 AND abs(amount_minor - b_minor) <= abs(amount_minor) * {ratio}),
+  ranked AS (SELECT account_id, currency, alert, line, CAST(score AS BIGINT) AS score, row_number() OVER (ORDER BY score, posted_at, alert, b_day, line) AS o FROM pairs),
+  rounds(account_id, currency, alert, line, score, o, taken) AS (
+    SELECT *, false FROM ranked
+    UNION ALL
+    SELECT account_id, currency, alert, line, score, o, taken FROM (SELECT *, bool_or(taken) OVER (PARTITION BY alert) AS gone_a, bool_or(taken) OVER (PARTITION BY line) AS gone_b FROM (
+      SELECT account_id, currency, alert, line, score, o, o = min(o) OVER (PARTITION BY alert) AND o = min(o) OVER (PARTITION BY line) AS taken FROM rounds WHERE NOT taken)) WHERE taken OR NOT (gone_a OR gone_b)
+  )
+  SELECT account_id, currency, alert, line, score FROM rounds WHERE taken"""
+
+
+@query(_greedy_sql(0))
 def reconciled(spark, sf):
     """Matches of alerts with statement lines, exact amounts within four days."""
     return reconcile.reconcile(view.ledger(spark, sf), view.statement_lines(spark, sf)).matched
 
 
-@query()
+@query(_greedy_sql(0.12))
 def reconciled_with_drift(spark, sf):
     return reconcile.reconcile(view.ledger(spark, sf), view.statement_lines(spark, sf), amount_drift_ratio=0.12).matched
 
