@@ -2,7 +2,9 @@
 
 Records are ranged by page_id into shards of about equal size, sorted within each, and written
 as one gzip member per record; a shard rolls over to its next file at a compressed size. Shard
-bounds come from a histogram of sizes, headers and digests from the payloads, and file names
+bounds come from a histogram of sizes whose heavy bars are split again and again, so ids may lie
+as unevenly as they like; the rows of one heavy id are dealt by a hash of url and payload. Headers
+and digests come from the payloads, and file names
 from shard and number, so the same table gives the same bytes on any cluster. A task writes
 under a temporary name of its own and renames when a file is whole; readers open only what the
 manifest lists, so lost or repeated attempts leave nothing that counts.
@@ -19,13 +21,18 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Payload bytes of a shard, compressed bytes of a file, bars of the histogram of page_id.
+from ledgerspark.llm._tables import kept
+
+#: Payload bytes of a shard, compressed bytes of a file, bars that a round of the histogram adds (the driver holds them).
 SHARD_BYTES, FILE_BYTES, BARS = 24 << 20, 8 << 20, 1 << 16
+#: A record's headers and digests beside its payload, in bytes; parts that the hash of url and payload tells apart.
+HEAD_BYTES, PARTS = 512, 1 << 16
 #: Groups of equal payloads broadcast at most.
 BROADCAST_GROUPS = 500_000
 DATE, LEVEL = "2024-01-01T00:00:00Z", 5
@@ -121,6 +128,58 @@ def _writer(folder: str, file_bytes: int):
     return run
 
 
+def _bar_of(spark: SparkSession, edges: list[int]):
+    """The bar of a page_id: 0 for null, else how many of the sorted ``edges`` are not above it."""
+    held = spark.sparkContext.broadcast(np.array(edges, np.int64))
+
+    @F.arrow_udf("int")
+    def bar(page_id: pa.Array) -> pa.Array:
+        at = np.searchsorted(held.value, page_id.fill_null(0).to_numpy(zero_copy_only=False), "right")
+        return pa.array(np.where(page_id.is_null().to_numpy(zero_copy_only=False), 0, at).astype(np.int32))
+
+    return bar
+
+
+def _bars(sizes: DataFrame, shard_bytes: int) -> tuple[list[int], list[int], int]:
+    """Edges of the bars, the weight of each bar (the first is that of null ids), and the weight of a shard.
+
+    A bar heavier than a shard is split until it is one id. A shard is at least total / BARS
+    heavy, so at most BARS bars are split in a round and the edges stay few for any table.
+    """
+    seen = sizes.agg(F.min("page_id").alias("a"), F.max("page_id").alias("b"), F.coalesce(F.sum("weight"), F.lit(0)).alias("total")).first()
+    shard = max(shard_bytes, -(-seen.total // BARS))
+    if seen.a is None:
+        return [], [seen.total], shard
+    ends, edges, split = seen.b + 1, [], [(seen.a, seen.b + 1)]
+    while split:
+        ways = max(2, BARS // len(split))
+        for low, high in split:
+            edges.extend(range(low, high, max(1, -(-(high - low) // ways))))
+        edges = sorted(set(edges))
+        found = sizes.groupBy(_bar_of(sizes.sparkSession, edges)("page_id").alias("bar")).agg(F.sum("weight").alias("weight")).collect()  # a row for each bar in use
+        weight = [0] * (len(edges) + 1)
+        for r in found:
+            weight[r.bar] = r.weight
+        bound = [*edges, ends]
+        split = [(bound[i], bound[i + 1]) for i in range(len(edges)) if weight[i + 1] > shard and bound[i + 1] - bound[i] > 1]
+        light = [i for i in range(len(edges)) if i == 0 or weight[i + 1] or weight[i]]  # runs of empty bars need one edge
+        edges, weight = [edges[i] for i in light], [weight[0], *(weight[i + 1] for i in light)]
+    return edges, weight, shard
+
+
+def _dealt(weights: list[int], shard: int) -> tuple[list[int], list[int], int]:
+    """The first shard of each bar, how many shards share it (one unless it is one heavy id), and how many there are."""
+    first, share, number, filled = [], [], 0, 0
+    for weight in weights:
+        if filled and filled + weight > shard:
+            number, filled = number + 1, 0
+        parts = max(1, min(PARTS, -(-weight // shard)))
+        first.append(number)
+        share.append(parts)
+        number, filled = (number + parts, 0) if parts > 1 else (number, filled + weight)
+    return first, share, number + 1
+
+
 def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, least_revisit: int = 0) -> DataFrame:
     """Writes a record per row of ``pages`` (page_id, url, html) under ``folder``; returns the manifest, which it writes there too.
 
@@ -131,25 +190,24 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, fi
     """
     spark = pages.sparkSession
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("size", F.octet_length("payload").cast("bigint"))
-    span = rows.agg(F.min("page_id").alias("a"), F.max("page_id").alias("b")).first()
-    low = span.a or 0
-    width = max(1, -(-((span.b or 0) - low + 1) // BARS))
-    bar = F.when(F.col("page_id").isNull(), -1).otherwise(F.floor((F.col("page_id") - low) / width)).cast("int")
-    bars = sorted(rows.groupBy(bar.alias("bar")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect())  # BARS + 1 rows at most
-    total, shards = 0, []
-    for r in bars:
-        shards.append((r.bar, total // shard_bytes))
-        total += r["size"] + 512 * r.n
-    number = {s: i for i, s in enumerate(dict.fromkeys(s for _, s in shards))}
-    dealt = spark.createDataFrame([(b, number[s]) for b, s in shards], "bar int, shard int")
+    edges, weights, shard_weight = _bars(kept(rows.select("page_id", (F.col("size") + HEAD_BYTES).alias("weight")), "sizes"), shard_bytes)
+    first, share, shards = _dealt(weights, shard_weight)
+    dealt = spark.createDataFrame(list(zip(range(len(first)), first, share, strict=True)), "bar int, first int, share int")  # a row for each bar
     equal = rows.where(F.col("size") >= least_revisit).groupBy(F.sha1("payload").alias("sha1"), "size").agg(F.max("page_id").alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    equal = kept(equal, "equal")
     few = equal.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     told = rows.withColumn("sha1", F.sha1("payload")).join(F.broadcast(equal) if few else equal, ["sha1", "size"], "left")
     response = F.when(~F.col("page_id").eqNullSafe(F.col("most")), F.col("most"))
-    told = told.select(bar.alias("bar"), "page_id", "url", "payload", response.alias("response_id")).join(F.broadcast(dealt), "bar").drop("bar")
-    sorted_ = told.repartitionById(max(1, len(number)), F.col("shard")).sortWithinPartitions("shard", "page_id", "url", "payload")
+    part = F.pmod(F.xxhash64("url", "sha1"), F.lit(PARTS))
+    shard = (F.col("first") + F.floor(F.col("part") * F.col("share") / PARTS)).cast("int").alias("shard")
+    told = told.select(_bar_of(spark, edges)("page_id").alias("bar"), "page_id", "url", "payload", response.alias("response_id"), part.alias("part"))
+    told = told.join(F.broadcast(dealt), "bar").select(shard, "page_id", "url", "payload", "response_id")
+    sorted_ = told.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "url", "payload")
     manifest = f"{folder}/manifest-{uuid.uuid4().hex}"
     sorted_.mapInArrow(_writer(folder, file_bytes), MANIFEST).write.json(manifest)
+    fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+    if fs.get_file_info(f"{base}/_temporary").type == pyarrow.fs.FileType.Directory:  # of attempts that were lost
+        fs.delete_dir(f"{base}/_temporary")
     return spark.read.schema(MANIFEST).json(manifest)
 
 
@@ -205,7 +263,6 @@ def _reader(folder: str):
 
 
 def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
-    """The records of the manifest's files, a task for each: page_id, payload_bytes, payload_digest, record_type, refers_to, url, whole (digests and lengths hold)."""
-    place = F.row_number().over(Window.orderBy("file")) - 1  # a row for each file
-    files = manifest.select("file", place.alias("place"))
-    return files.repartitionById(max(1, manifest.count()), F.col("place")).select("file").mapInArrow(_reader(folder), RECORD)
+    """The records of the manifest's files, a task for the files of each shard: page_id, payload_bytes, payload_digest, record_type, refers_to, url, whole (digests and lengths hold)."""
+    shards = manifest.agg(F.coalesce(F.max("shard") + 1, F.lit(1)).alias("n")).first().n
+    return manifest.repartitionById(shards, F.col("shard")).select("file").mapInArrow(_reader(folder), RECORD)
