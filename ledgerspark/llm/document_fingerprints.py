@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.llm._tables import by_ids, kept
 
-#: Ids of one window: neighbours are looked for within 2**12 ids, then among such groups.
+#: Neighbours are looked for within 2**12 ids, then among such groups.
 _GROUP_BITS = 12
 
 
@@ -49,22 +49,34 @@ def fingerprints(docs: DataFrame, fingerprint_of=digest) -> DataFrame:
     """The rows with a column fingerprint: equal exactly where canonical texts are.
 
     Null and empty texts share the fingerprint of the empty text; repeated rows share theirs.
-    A column of that name is replaced; others stay. ``fingerprint_of`` may be a weaker digest.
+    A column of that name is replaced; others stay, whatever their names. ``fingerprint_of`` may
+    be a weaker digest.
     """
-    named = docs.drop("fingerprint").withColumn("__canon", canonical(F.col("text"))).withColumn("fingerprint", fingerprint_of(F.col("__canon")))
-    told = kept(compared(named, "__canon", "fingerprint"), "told")
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != "fingerprint")).alias("own")
+    rows = docs.select(own, canonical(F.col("text")).alias("canon")).withColumn("fingerprint", fingerprint_of(F.col("canon")))
+    rows = _told_apart(rows, kept(compared(rows, "canon", "fingerprint"), "told"), "canon", "fingerprint")
+    return rows.select("own.*", "fingerprint")
+
+
+def _told_apart(rows: DataFrame, told: DataFrame, canon: str, fingerprint: str) -> DataFrame:
+    """The rows, their fingerprints followed by the numbers that ``told`` (fingerprint, canon, number) has for their texts."""
     if not told.limit(1).count():
-        return named.drop("__canon")
-    return named.join(told, ["fingerprint", "__canon"], "left").withColumn("fingerprint", F.concat_ws("-", "fingerprint", F.col("number").cast("string"))).drop("__canon", "number")
+        return rows
+    named = told.select(F.col("fingerprint").alias(fingerprint), F.col("canon").alias(canon), F.col("number").alias("told_number"))
+    return rows.join(named, [fingerprint, canon], "left").withColumn(fingerprint, F.concat_ws("-", fingerprint, F.col("told_number").cast("string"))).drop("told_number")
 
 
 def _next_smaller(keys: DataFrame) -> DataFrame:
-    """key, next: the next smaller key of each (null for the least), without one window over all keys."""
-    groups = keys.withColumn("g", F.shiftright("key", _GROUP_BITS))
-    inside = groups.withColumn("next", F.lead("key").over(Window.partitionBy("g").orderBy(F.desc("key"))))
-    tops = groups.groupBy("g").agg(F.max("key").alias("top"))
-    below = tops.withColumn("below", F.lead("top").over(Window.orderBy(F.desc("g")))).select("g", "below")  # keys are ids without their last 24 bits, so these are 2**16 rows at most
-    return inside.join(below, "g").select("key", F.coalesce("next", "below").alias("next"))
+    """key, next: the next smaller key of each of the distinct keys (null for the least).
+
+    Keys are ranged over tasks and written with the number of their range; each looks inside its
+    range, and the least of a range looks at the ranges, of which there are as many as tasks.
+    """
+    ranged = kept(keys.select("key").repartitionByRange(F.desc("key")).withColumn("part", F.spark_partition_id()), "ranged")
+    inside = ranged.withColumn("next", F.lead("key").over(Window.partitionBy("part").orderBy(F.desc("key"))))
+    tops = ranged.groupBy("part").agg(F.max("key").alias("top"))
+    below = tops.withColumn("below", F.lead("top").over(Window.orderBy(F.desc("top")))).select("part", "below")  # a row for each task
+    return inside.join(F.broadcast(below), "part").select("key", F.coalesce("next", "below").alias("next"))
 
 
 def with_next_text(docs: DataFrame) -> DataFrame:
@@ -86,24 +98,24 @@ def with_next_text(docs: DataFrame) -> DataFrame:
     return found.unionByName(alone)
 
 
-def edited_fingerprints(docs: DataFrame) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, fingerprint_of=digest) -> DataFrame:
     """Every document's fingerprint beside those of its edited text and of the next document.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many
     (or all) of the next document's. An exact digest knows two degrees of likeness: 1 where the
-    canonical texts are the same, byte by byte, else 0.
+    canonical texts are the same, byte by byte, else 0. Null doc_ids stand outside the order:
+    their texts are edited with an empty next text. Other columns are ignored.
     """
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = with_next_text(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half)))
     rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *(canonical(F.col(c)).alias(c) for c in ("text", "edited", "next_text")))
     like = lambda c: F.when(F.col("text") == F.col(c), 1.0).otherwise(0.0)
-    rows = rows.select("doc_id", "n_chars", "edited_sha256", digest(F.col("text")).alias("fingerprint"), digest(F.col("edited")).alias("edited_fingerprint"), like("edited").alias("near_edited"), like("next_text").alias("near_next"))
-    own = docs.select(canonical(F.col("text")).alias("canon")).withColumn("fingerprint", digest(F.col("canon")))
+    rows = rows.withColumns({"fingerprint": fingerprint_of(F.col("text")), "edited_fingerprint": fingerprint_of(F.col("edited")), "near_edited": like("edited"), "near_next": like("next_text")})
+    own = docs.select(canonical(F.col("text")).alias("canon")).withColumn("fingerprint", fingerprint_of(F.col("canon")))
     told = kept(compared(own, "canon", "fingerprint"), "told")
-    if told.limit(1).count():  # two texts of one digest: leave nothing to chance and say so
-        raise ValueError("different texts share a 128-bit digest")
-    copies = kept(rows, "fingerprints")
+    rows = _told_apart(_told_apart(rows, told, "text", "fingerprint"), told, "edited", "edited_fingerprint")
+    copies = kept(rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"), "fingerprints")
     several = kept(copies.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc_id")).where("copies > 1"), "several")
     found = by_ids(copies, several, ["fingerprint"], "left")
     return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.coalesce("copies", F.lit(1)).alias("copies"), F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("first_doc_id")).alias("first_doc_id"))
