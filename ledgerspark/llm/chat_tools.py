@@ -1,8 +1,8 @@
 """Chat formatting: tool calls linked to their results, ordered, checked and serialised, in DataFrame functions alone.
 
 Calls and results are joined on the call's identifier. A call's level is the longest chain of
-calls that it depends on; levels are found round by round, each round joining only the
-dependencies still open. Arguments are parsed as JSON and checked against the tool's schema,
+calls that it depends on; levels are found in rounds that double the distance looked back,
+each round joining only the dependencies still open. Arguments are parsed as JSON and checked against the tool's schema,
 and each call becomes one canonical JSON object: sorted keys, no spaces.
 """
 
@@ -17,22 +17,44 @@ from ledgerspark.llm._tables import kept
 TYPES = {"integer": "^BIGINT$", "number": "^(BIGINT|DECIMAL.*|DOUBLE)$", "string": "^STRING$", "boolean": "^BOOLEAN$", "object": "^OBJECT.*$", "array": "^ARRAY.*$"}
 
 
+#: A call that still waits for more calls than SHORT is not passed through, and one that waits for more than LONG passes through none: so each holds at most SHORT * LONG.
+SHORT, LONG = 4, 16
+
+
 def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     """call_id, level for every call whose chain of needed calls ends; calls in or behind a circle, or behind an unknown call, are missing.
 
     ``needs``: call_id, need (distinct). A call without needs has level 0, others one more than
-    the highest level that they need. There are as many rounds as levels.
+    the highest level that they need. In each round a need whose level is known becomes a number,
+    and one that waits itself is replaced by what it waits for, at the summed distance: a chain
+    takes as many rounds as its length has binary digits. Where calls wait for very many calls
+    (above SHORT and LONG) they take a round a level instead. Rounds end when none of them finds
+    a level.
     """
-    open_ = kept(needs, "needs")
-    done = kept(calls.select("call_id").join(open_.select("call_id").distinct(), "call_id", "left_anti").select("call_id", F.lit(0).alias("level")), "levels")
-    fresh, level = done, 0
-    while open_.limit(1).count() and fresh.limit(1).count():
-        level += 1
-        met = open_.join(fresh.select(F.col("call_id").alias("need"), F.lit(True).alias("met")), "need", "left")
-        left = kept(met.where("met IS NULL").drop("met"), "needs")
-        fresh = kept(open_.select("call_id").distinct().join(left.select("call_id").distinct(), "call_id", "left_anti").select("call_id", F.lit(level).alias("level")), "levels")
-        done, open_ = done.unionByName(fresh), left
-    return done
+    edges = kept(needs.select("call_id", "need", F.lit(1).cast("bigint").alias("far"), F.lit(0).cast("bigint").alias("base")), "needs")
+    longest = edges.select("call_id").distinct().count()  # a longer way is a circle
+    done = fresh = kept(calls.select("call_id").join(edges.select("call_id").distinct(), "call_id", "left_anti").select("call_id", F.lit(0).cast("bigint").alias("level")), "levels")
+    while fresh.limit(1).count() and edges.limit(1).count():
+        met = edges.join(fresh.select(F.col("call_id").alias("need"), "level"), "need", "left")
+        state = kept(_waiting(met.select("call_id", F.greatest("base", F.coalesce(F.col("far") + F.col("level"), F.lit(0))).alias("base"), F.when(F.col("level").isNull(), F.struct("need", "far")).alias("wait")), longest), "states")
+        through = state.where(F.size("waits") <= SHORT).select(F.col("call_id").alias("need"), F.col("base").alias("own_base"), F.col("waits").alias("own"))
+        wide = state.select("call_id", "base", (F.size("waits") <= LONG).alias("few"), F.explode("waits").alias("w")).select("call_id", "base", "few", "w.need", "w.far").join(through, "need", "left")
+        passes = F.col("few") & F.col("own").isNotNull()
+        beyond = F.when(passes, F.transform("own", lambda w: F.struct(w["need"].alias("need"), (w["far"] + F.col("far")).alias("far")))).otherwise(F.array(F.struct("need", "far")))
+        moved = _waiting(wide.select("call_id", F.when(passes, F.greatest("base", F.col("far") + F.col("own_base"))).otherwise(F.col("base")).alias("base"), F.explode_outer(beyond).alias("wait")), longest)
+        ahead = kept(moved, "states")
+        known = lambda x: x.where(F.size("waits") == 0).select("call_id", F.col("base").alias("level"))
+        fresh = kept(known(state).unionByName(known(ahead)), "levels")
+        edges = ahead.select("call_id", "base", F.explode("waits").alias("w")).select("call_id", "w.need", "w.far", "base")
+        done = done.unionByName(fresh)
+    return done.withColumn("level", F.col("level").cast("int"))
+
+
+def _waiting(steps: DataFrame, longest: int) -> DataFrame:
+    """call_id, base, waits out of rows of call_id, base, wait: the largest base and the farthest way to each need; calls on a way of more than ``longest`` are left out."""
+    ways = steps.groupBy("call_id", F.col("wait.need").alias("need")).agg(F.max("base").alias("base"), F.max("wait.far").alias("far"))
+    waits = F.collect_list(F.when(F.col("need").isNotNull(), F.struct("need", "far"))).alias("waits")
+    return ways.groupBy("call_id").agg(F.max("base").alias("base"), waits, F.max("far").alias("far")).where(F.coalesce(F.col("far") <= longest, F.lit(True))).drop("far")
 
 
 def _problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
