@@ -7,8 +7,10 @@ probability (count + 1) / (tokens + words + 1) of its class, so each class keeps
 unseen words and all probabilities add up to 1. The commonest words and the end are classes of
 their own, other words go by their last two bytes.
 
-Training runs where the data is: every task makes AdaGrad steps over its own documents from the
-same start, and the tasks' weights are averaged, row by row, by the tokens they have seen.
+The training rows are dealt into shards by a hash, as many as their tokens ask for; a task takes
+a shard in the order of the hash and makes AdaGrad steps from the same start, and the shards'
+weights are averaged, row by row, by the tokens they have seen. So the model follows from the rows
+alone, not from how they were partitioned.
 Word counts stay distributed. Words above a fixed share of all tokens, so many at most, are
 broadcast; the tokens of all other words meet their counts in a join.
 """
@@ -32,6 +34,10 @@ SINGLE, SUFFIX, ROWS = 23, 40, 1 << 12
 CLASSES = SINGLE + SUFFIX + 1
 END = np.uint64(0x5851F42D4C957F2D)
 BATCH, RATE = 2048, 0.25  # a batch's rows of all classes fit in a core's cache
+#: A shard's tokens, and the least and greatest number of shards.
+SHARD_TOKENS, SHARDS = 1 << 22, (8, 1 << 12)
+#: Tokens counted together before they leave a task.
+COUNT_TOKENS = 1 << 20
 _FEATURES = CLASSES + 1 + (CLASSES + 1) ** 2 + 2 * ROWS
 
 
@@ -123,12 +129,23 @@ def _classes(common: Common, token: np.ndarray, kind: np.ndarray) -> tuple[np.nd
 
 
 def _counter(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found, held = [], 0
+
+    def counts() -> pa.RecordBatch:
+        word, first, n = np.unique(np.concatenate([t for t, _ in found]), return_index=True, return_counts=True)
+        kind = np.concatenate([k for _, k in found])[first]
+        return pa.RecordBatch.from_arrays([pa.array(i64(word)), pa.array(kind.astype(np.int32)), pa.array(n)], ["word", "kind", "n"])
+
     for part in parts:
-        found = [_tokens(b)[:2] for b in blocks(part["text"])]
-        if found:
-            word, first, n = np.unique(np.concatenate([t for t, _ in found]), return_index=True, return_counts=True)
-            kind = np.concatenate([k for _, k in found])[first]
-            yield pa.RecordBatch.from_arrays([pa.array(i64(word)), pa.array(kind.astype(np.int32)), pa.array(n)], ["word", "kind", "n"])
+        for b in blocks(part["text"]):
+            token, kind, _ = _tokens(b)
+            found.append((token, kind))
+            held += len(token)
+            if held >= COUNT_TOKENS:
+                yield counts()
+                found, held = [], 0
+    if found:
+        yield counts()
 
 
 def _trainer(held, start):
@@ -204,13 +221,13 @@ def scores(docs: DataFrame) -> DataFrame:
     ``docs`` needs doc_id and text; other columns are ignored. Null and empty texts consist of
     the end alone. Words are lower-cased (A-Z) runs without ASCII white space, told apart by
     64-bit hashes. Rows with a null doc_id teach nothing and are not held out. Equal texts get
-    equal scores. Scores are log10 probabilities: base_score of the add-one unigram model,
-    score of the maximum-entropy model. With no training row, every word is unseen.
+    equal scores, and another partitioning of the table gives the same scores. Scores are log10
+    probabilities: base_score of the add-one unigram model, score of the maximum-entropy model. With no training row, every word is unseen.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    taught = docs.where(training("doc_id")).select("text")
-    counts = kept(taught.mapInArrow(_counter, "word bigint, kind int, n bigint").groupBy("word").agg(F.min("kind").alias("kind"), F.sum("n").alias("n")), "counts")
+    taught = docs.where(training("doc_id")).select("row_key", "text")
+    counts = kept(taught.select("text").mapInArrow(_counter, "word bigint, kind int, n bigint").groupBy("word").agg(F.min("kind").alias("kind"), F.sum("n").alias("n")), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("words")).first()
     top = counts.where(F.col("n") * COMMON > total.tokens).toArrow()  # fewer than COMMON rows
     word, count = top["word"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy()
@@ -230,7 +247,10 @@ def scores(docs: DataFrame) -> DataFrame:
     start[: CLASSES + 1] = np.log(share / share.sum())  # each row of the class before
     begin = spark.sparkContext.broadcast(start)
     columns = [f"w{c}" for c in range(CLASSES)]
-    trained = taught.mapInArrow(_trainer(held, begin), "row int, seen double, " + ", ".join(f"{c} double" for c in columns))
+    shards = max(SHARDS[0], min(SHARDS[1], total.tokens // SHARD_TOKENS))
+    by_hash = F.xxhash64(F.lit(9), F.col("row_key"))
+    dealt = taught.repartitionById(shards, F.pmod(by_hash, F.lit(shards)).cast("int")).sortWithinPartitions(by_hash, "text").select("text")
+    trained = dealt.mapInArrow(_trainer(held, begin), "row int, seen double, " + ", ".join(f"{c} double" for c in columns))
     mean = trained.groupBy("row").agg(*((F.sum(c) / F.sum("seen")).alias(c) for c in columns)).toArrow()  # _FEATURES rows at most
     weights = start.copy()
     if mean.num_rows:
