@@ -112,14 +112,20 @@ def _step(weights: np.ndarray, square: np.ndarray, at: np.ndarray, kind: np.ndar
     np.exp(slope, out=slope)
     slope /= slope.sum(1, keepdims=True)
     slope[np.arange(len(kind)), kind] -= 1
-    for row in at:
+    pairs = slope.view(np.complex64)  # two columns are summed as one number
+    for row in at.astype(np.uint16):  # so short that it is sorted by counting
         order = np.argsort(row, kind="stable")
         own = row[order]
         first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        total, own = np.add.reduceat(slope[order], first), own[first]
-        so_far = square[own] + total * total
+        own = own[first].astype(np.intp)
+        total = np.add.reduceat(pairs.take(order, 0), first).view(np.float32)
+        so_far = square.take(own, 0)
+        so_far += total * total
         square[own] = so_far
-        weights[own] -= RATE * total / np.sqrt(so_far + 1e-6)
+        so_far += 1e-6
+        total /= np.sqrt(so_far, out=so_far)
+        total *= RATE
+        weights[own] -= total
 
 
 def _classes(common: Common, token: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
