@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from typing import NamedTuple
 
 import numpy as np
@@ -55,13 +56,14 @@ def with_floors(df: DataFrame, account_floors: DataFrame | None = None, currency
 _OUT = "account_id string, merchant_key string, direction string, stream int, kind string, interval int, second_day string, anchor date, txn_id string, slot date, posted_at date, amount_minor bigint, breach boolean, reason string, currency string, floor_minor bigint"
 
 
+_EPOCH = dt.date(1970, 1, 1).toordinal()
 _KINDS = {"stream": "Int32", "interval": "Int32", "amount_minor": "Int64", "breach": "boolean", "floor_minor": "Int64"}
 
 
 def _fitted(cadences, rel: float, coherence: float, tol: int | None):
     def run(key: tuple, g: pd.DataFrame) -> list[tuple]:
         """One group: occurrences, missed slots (no txn_id) and leftovers (no slot); the reason of rows that take no part."""
-        date = lambda d: pd.Timestamp(int(d), unit="D").date()
+        date = lambda d: dt.date.fromordinal(int(d) + _EPOCH)
         days = pd.to_datetime(g["posted_at"]).to_numpy().astype("datetime64[D]").astype(np.int64)
         amounts, ids, floor, currencies = g["magnitude"].to_numpy(), g["txn_id"].tolist(), g["floor_minor"].iloc[0], g["currency"]
         told = (currencies.iloc[0], None if pd.isna(floor) else int(floor))
