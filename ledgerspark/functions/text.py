@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,24 +93,35 @@ def field(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it stands in there."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _named_part(s: Column) -> Column:
+    """The first part between slashes that is no number; the whole where there is none."""
+    return F.coalesce(F.get(F.filter(F.split(s, "/"), lambda p: (F.trim(p) != "") & ~F.trim(p).rlike(r"^\d+$")), 0), s)
+
+
+def _spelled(s: Column) -> Column:
+    """The merchant that a phrase stands for, or the words with those replaced that stand for others."""
+    words = F.array_join(F.transform(F.split(s, " "), lambda w: F.coalesce(F.element_at(as_map(WORDS), w), w)), " ")
+    return F.coalesce(F.element_at(as_map(PHRASES), s), words)
+
+
 def normalize_descriptor(raw: Column, region: Column) -> Column:
     """A stable merchant string of [a-z0-9 ]; empty when nothing is left."""
-    s = F.trim(raw)
+    s = whole = F.trim(raw)
     for name, prefixes in PREFIXES.items():
         pattern = "(?i)^(?:" + "|".join(re.escape(p) for p in sorted(prefixes, key=len, reverse=True)) + ")"
-        s = F.when(region == name, F.regexp_replace(s, pattern, "")).otherwise(s)
-    parts = F.filter(F.split(s, "/"), lambda p: F.trim(p) != "")
-    named = F.get(F.filter(parts, lambda p: ~F.trim(p).rlike(r"^\d+$")), 0)
-    s = F.when((region == "IN") & s.contains("/"), F.coalesce(named, s)).otherwise(s)
+        s = F.when(region == name, F.regexp_replace(whole, pattern, "")).otherwise(s)
+    s = _let(s, lambda s: F.when((region == "IN") & s.contains("/"), _named_part(s)).otherwise(s))
     s = F.lower(F.regexp_replace(s, "([a-z])([A-Z])", "$1 $2"))
     for pattern in NOISE:
         s = F.regexp_replace(s, pattern, " ")
-    s = F.trim(F.regexp_replace(s, " +", " "))
-    words = F.array_join(F.transform(F.split(s, " "), lambda w: F.coalesce(F.element_at(as_map(WORDS), w), w)), " ")
-    return F.coalesce(F.element_at(as_map(PHRASES), s), words)
+    return _let(F.trim(F.regexp_replace(s, " +", " ")), _spelled)
 
 
 def merchant_key(raw: Column, region: Column) -> Column:
     """The normalised descriptor, or a marked raw one; never empty."""
-    n = normalize_descriptor(raw, region)
-    return F.when(n == "", F.concat(F.lit("~raw:"), F.lower(F.trim(raw)))).otherwise(n)
+    return _let(normalize_descriptor(raw, region), lambda n: F.when(n == "", F.concat(F.lit("~raw:"), F.lower(F.trim(raw)))).otherwise(n))

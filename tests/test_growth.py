@@ -4,8 +4,10 @@ import random
 import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from ledgerspark.operators import _fit
+from ledgerspark.functions import text
+from ledgerspark.operators import _fit, recurring
 from test_ledger import _slow_peel
 
 
@@ -37,3 +39,14 @@ def test_a_group_of_sixteen_times_the_rows_takes_no_hundred_times_the_work():
         _peeled(_charges(n, 1))
         took.append(time.process_time() - begin)
     assert took[1] < 40 * took[0]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_merchant_is_normalised_once(spark):
+    rows = spark.createDataFrame([("SQ *JOE'S 12", "US", 1), ("UPI//77/SWIGGY/9", "IN", 2), ("UPI/77/88", "IN", 3), ("##", "US", 4), (None, "US", 5), ("AMZN Mktp US*1A", None, 6)], "d string, region string, k int")
+    named = rows.withColumn("key", text.merchant_key(F.col("d"), F.col("region")))
+    assert [r.key for r in named.orderBy("k").collect()] == ["joe s 12", "swiggy", "77 88", "~raw:##", None, "amazon marketplace"]
+    assert _plan(named).count("regexp_replace") <= 16
