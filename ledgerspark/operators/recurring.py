@@ -87,8 +87,9 @@ def detect_recurring(ledger: DataFrame, today, account_floors: DataFrame | None
     the smallest unit of the fit: it is held in one task, others are not.
     """
     region = F.coalesce("region", F.lit(default_region))
+    # few files may hold many rows; the ids are what repeated rows are found by, so rows are dealt only once
     # exploding an array of one keeps the optimizer from writing the long expression into each of its uses
-    named = ledger.withColumn("normalized", F.explode(F.array(normalize_descriptor(F.col("descriptor_raw"), region))))
+    named = ledger.repartition("txn_id").withColumn("normalized", F.explode(F.array(normalize_descriptor(F.col("descriptor_raw"), region))))
     named = named.withColumn("merchant_key", F.when(F.col("normalized") == "", F.concat(F.lit("~raw:"), F.lower(F.trim("descriptor_raw")))).otherwise(F.col("normalized")))
     reason, detail = exclusion(F.col("amount_minor"), F.col("kind"), F.col("normalized"), use_descriptor_heuristic)
     named = named.withColumns({"reason": reason, "detail": detail})

@@ -1,5 +1,6 @@
 """Work that grows no faster than the input."""
 
+import datetime as dt
 import random
 import time
 
@@ -50,3 +51,8 @@ def test_a_merchant_is_normalised_once(spark):
     named = rows.withColumn("key", text.merchant_key(F.col("d"), F.col("region")))
     assert [r.key for r in named.orderBy("k").collect()] == ["joe s 12", "swiggy", "77 88", "~raw:##", None, "amazon marketplace"]
     assert _plan(named).count("regexp_replace") <= 16
+
+
+def test_rows_of_one_file_are_dealt_before_they_are_normalised(spark):
+    rows = spark.createDataFrame([("t1", "a", dt.date(2024, 1, 5), -1549, "USD", "NETFLIX.COM", "US", None)], "txn_id string, account_id string, posted_at date, amount_minor bigint, currency string, descriptor_raw string, region string, kind string").coalesce(1)
+    assert "RepartitionByExpression [txn_id" in _plan(recurring.detect_recurring(rows, "2024-02-15").excluded)
