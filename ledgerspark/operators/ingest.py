@@ -257,7 +257,8 @@ def facts_of(facts: DataFrame, kind: str) -> DataFrame:
 def routed_rows(messages: DataFrame, rules: DataFrame, templates: list[Template] | None = None, authenticity: bool = True) -> DataFrame:
     """One row per message with its outcome and, where it was parsed, its fact: what ``route_messages`` splits."""
     known = template_rules(messages.sparkSession, TEMPLATES if templates is None else templates)
-    rows = classify_senders(messages, rules).join(known, "domain", "left").withColumn("auth", assess_authenticity(F.col("headers"), F.col("address")))
+    # a small file may hold many messages, and reading one is dear
+    rows = classify_senders(messages.repartition("uid"), rules).join(known, "domain", "left").withColumn("auth", assess_authenticity(F.col("headers"), F.col("address")))
     believed = F.col("auth.trusted") if authenticity else F.lit(True)
     # exploding an array of one keeps the optimizer from writing an expression into each of its many uses
     once = lambda c: F.explode(F.array(c))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import text
-from ledgerspark.operators import _fit, recurring
+from ledgerspark.operators import _fit, ingest, recurring
 from test_ledger import _slow_peel
 
 
@@ -56,3 +56,8 @@ def test_a_merchant_is_normalised_once(spark):
 def test_rows_of_one_file_are_dealt_before_they_are_normalised(spark):
     rows = spark.createDataFrame([("t1", "a", dt.date(2024, 1, 5), -1549, "USD", "NETFLIX.COM", "US", None)], "txn_id string, account_id string, posted_at date, amount_minor bigint, currency string, descriptor_raw string, region string, kind string").coalesce(1)
     assert "RepartitionByExpression [txn_id" in _plan(recurring.detect_recurring(rows, "2024-02-15").excluded)
+
+
+def test_messages_of_one_file_are_dealt_before_they_are_read(spark):
+    rows = spark.createDataFrame([], "uid bigint, message_id string, from_header string, subject string, received_at timestamp, text string, html string, headers map<string,string>").coalesce(1)
+    assert "RepartitionByExpression [uid" in ingest.routed_rows(rows, ingest.sender_rules(spark))._jdf.queryExecution().analyzed().toString()
