@@ -81,9 +81,12 @@ class _Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of its own would each hold memory
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # for lower-case runs of letters with single spaces between them: nothing to normalise, and the spaces alone split them
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.last = np.zeros(1 << 16, bool)  # tokens that end a run of letters
         self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self._reset()
@@ -94,12 +97,12 @@ class _Encoder:
         self.at, self.size, self.ids, self.used = np.zeros(CACHE, np.int32), np.zeros(CACHE, np.int32), np.zeros(1 << 16, np.uint16), 0
 
     def _encoded(self, units: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """An order of the units, their ids in it, and how many each has; plain runs of letters go through the tokenizer many at once, told apart by their last tokens."""
+        """An order of the units, their ids in it, and how many each has; plain runs of letters go through the tokenizer's merges many at once, told apart by their last tokens."""
         order, ids, size = [], [], []
         letters, rest = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
         for i in range(0, len(letters), 512):
             some = letters[i : i + 512]
-            own = np.array(self.tokenizer.encode_batch_fast([" ".join([units[k] for k in some])], add_special_tokens=False)[0].ids, np.uint16)
+            own = np.array(self.letters.encode_batch_fast([" ".join([units[k] for k in some])], add_special_tokens=False)[0].ids, np.uint16)
             ends = np.flatnonzero(self.last[own]) + 1
             if len(ends) == len(some):
                 order += some
