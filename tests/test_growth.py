@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import text
-from ledgerspark.operators import _fit, ingest, recurring
+from ledgerspark.operators import _fit, ingest, reconcile, recurring
 from test_ledger import _slow_peel
 
 
@@ -61,3 +61,25 @@ def test_rows_of_one_file_are_dealt_before_they_are_normalised(spark):
 def test_messages_of_one_file_are_dealt_before_they_are_read(spark):
     rows = spark.createDataFrame([], "uid bigint, message_id string, from_header string, subject string, received_at timestamp, text string, html string, headers map<string,string>").coalesce(1)
     assert "RepartitionByExpression [uid" in ingest.routed_rows(rows, ingest.sender_rules(spark))._jdf.queryExecution().analyzed().toString()
+
+
+def _reconcilable(spark, n):
+    schema = "account_id string, {} string, posted_at date, amount_minor bigint, currency string, descriptor_raw string, region string"
+    rows = lambda p, late: [("acc", f"{p}{i}", dt.date(1969, 11, 1) + dt.timedelta(i % 120 + late), 100 + i, "USD", "SQ *COFFEE 123", "US") for i in range(n)]
+    return spark.createDataFrame(rows("a", 0), schema.format("txn_id")), spark.createDataFrame(rows("b", 4), schema.format("line_id"))
+
+
+def test_days_are_dealt_into_spans(spark):
+    alerts, lines = _reconcilable(spark, 240)  # days on both sides of 1970, each line four days late
+    assert reconcile._candidates(alerts, lines, 4, 0.0).count() == 240
+    assert reconcile._candidates(alerts, lines, 3, 0.0).count() == 0
+    assert "floor" in reconcile._candidates(alerts, lines, 4, 0.0)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_pairs_without_rivals_are_written_once_and_reach_no_python(spark, monkeypatch):
+    names = []
+    real = reconcile.written
+    monkeypatch.setattr(reconcile, "written", lambda df, name: (names.append(name), real(df, name))[1])
+    alerts, lines = _reconcilable(spark, 240)
+    assert reconcile.reconcile(alerts, lines).matched.count() == 240
+    assert names == ["pairs", "rivals"]
