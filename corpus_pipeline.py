@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.llm import lexical_packing, ngram_jaccard, quality_compression, secret_crf, template_decontamination
-from ledgerspark.llm._tables import by_ids, kept, shared_folder, table
+from ledgerspark.llm._tables import by_ids, give_back, kept, shared_folder, table
 from ledgerspark.llm.queries import tokenizer_path
 
 #: A document is rejected below this probability of good quality.
@@ -18,6 +18,7 @@ LEAST_QUALITY = 0.5
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the compression classifier takes for good."""
     model = quality_compression.fit(docs, table(spark, sf_dir, "labels"))
+    give_back()  # the sample's texts, in the driver
     scored = quality_compression.score(docs, model, score_col="__score")
     return scored.where(F.col("__score") >= LEAST_QUALITY).drop("__score")
 
@@ -43,7 +44,9 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Replaces every secret in the texts."""
     instead = {"text": F.col("masked"), "n_chars": F.char_length("masked").cast("bigint")}
     own = docs.select("text", F.struct(*(c for c in docs.columns if c not in instead)).alias("__own"))  # columns that the scan adds may have names of these
-    rows = secret_crf.scan(own, secret_crf.fit(docs))
+    field = secret_crf.fit(docs)
+    give_back()  # the sample's windows, in the driver
+    rows = secret_crf.scan(own, field)
     return rows.select(*(instead.get(c, F.col("__own").getField(c)).alias(c) for c in docs.columns))
 
 

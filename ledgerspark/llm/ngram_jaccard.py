@@ -246,10 +246,9 @@ def _linked(compared: DataFrame, percent: int) -> DataFrame:
     return compared.where(F.col("met") * 100 >= F.col("whole") * percent).select("a", "b")
 
 
-def _unsettled(buckets: DataFrame, links: DataFrame) -> DataFrame:
+def _unsettled(buckets: DataFrame, known: DataFrame) -> DataFrame:
     """The rows of the buckets that hold several components, with the components as they now are."""
-    known = components(links).withColumnRenamed("node", "class")
-    held = buckets.drop("component").join(known, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    held = buckets.drop("component").join(known.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     mixed = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     return kept(held.join(mixed, "key", "left_semi"), "buckets")
 
@@ -305,21 +304,22 @@ def _pairs_left(buckets: DataFrame, percent: int) -> DataFrame:
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes of equal sets that give the same components as all links."""
+    """Edges (a, b) between classes of equal sets that give the same components as all links: the stars of the links to hubs, and the links found after them."""
     sized = classes.select("class", F.col("n_shingles").alias("n"), F.col("class").alias("component"))
     buckets = _bucketed(docs.mapInArrow(_signatures(shingle, percent), "key bigint, class bigint"), sized, percent)
     rep = kept(buckets.select("class").distinct().join(classes, "class").select("text_hash").distinct(), "rep")
     some = by_ids(docs, rep, ["text_hash"], "left_semi").dropDuplicates(["text_hash"])
     sets = kept(some.mapInArrow(_sets(shingle), "class bigint, grams array<bigint>, " + ", ".join(f"{x} bigint" for x in SKETCH)).dropDuplicates(["class"]), "sets")
     tried = kept(_compared(_to_hub(buckets, _hubs(buckets)), sets, percent), "compared")
-    links = _linked(tried, percent)
-    left = _unsettled(buckets, links)
+    known = components(_linked(tried, percent))
+    left = _unsettled(buckets, known)
     for _ in range(2):  # without the sets ruled out first, more n-grams are some set's own
         common = kept(_shared_grams(left, sets), "common")
         left = left.drop("common").join(common, "class").where(F.col("common") * 100 >= F.col("n") * percent)
     left = left.join(sets.select("class", *SKETCH), "class")
     rest = kept(_pairs_left(left, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    return links.unionByName(_linked(kept(_compared(rest, sets, percent), "compared"), percent))
+    stars = known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return stars.unionByName(_linked(kept(_compared(rest, sets, percent), "compared"), percent))
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
