@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +24,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.llm._tables import give_back, kept
-from ledgerspark.llm._words import _BASE_BYTE, _BYTE_VALUE, Block, blocks, span_hashes
+from ledgerspark.llm._words import _BASE_BYTE, _BYTE_VALUE, Block, _views, blocks, span_hashes
 
-#: Ids of a sequence; ids of a shard, about; places of a task's cache of units; see ``_Index``.
-LENGTH, SHARD_IDS, CACHE, DENSE = 2048, 1_500_000, 1 << 19, 16
+#: Ids of a sequence; ids of a shard, about; places of a task's cache of units, and ids that it holds; see ``_Index``.
+LENGTH, SHARD_IDS, CACHE, CACHE_IDS, DENSE = 2048, 1_500_000, 1 << 21, 1 << 24, 16
+#: Neighbours of a seed that are sorted first.
+FIRST = 16
 #: Documents that centres are fitted on, about; centres at most; dimensions.
 SAMPLE, CENTRES, DIMENSIONS = 4096, 4096, 64
 END = 1
-_LETTER, _DIGIT, _OTHER = 1, 2, 3
-_KIND = np.full(128, _OTHER, np.uint8)
+_WHOLE, _LETTER, _DIGIT, _OTHER, _SPACE = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
 _KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
 _KIND[48:58] = _DIGIT
+_KIND[[0x20, *range(9, 14)]] = _SPACE
+_KIND[[39, *range(128, 256)]] = _WHOLE  # apostrophes may be of contractions
+_KINDS, _LOWERS = _KIND.tobytes(), bytes(range(256)).lower()
+#: The characters that stand for bytes in the vocabulary: printable ones of Latin-1 for themselves, the others from 256 on; the space stays.
+_CHARACTER = np.arange(256, dtype="<u4")
+_odd = [*range(33), *range(127, 161), 173]
+_CHARACTER[_odd] = 256 + np.arange(len(_odd))
+_CHARACTER[0x20] = 0x20
 
 
 def _units(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -43,11 +54,8 @@ def _units(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np
     lower-cases each letter by itself. Words in ASCII and Latin-1 letters are split so; words with
     other characters, contractions or the marks of special tokens stay whole.
     """
-    n = len(b.data)
-    data = np.append(b.data, np.uint8(0))
-    kind = np.where(data < 128, _KIND[data & 127], 0).astype(np.uint8)
-    lower = data.copy()
-    lower[(data >= 65) & (data <= 90)] += 32
+    n, data, raw = len(b.data), b.data, bytearray(b.data)
+    kind, lower = np.frombuffer(raw.translate(_KINDS), np.uint8), np.frombuffer(raw.translate(_LOWERS), np.uint8)
     # two-byte letters of Latin-1: C3 80..BF but the signs 97 and B7; 80..9E are upper case
     lead = np.flatnonzero(data[:-1] == 0xC3)
     follow = data[lead + 1]
@@ -56,20 +64,29 @@ def _units(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np
     kind[lead] = kind[lead + 1] = _LETTER
     lower[lead[follow <= 0x9E] + 1] += 32
     # whole words: other alphabets, contractions, special tokens
-    odd = np.zeros(n + 1, np.int64)
-    odd[1:] = np.cumsum((kind[:-1] == 0) | (data[:-1] == 39) | ((data[:-1] == 60) & (data[1:] == 124)))
-    whole = odd[b.end] > odd[b.start]
-    begins = np.zeros(n + 1, bool)
-    inside = np.zeros(n + 1, np.int8)
-    inside[b.start[~whole]] += 1
-    inside[b.end[~whole]] -= 1
-    inside = np.cumsum(inside[:-1]) > 0
-    begins[1:-1] = inside[1:] & inside[:-1] & ((kind[1:-1] != kind[:-2]) | (kind[1:-1] == _DIGIT))
-    begins[b.start] = True
-    start = np.flatnonzero(begins[:-1])
-    of = np.searchsorted(b.start, start, "right") - 1
-    end = np.minimum(np.append(start[1:], n), b.end[of])
-    return start, end, lower[:-1], (kind[start] == _LETTER) & ~whole[of], np.searchsorted(start, np.append(b.start, n)[b.bound])
+    odd = kind == _WHOLE
+    if b"<|" in raw:
+        odd[:-1] |= (data[:-1] == 60) & (data[1:] == 124)
+    runs = odd.copy()  # where runs of odd bytes begin, in each word anew
+    runs[1:] &= ~odd[:-1]
+    runs[b.start] = odd[b.start]
+    whole = np.zeros(len(b.start), bool)
+    whole[np.searchsorted(b.start, np.flatnonzero(runs), "right") - 1] = True
+    begins, begins_word = np.empty(n, bool), np.zeros(n, bool)
+    begins[:1] = False
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+    begins |= kind == _DIGIT
+    begins &= kind != _SPACE
+    size = b.end[whole] - b.start[whole]
+    begins[np.repeat(b.start[whole] - np.cumsum(size) + size, size) + np.arange(size.sum())] = False
+    begins[b.start] = begins_word[b.start] = True
+    start = np.flatnonzero(begins)
+    word = np.flatnonzero(begins_word[start])  # first units of words
+    end = np.append(start[1:], n)[: len(start)]
+    end[np.append(word[1:], len(start))[: len(word)] - 1] = b.end
+    plain = kind[start] == _LETTER
+    plain[word[whole]] = False
+    return start, end, lower, plain, np.append(word, len(start))[b.bound]
 
 
 class _Encoder:
@@ -84,17 +101,17 @@ class _Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # for lower-case runs of letters with single spaces between them: nothing to normalise, and the spaces alone split them
+        # for lower-case runs of letters with single spaces between them, in the vocabulary's characters: nothing to normalise, and the spaces alone split them
         self.letters = Tokenizer(self.tokenizer.model)
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.last = np.zeros(1 << 16, bool)  # tokens that end a run of letters
         self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self) -> None:
-        """The cache: a unit's hash, and where its ids are, stand in the place that the hash's last bits name; a later unit takes an earlier one's place."""
+        """The cache: a unit's hash, and where its ids are, stand in the place that the hash's last bits name; a later unit takes an earlier one's place. The first id is the end id."""
         self.hash = np.arange(1, CACHE + 1).astype(np.uint64)  # of no unit of that place
-        self.at, self.size, self.ids, self.used = np.zeros(CACHE, np.int32), np.zeros(CACHE, np.int32), np.zeros(1 << 16, np.uint16), 0
+        self.at, self.size, self.ids, self.used = np.zeros(CACHE, np.int32), np.zeros(CACHE, np.int32), np.full(1 << 16, END, np.uint16), 1
 
     def _encoded(self, units: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """An order of the units, their ids in it, and how many each has; plain runs of letters go through the tokenizer's merges many at once, told apart by their last tokens."""
@@ -102,7 +119,8 @@ class _Encoder:
         letters, rest = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
         for i in range(0, len(letters), 512):
             some = letters[i : i + 512]
-            own = np.array(self.letters.encode_batch_fast([" ".join([units[k] for k in some])], add_special_tokens=False)[0].ids, np.uint16)
+            text = _CHARACTER[np.frombuffer(" ".join([units[k] for k in some]).encode(), np.uint8)].tobytes().decode("utf-32-le")
+            own = np.array(self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
             ends = np.flatnonzero(self.last[own]) + 1
             if len(ends) == len(some):
                 order += some
@@ -122,16 +140,20 @@ class _Encoder:
         """The ids of a block's documents, one after another and each with the end id, and where they begin."""
         start, end, lower, plain, before = _units(b)
         key = span_hashes(_BYTE_VALUE[lower], _BASE_BYTE, start, end)
-        if self.used > 16 * CACHE:
+        if self.used > CACHE_IDS:
             self._reset()
         place = key & np.uint64(CACHE - 1)
         at, size, new = self.at[place], self.size[place], np.flatnonzero(self.hash[place] != key)
         if len(new):
             distinct, first, which = np.unique(key[new], return_index=True, return_inverse=True)
             first = new[first]
+            letters = plain[first]
+            raw = np.empty(len(first), object)
+            raw[letters] = _spaced(lower, start[first[letters]], end[first[letters]])
             # a whole word goes as it stands, as its letters may need the tokenizer's own lower-casing
-            raw = [(lower if p else b.data)[s:e].tobytes().decode() for p, s, e in zip(plain[first].tolist(), start[first].tolist(), end[first].tolist(), strict=True)]
-            order, ids, n = self._encoded(raw, plain[first])
+            rest = first[~letters]
+            raw[~letters] = [b.data[s:e].tobytes().decode() for s, e in zip(start[rest].tolist(), end[rest].tolist(), strict=True)]
+            order, ids, n = self._encoded(raw.tolist(), letters)
             if self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(ids), np.uint16)])
             self.ids[self.used : self.used + len(ids)] = ids
@@ -140,54 +162,86 @@ class _Encoder:
             self.used += len(ids)
             at[new], size[new] = own_at[which], own_size[which]
             self.hash[place[first]], self.at[place[first]], self.size[place[first]] = distinct, own_at, own_size
+        at, size = np.insert(at, before[1:], 0), np.insert(size, before[1:], 1)  # an end id after each document
         done = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=done[1:])
-        bound = done[before] + np.arange(len(before))  # an end id after each document
-        made = np.full(bound[-1], END, np.uint16)
-        own = np.ones(len(made), bool)
-        own[bound[1:] - 1] = False
-        made[own] = self.ids[np.repeat(at - done[:-1], size) + np.arange(done[-1])]
-        return made, bound
+        return self.ids[np.repeat(at - done[:-1], size) + np.arange(done[-1])], done[before + np.arange(len(before))]
+
+
+def _spaced(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
+    """The texts data[start:end], none of which holds a space."""
+    if not len(start):
+        return []
+    size = end - start + 1
+    bound = np.cumsum(size)
+    text = data[np.minimum(np.repeat(start - bound + size, size) + np.arange(bound[-1]), len(data) - 1)]
+    text[bound - 1] = 0x20
+    return text[:-1].tobytes().decode().split(" ")
+
+
+def _bags(ids: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct terms of each document ids[bound[k]:bound[k+1]], ascending, how often each stands there, and where the documents' terms begin."""
+    terms, counts, sizes = [ids[:0]], [bound[:0]], [np.zeros(1, np.int64)]
+    first, docs = 0, len(bound) - 1
+    while first < docs:  # as many documents at once as the sort holds near, or one
+        last = max(first + 1, min(first + (1 << 16), int(np.searchsorted(bound, bound[first] + (1 << 17), "right")) - 1))
+        key = ids[bound[first] : bound[last]].astype(np.uint32)
+        key |= np.repeat(np.arange(last - first, dtype=np.uint32) << np.uint32(16), np.diff(bound[first : last + 1]))
+        key.sort()
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        at = np.flatnonzero(new)
+        terms.append(key[at].astype(np.uint16))  # the last 16 bits
+        counts.append(np.diff(at, append=len(key)))
+        sizes.append(np.bincount(key[at] >> np.uint32(16), minlength=last - first))
+        first = last
+    return np.concatenate(terms), np.concatenate(counts), np.cumsum(np.concatenate(sizes))
 
 
 _encoders: dict[str, _Encoder] = {}
 
 
 def _tokenised(path: str):
+    """Rows of the documents, and one of each task with its terms and how many of its documents hold them."""
+    made = lambda n, **columns: pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, t)) for c, t in _TYPES.items()], list(_TYPES))
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
             _encoders[path] = _Encoder(path)
+        count = np.zeros(1 << 16, np.int64)
         for part in parts:
             for b in blocks(part["text"]):
                 ids, bound = _encoders[path](b)
+                count += np.bincount(_bags(ids, bound)[0], minlength=1 << 16)
                 column = pa.Array.from_buffers(pa.large_binary(), len(b), [None, pa.py_buffer(2 * bound), pa.py_buffer(ids.astype("<u2"))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([part["doc_id"].slice(b.first, len(b)), pa.array(np.diff(bound)), column], ["doc_id", "doc_tokens", "ids"])
+                yield made(len(b), doc_id=part["doc_id"].slice(b.first, len(b)), doc_tokens=pa.array(np.diff(bound)), ids=column)
             give_back()
+        terms = np.flatnonzero(count)
+        yield made(1, terms=pa.array([terms.astype(np.int32)]), documents=pa.array([count[terms]]))
 
     return run
 
 
-def _ids(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), "<u2") for x in column]
+TOKENISED = "doc_id bigint, doc_tokens bigint, ids binary, terms array<int>, documents array<bigint>"
+_TYPES = {"doc_id": pa.int64(), "doc_tokens": pa.int64(), "ids": pa.binary(), "terms": pa.list_(pa.int32()), "documents": pa.list_(pa.int64())}
+
 
+def tokenised(docs: DataFrame, tokenizer_path: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, doc_tokens, ids of the documents; term, n: how many documents hold a term, in rows of each task, written in the same pass."""
+    rows = kept(docs.select("doc_id", "text").mapInArrow(_tokenised(tokenizer_path), TOKENISED), "ids")
+    held = rows.where("terms IS NOT NULL").select(F.explode(F.arrays_zip("terms", "documents")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.documents").alias("n"))
+    return rows.where("doc_tokens IS NOT NULL").select("doc_id", "doc_tokens", "ids"), held
 
-def _frequencies(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count, place = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-    for part in parts:
-        for ids in _ids(part["ids"]):
-            at = np.arange(len(ids))
-            place[ids] = at
-            count[ids[place[ids] == at]] += 1  # one place of each term
-    terms = np.flatnonzero(count)
-    yield pa.RecordBatch.from_arrays([pa.array(terms.astype(np.int32)), pa.array(count[terms])], ["term", "n"])
+
+def _ids(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u2") for x in column]
 
 
-def _weights(ids: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
-    """A document's terms and their BM25 weights."""
-    ids = np.sort(ids)
-    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    own, n = ids[first], np.diff(np.append(first, len(ids)))
-    return own, idf[own] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(ids) / mean))
+def _weights(ids: np.ndarray, bound: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The documents' terms and their BM25 weights, and where those of each document begin."""
+    own, n, begin = _bags(ids, bound)
+    length = np.repeat(0.25 + 0.75 * np.diff(bound) / mean, np.diff(begin))
+    return own, idf[own] * n * 2.2 / (n + 1.2 * length), begin
 
 
 _projections: dict[int, np.ndarray] = {}
@@ -197,10 +251,13 @@ def _vectors(column: pa.Array, idf: np.ndarray, mean: float) -> np.ndarray:
     """The documents' BM25 weights, projected by fixed random signs and of length 1."""
     if DIMENSIONS not in _projections:
         _projections[DIMENSIONS] = np.random.default_rng(7).choice(np.array([-1, 1], np.float32), (1 << 16, DIMENSIONS))
-    made = np.zeros((len(column), DIMENSIONS), np.float32)
-    for k, ids in enumerate(_ids(column)):
-        own, weight = _weights(ids, idf, mean)
-        made[k] = weight.astype(np.float32) @ _projections[DIMENSIONS][own]
+    made, (data, at) = np.zeros((len(column), DIMENSIONS), np.float32), _views(column)
+    for k in range(0, len(column), 128):
+        bound = at[k : k + 129]
+        own, weight, begin = _weights(data[bound[0] : bound[-1]].view("<u2"), (bound - bound[0]) // 2, idf, mean)
+        weight = weight.astype(np.float32)
+        for i, (first, last) in enumerate(pairwise(begin.tolist()), k):
+            made[i] = weight[first:last] @ _projections[DIMENSIONS][own[first:last]]
     return made / (np.linalg.norm(made, axis=1, keepdims=True) + 1e-9)
 
 
@@ -249,11 +306,10 @@ class _Index:
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         self.unused, self.alive = np.ones(len(docs), bool), np.arange(len(docs))
-        found = [_weights(ids, idf, mean) for ids in docs]
-        self.terms = [own for own, _ in found]
-        term, weight = np.concatenate(self.terms), np.concatenate([w for _, w in found]).astype(np.float32)
+        term, weight, begin = _weights(np.concatenate(docs), np.cumsum([0, *map(len, docs)]), idf, mean)
+        self.terms = np.split(term, begin[1:-1])
         order = np.argsort(term, kind="stable")
-        self._set(term[order], np.repeat(np.arange(len(docs)), [len(own) for own in self.terms])[order], weight[order])
+        self._set(term[order], np.repeat(np.arange(len(docs)), np.diff(begin))[order], weight.astype(np.float32)[order])
 
     def _set(self, term: np.ndarray, owner: np.ndarray, weight: np.ndarray) -> None:
         self.posting = term, owner, weight
@@ -266,8 +322,8 @@ class _Index:
         self.owner, self.weight = owner[~dense], weight[~dense]
         self.at = np.searchsorted(term[~dense], np.arange((1 << 16) + 1))
 
-    def ranked(self, seed: int) -> np.ndarray:
-        """Unused documents that share a term with the seed, best first."""
+    def ranked(self, seed: int) -> Iterator[int]:
+        """Unused documents that share a term with the seed, best first; few are asked for, so those after the first ones are sorted only then."""
         held = self.unused[self.alive]
         if 2 * np.count_nonzero(held) < len(held):
             term, owner, weight = self.posting
@@ -283,7 +339,10 @@ class _Index:
         part = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
         score += np.bincount(self.owner[part], self.weight[part], len(score)).astype(np.float32)
         found = np.flatnonzero((score > 0) & held)
-        return self.alive[found[np.argsort(-score[found], kind="stable")]]
+        alive, score = self.alive[found], -score[found]
+        least = np.partition(score, FIRST)[FIRST] if len(score) > FIRST else np.inf
+        for part in (score <= least, score > least):
+            yield from alive[part][np.argsort(score[part], kind="stable")].tolist()
 
 
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, length: int) -> list[tuple[int, int, int, int, int]]:
@@ -353,7 +412,7 @@ def _packer(idf: np.ndarray, mean: float, length: int):
         if docs:
             rows = []
             for doc, start, n, sequence, offset in pack_shard(docs, idf, mean, length):
-                data = docs[doc][start : start + n].astype("<u4").tobytes()
+                data = docs[doc][start : start + n].astype("<u4")
                 rows.append((keys[doc], start, n, zlib.crc32(data), len(docs[doc]), (shard << 32) + sequence, offset))
             names = [c.split()[0] for c in PIECE.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
@@ -361,10 +420,10 @@ def _packer(idf: np.ndarray, mean: float, length: int):
     return run
 
 
-def sharded(made: DataFrame, shard_ids: int) -> tuple[DataFrame, np.ndarray, float]:
-    """The documents (doc_id, ids) of tokenised ``made``, a partition for each shard; the idf of all terms; the mean length."""
+def sharded(made: DataFrame, held: DataFrame, shard_ids: int) -> tuple[DataFrame, np.ndarray, float]:
+    """The documents (doc_id, ids) of tokenised ``made``, whose terms ``held`` counts, a partition for each shard; the idf of all terms; the mean length."""
     total = made.agg(F.coalesce(F.sum("doc_tokens"), F.lit(0)).alias("ids"), F.count(F.lit(1)).alias("docs")).first()
-    frequency = made.select("ids").mapInArrow(_frequencies, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each vocabulary id at most
+    frequency = held.groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each vocabulary id at most
     n = np.zeros(1 << 16)
     for r in frequency:
         n[r.term] = r.n
@@ -391,6 +450,6 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, shard_ids:
     sequences are ``length`` long or a power of two. The tokenizer's ids must be below 65,536.
     An empty table gives no rows.
     """
-    made = kept(docs.select("doc_id", "text").mapInArrow(_tokenised(tokenizer_path), "doc_id bigint, doc_tokens bigint, ids binary"), "ids")
-    dealt, idf, mean = sharded(made, shard_ids)
+    made, held = tokenised(docs, tokenizer_path)
+    dealt, idf, mean = sharded(made, held, shard_ids)
     return dealt.mapInArrow(_packer(idf, mean, length), PIECE)
