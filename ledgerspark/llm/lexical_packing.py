@@ -27,7 +27,7 @@ from ledgerspark.llm._tables import give_back, kept
 from ledgerspark.llm._words import _BASE_BYTE, _BYTE_VALUE, Block, _views, blocks, span_hashes
 
 #: Ids of a sequence; ids of a shard, about; places of a task's cache of units, and ids that it holds; see ``_Index``.
-LENGTH, SHARD_IDS, CACHE, CACHE_IDS, DENSE = 2048, 1_500_000, 1 << 21, 1 << 24, 16
+LENGTH, SHARD_IDS, CACHE, CACHE_IDS, DENSE = 2048, 1_500_000, 1 << 20, 1 << 23, 16
 #: Neighbours of a seed that are sorted first.
 FIRST = 16
 #: Documents that centres are fitted on, about; centres at most; dimensions.
@@ -110,7 +110,7 @@ class _Encoder:
 
     def _reset(self) -> None:
         """The cache: a unit's hash, and where its ids are, stand in the place that the hash's last bits name; a later unit takes an earlier one's place. The first id is the end id."""
-        self.hash = np.arange(1, CACHE + 1).astype(np.uint64)  # of no unit of that place
+        self.hash = np.arange(1, CACHE + 1, dtype=np.uint64)  # of no unit of that place
         self.at, self.size, self.ids, self.used = np.zeros(CACHE, np.int32), np.zeros(CACHE, np.int32), np.full(1 << 16, END, np.uint16), 1
 
     def _encoded(self, units: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
